@@ -6,6 +6,7 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +36,8 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
     c = rows.column(rows.schema.get_field_index(name))
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def wider(df: DataFrame, **added: str) -> T.StructType:
+    """The schema of ``df`` with more columns, given as DDL types."""
+    return T.StructType([*df.schema.fields, *(f for n, k in added.items() for f in T._parse_datatype_string(f"{n} {k}").fields)])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, table
+from fairground.llm._shared import batch, column, table, wider
 from fairground.llm._stats import Stats
 from fairground.llm._words import blocks
 
@@ -102,7 +102,7 @@ def apply_rules(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string())], names=[*rows.schema.names, "rejected_by"])
 
     docs = docs.drop("rejected_by")
-    return docs.mapInArrow(scan, docs.schema.add("rejected_by", "string"))
+    return docs.mapInArrow(scan, wider(docs, rejected_by="string"))
 
 
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -26,9 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fairground.llm._shared import batch, column, cut, table
+from fairground.llm._shared import batch, column, cut, table, wider
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -206,7 +205,7 @@ def marked(text: str) -> str:
 
 
 def _encode_short(docs: DataFrame, model: str, keep: list[str], text: str) -> DataFrame:
-    kind = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("score", "long")
+    kind = wider(docs.select(*keep), ids="array<int>", score="long")
 
     def scan(batches):
         pieces = pieces_of(model)
@@ -334,7 +333,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "
             texts = [pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in column_ids]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, to])
 
-    return encoded.mapInArrow(scan, encoded.schema.add(to, "string"))
+    return encoded.mapInArrow(scan, wider(encoded, **{to: "string"}))
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
