@@ -235,7 +235,7 @@ def targeting_state(spark, sf):
 
 
 @query(f"""with {_A}, n as (select id, district, cost_free, (origin_priority + 7) % 50 as origin_priority from activity where id % 3 <> 1), m as (select id, case when id % 5 = 0 then 'NATION_0' else district end as district, cost_free, origin_priority from n),
-s as (select id, district, cost_free, origin_priority from activity where id % 4 <> 2)
+s as (select id, district, cost_free, origin_priority from activity where id % 4 <> 2),
 j as (select s.id as sid, m.id as mid, s.district as sd, m.district as md, s.cost_free as sc, m.cost_free as mc, s.origin_priority as sp, m.origin_priority as mp from s full join m on s.id = m.id),
 t as (select *, (sd, sc) is distinct from (md, mc) as diff, sid is null or (mid is not null and (sd, sc) is distinct from (md, mc) and mp <= sp) as take from j)
 select coalesce(sid, mid) as id, case when take then md else sd end as district, case when take then mc else sc end as cost_free, case when take then mp else sp end as origin_priority,
