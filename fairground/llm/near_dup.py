@@ -10,10 +10,12 @@ chance of about 1e-5 (``miss_probability``); above it far less.  Links are confi
 
 Work is kept from growing with the square of a group:
   1. equal sets become one class; only classes are indexed;
-  2. each key links its classes to the smallest one only; those links are confirmed and components formed;
-  3. only keys that still hold several components are looked at again.  There the pairs between different
-     components are tested on signatures within tasks, in blocks of bounded size, each pair under its first
-     common key alone, and those within the radius are confirmed.
+  2. each key pairs its classes with the smallest one only; those pairs are confirmed and components formed;
+  3. only keys that still hold several components are looked at again.  There the other pairs between
+     different components are tested on signatures within tasks, in blocks of bounded size, each pair under
+     its first common key alone, and those within the radius are confirmed.
+To confirm, pairs are dealt into cells by the hashes of both ends; a set goes once to each cell that needs it,
+not once to each pair.
 No pair of classes that the join is bound to find is lost: it is either confirmed, refused, or
 already inside one component.
 
@@ -30,7 +32,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairground.llm._shared import batch, column, cut, table
@@ -44,7 +46,11 @@ RADIUS = 37
 WIDE_RADIUS = 68
 CHUNKS = 32
 THRESHOLD = 85
-BLOCK = 192
+BLOCK = 512
+#: Pairs of a cell, on average.
+CELL_PAIRS = 2048
+#: Ids of at most so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 
 _random = np.random.RandomState(20240607)
 _FACTORS = (_random.randint(0, 1 << 31, POSITIONS + MORE_POSITIONS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -72,13 +78,14 @@ def index_plan(positions: int = POSITIONS, radius: int = RADIUS, chunks: int = C
 PLAN = index_plan()
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """POSITIONS + MORE_POSITIONS symbols of 16 bits of a set of 64-bit hashes."""
+def signature(shingles: np.ndarray) -> bytes:
+    """The bytes of POSITIONS symbols of 16 bits and MORE_POSITIONS of 8 bits of a set of 64-bit hashes."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):
         np.minimum(least, (_FACTORS[:, None] * x[None, at : at + 512] + _TERMS[:, None]).min(axis=1), out=least)
-    return (mix(least.astype(np.uint64) + np.arange(len(least), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+    symbols = mix(least.astype(np.uint64) + np.arange(len(least), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (symbols[:POSITIONS] >> np.uint64(48)).astype(np.uint16).tobytes() + (symbols[POSITIONS:] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -127,7 +134,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 node.append(a)
                 check.append(b)
-                signed.append(signature(s).tobytes() if len(s) else None)
+                signed.append(signature(s) if len(s) else None)
             yield batch(schema, column(rows, "doc_id"), n, node, check, signed)
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, node long, check long, signature binary")
@@ -149,7 +156,10 @@ def index(classes: DataFrame) -> DataFrame:
 
 
 def _matrix(signed) -> np.ndarray:
-    return np.frombuffer(b"".join(signed), np.uint16).reshape(len(signed), POSITIONS + MORE_POSITIONS)
+    """A row of symbols for each signature."""
+    raw = np.frombuffer(b"".join(signed), np.uint8).reshape(len(signed), 2 * POSITIONS + MORE_POSITIONS)
+    head = np.ascontiguousarray(raw[:, : 2 * POSITIONS]).view(np.uint16)
+    return np.hstack([head, raw[:, 2 * POSITIONS :].astype(np.uint16)])
 
 
 def within_radius(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,9 +191,13 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Those of the pairs (a, b) of nodes with 100 * shared >= threshold * union on the full sets."""
-    nodes = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-    ids = signed.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
-    texts = docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    side = min(4096, math.ceil(math.sqrt(max(1, pairs.count()) / CELL_PAIRS)))
+    cell = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    pairs = pairs.select("a", "b", cell.alias("cell"))
+    needed = cut(pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", F.col("b").alias("node"))).distinct())
+    nodes = needed.select("node").distinct()
+    ids = cut(signed.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def sets(batches):
@@ -191,20 +205,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int
             found = [(_digest(s)[0], s.tobytes()) for _, s in shingle_sets(column(rows, "text"))]
             yield batch(schema, [f[0] for f in found], [f[1] for f in found])
 
-    full = cut(texts.mapInArrow(sets, "node long, set binary").join(nodes, "node", "left_semi"))
-    both = pairs.join(full.toDF("b", "sb"), "b").join(full.toDF("a", "sa"), "a")
+    full = needed.join(texts.mapInArrow(sets, "node long, set binary"), "node").select("cell", "node", "set")
 
-    def compare(batches):
-        for rows in batches:
-            keep = []
-            for x, y in zip(column(rows, "sa"), column(rows, "sb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[at] == y).sum())
-                keep.append(100 * shared >= threshold * (len(x) + len(y) - shared))
-            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(pairs: pd.DataFrame, full: pd.DataFrame) -> pd.DataFrame:
+        known = {n: np.frombuffer(s, np.uint64) for n, s in zip(full["node"], full["set"], strict=True)}
+        keep = np.zeros(len(pairs), bool)
+        for k, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
+            x, y = known[a], known[b]
+            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            keep[k] = 100 * shared >= threshold * (len(x) + len(y) - shared)
+        return pairs.loc[keep, ["a", "b"]]
 
-    return both.mapInArrow(compare, "a long, b long")
+    return pairs.groupBy("cell").cogroup(full.groupBy("cell")).applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,7 +241,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open_pairs(keys: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that share a key and are within the radii."""
+    """Pairs (a, b) in different components that share a key (key, node), are within the radii, and are no star pairs.
+
+    ``keys`` has no smallest node of a key: its pairs are star pairs.
+    """
     labelled = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     members = labelled.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -237,24 +252,43 @@ def _open_pairs(keys: DataFrame, classes: DataFrame, labels: DataFrame) -> DataF
     met = members.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "node", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
     signed = met.join(classes.select("node", "signature"), "node")
 
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        this, i, j = key
-        sides = []
-        for part in (i, j):
-            of = group[group["part"] == part].sort_values("node")
-            sides.append((of["node"].to_numpy(), of["label"].to_numpy(), _matrix(list(of["signature"]))))
-        (na, la, sa), (nb, lb, sb) = sides
-        found = within_radius(sa, sb) & (la[:, None] != lb[None])
+    def meet(this: int, i: int, j: int, part, node, label, signed) -> tuple[np.ndarray, np.ndarray]:
+        keys = chunk_keys(signed[:, :POSITIONS])
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found = within_radius(signed[a], signed[b]) & (label[a][:, None] != label[b][None])
         if i == j:
             found = np.triu(found, 1)
-        x, y = np.nonzero(found)
+        x, y = (of[k] for of, k in zip((a, b), np.nonzero(found), strict=True))
         if len(x):
-            ka, kb = chunk_keys(sa[:, :POSITIONS]), chunk_keys(sb[:, :POSITIONS])
-            first = ka[x, (ka[x] == kb[y]).argmax(axis=1)].view(np.int64) == this
+            first = keys[x, (keys[x] == keys[y]).argmax(axis=1)].view(np.int64) == this
             x, y = x[first], y[first]
-        return pd.DataFrame({"a": na[x], "b": nb[y]})
+        return node[x], node[y]
 
-    return signed.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def scan(batches):
+        # Rows come sorted by (key, i, j); a group may go over from one batch to the next.
+        rest = None
+        for rows in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([r for r in (rest, rows) if r is not None]).combine_chunks() if rest is not None or rows is not None else None
+            if table is None or not table.num_rows:
+                continue
+            group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            edges = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
+            edges = np.append(edges, table.num_rows)
+            done = len(edges) - 1 if rows is None else len(edges) - 2
+            rest = None if rows is None else table.slice(edges[done]).combine_chunks().to_batches()[0]
+            part, node, label = (table.column(c).to_numpy() for c in ("part", "node", "label"))
+            signed, found = table.column("signature"), []
+            for g in range(done):
+                a, b = int(edges[g]), int(edges[g + 1])
+                if b - a > 1 and (label[a:b] != label[a]).any():
+                    found.append(meet(*group[:, a].tolist(), part[a:b], node[a:b], label[a:b], _matrix(signed.slice(a, b - a).to_pylist())))
+            if found:
+                yield batch(schema, *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    dealt = signed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(scan, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -264,13 +298,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ids = usable.groupBy("node", "check").agg(F.min("doc_id").alias("smallest"))
     classes = cut(usable.join(ids, ["node", "check"]).where("doc_id = smallest").dropDuplicates(["node", "check"]).select("node", "signature"))
 
-    keys = index(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
-    keys = cut(keys.join(shared, "key"))
-    stars = keys.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    of_key = Window.partitionBy("key")
+    keys = index(classes).select("key", "node", F.count("*").over(of_key).alias("n"), F.min("node").over(of_key).alias("least"))
+    keys = cut(keys.where("n > 1 and node <> least"))
+    stars = keys.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(confirm(cut(near_pairs(stars, classes)), docs, signed, threshold))
     labels = components(links)
-    more = cut(confirm(cut(_open_pairs(keys.select("key", "node"), classes, labels)), docs, signed, threshold))
+    more = cut(confirm(cut(_open_pairs(keys.where("n > 2").select("key", "node"), classes, labels)), docs, signed, threshold))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
