@@ -34,7 +34,7 @@ CHUNK = 1 << 15
 GROUP = 256
 UNKNOWN = -10_000_000_000
 NEVER = -(1 << 60)
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 MARK = "▁"
 
 
@@ -50,6 +50,8 @@ class Pieces:
         for i in special or {}:
             self.texts[i] = b""
         self.longest = max(map(len, self.ids), default=1)
+        #: What pieces begin with: the piece of just these characters, or None.
+        self._begins = {p[:n]: self.ids.get(p[:n]) for p in self.ids for n in range(1, len(p) + 1)}
         known = {c for p in self.ids for c in p}
         held = {c for p in self.ids for c in p[1:].lstrip(" ")} if any(p.startswith(" ") for p in self.ids) else {c for p in self.ids for c in p[1:]}
         self.marks_cut = " " not in held
@@ -73,26 +75,32 @@ class Pieces:
                 special[i] = s.id_to_piece(i)
         return cls(vocabulary, byte_ids, special)
 
-    def moves(self, text: str, at: int):
-        """(length, score, piece) of each piece that begins at ``at``, longest first; an unknown character is piece None."""
-        found = False
-        for n in range(min(self.longest, len(text) - at), 0, -1):
-            hit = self.ids.get(text[at : at + n])
-            if hit:
-                found = found or n == 1
-                yield n, hit[1], hit[0]
-        if not found:
-            yield 1, UNKNOWN, None
+    def moves(self, text: str, at: int) -> list[tuple[int, int, int | None]]:
+        """(length, score, piece) of each piece that begins at ``at``; an unknown character is piece None.
+
+        Lengths are tried only as long as some piece begins so.
+        """
+        out, get = [], self._begins.get
+        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
+            hit = get(text[at:end], False)
+            if hit is False:
+                break
+            if hit is not None:
+                out.append((end - at, hit[1], hit[0]))
+        if not out or out[0][0] != 1:
+            out.append((1, UNKNOWN, None))
+        return out
 
     def forward(self, text: str, entry: list[int], end: int):
         """(scores, pieces back) of each position, from the scores of the ways in; pieces begin before ``end``."""
         best = entry + [NEVER] * (len(text) + 1 - len(entry))
         back: list = [None] * (len(text) + 1)
         for at in range(end):
-            if best[at] > NEVER:
+            now = best[at]
+            if now > NEVER:
                 for n, score, piece in self.moves(text, at):
-                    if best[at] + score > best[at + n]:
-                        best[at + n], back[at + n] = best[at] + score, (n, piece)
+                    if now + score > best[at + n]:
+                        best[at + n], back[at + n] = now + score, (n, piece)
         return best, back
 
     def trace(self, text: str, back, at: int) -> tuple[list[int], int]:
