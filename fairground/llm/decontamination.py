@@ -153,6 +153,8 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents with hit words cut from ``text`` (and what stands between two adjacent hit words)."""
 
+    columns = docs.columns
+
     def clean(batches):
         for rows in batches:
             texts, out = column(rows, "text").to_pylist(), []
@@ -165,7 +167,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
                         last, before = h["to"], h["word"]
                     text = b"".join([*pieces, raw[last:]]).decode()
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else column(rows, n) for n in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else column(rows, n) for n in columns], names=columns)
 
     return find_contamination(docs, benchmark, size).mapInArrow(clean, docs.schema)
 
