@@ -46,7 +46,7 @@ RADIUS = 37
 WIDE_RADIUS = 68
 CHUNKS = 32
 THRESHOLD = 85
-BLOCK = 512
+BLOCK = 1024
 #: Pairs of a cell, on average.
 CELL_PAIRS = 2048
 #: Ids of at most so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
