@@ -4,8 +4,10 @@ The pieces and their scores come from a public model file; a text's encoding is
 score, where a character in no piece costs ``UNKNOWN`` and becomes its byte pieces.  Of equal segmentations the one whose
 last piece is longest wins, then the one before it, and so on.  Scores are whole numbers, so sums are exact.
 
-Where every piece that holds a character begins with it (the word mark), or no piece holds it, all segmentations part:
-between such cuts the best one is found once for each distinct stretch and remembered in the worker.
+Where every piece that holds a character begins with it (the word mark), or no piece holds it, all segmentations part, as
+they do between a letter and a mark of punctuation that no piece joins: between such cuts the best one is found once for
+each distinct stretch and remembered in the worker.  The new stretches of some texts are solved together, character by
+character over all of them (``learn``).
 
 A text of more than ``CHUNK`` characters is dealt out in chunks.  A chunk's transfer matrix holds, for each way in (how far
 the last piece of the chunk before reaches in) and each way out, the best score; matrices are combined associatively, by
@@ -18,6 +20,7 @@ null ids each get their result.  The word mark U+2581 in a text is taken as an u
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -25,6 +28,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +39,11 @@ CHUNK = 1 << 15
 GROUP = 256
 UNKNOWN = -10_000_000_000
 NEVER = -(1 << 60)
-REMEMBERED = 250_000
+REMEMBERED = 100_000
+#: Stretches of more characters are not remembered.
+SHORT = 64
+#: Texts are taken until they have so many characters together.
+TOGETHER = 1 << 20
 MARK = "▁"
 
 
@@ -57,8 +65,16 @@ class Pieces:
         held = {c for p in self.ids for c in p[1:].lstrip(" ")} if any(p.startswith(" ") for p in self.ids) else {c for p in self.ids for c in p[1:]}
         self.marks_cut = " " not in held
         letters = "".join(map(re.escape, sorted(known - {" "})))
-        # Stretches between cuts: a run of marks with what follows it, or one unknown character.
-        self._stretch = re.compile(f" *[{letters}]+| +|[^{letters} ]" if self.marks_cut else f"[{letters} ]+|[^{letters} ]")
+        # Signs: the characters that no piece has beside a letter or beside what stands with letters.
+        beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1) if " " not in p[i : i + 2]}
+        joined = {c for c in known if c.isalpha()}
+        while more := {c for pair in beside if joined & set(pair) for c in pair} - joined:
+            joined |= more
+        runs = [c for c in (joined - {" "}, known - joined - {" "}) if c]
+        # Stretches between cuts: a run of marks with the letters or the signs that follow it, or one unknown character.
+        together = "|".join(f" *[{''.join(map(re.escape, sorted(c)))}]+" for c in runs)
+        self._stretch = re.compile(f"{together}| +|[^{letters} ]" if self.marks_cut else f"[{letters} ]+|[^{letters} ]")
+        self._automaton = None
         self._memory: dict[str, tuple[bytes, int]] = {}
 
     @classmethod
@@ -147,12 +163,85 @@ class Pieces:
                 best, back = self.forward(text, [0], len(text))
                 ids, score = self.trace(text, back, len(text))[0], best[-1]
             got = array("i", ids).tobytes(), score
-            if len(text) <= 64:
+            if len(text) <= SHORT:
                 if len(self._memory) >= REMEMBERED:
                     self._memory.clear()
                 self._memory[text] = got
         return got
 
+    def _tables(self):
+        """The trie of all pieces: (state of a first character, number of a later one, next states, ids, scores) by state; 0 is none."""
+        if self._automaton is None:
+            states = {p: k for k, p in enumerate(sorted(self._begins), 1)}
+            later = {c: k for k, c in enumerate(sorted({p[-1] for p in states if len(p) > 1}), 1)}
+            first, number = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+            ids, scores = np.zeros(len(states) + 1, np.int32), np.full(len(states) + 1, NEVER, np.int64)
+            follow = np.zeros((len(states) + 1, len(later) + 1), np.min_scalar_type(len(states)))
+            for c, k in later.items():
+                number[ord(c)] = k
+            for p, k in states.items():
+                if len(p) == 1:
+                    first[ord(p)] = k
+                else:
+                    follow[states[p[:-1]], later[p[-1]]] = k
+                if p in self.ids:
+                    ids[k], scores[k] = self.ids[p]
+            self._automaton = first, number, follow, ids, scores
+        return self._automaton
+
+    def learn(self, stretches: list[str], group: int = 8192) -> None:
+        """Remembers the best segmentations of the short stretches among these that pieces can make up."""
+        words = sorted((s for s in stretches if len(s) <= SHORT), key=len)
+        first, number, follow, ids, scores = self._tables()
+        for k in range(0, len(words), group):
+            some = words[k : k + group]
+            n, width = len(some), len(some[-1])
+            length = np.array([len(w) for w in some])
+            letter = np.frombuffer("".join([w.ljust(width, "\0") for w in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+            best = np.full((n, width + 1), NEVER, np.int64)
+            start, piece = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+            best[:, 0] = 0
+            for at in range(width):
+                state = first[letter[:, at]]
+                row = np.flatnonzero((state > 0) & (best[:, at] > NEVER) & (at < length))
+                state, now = state[row], best[row, at]
+                for end in range(at + 1, min(at + self.longest, width) + 1):
+                    score = scores[state]
+                    better = np.flatnonzero((score > NEVER) & (now + score > best[row, end]))
+                    r = row[better]
+                    best[r, end], start[r, end], piece[r, end] = now[better] + score[better], at, ids[state[better]]
+                    if end == width:
+                        break
+                    state = follow[state, number[letter[row, end]]]
+                    live = np.flatnonzero(state)
+                    if not len(live):
+                        break
+                    row, state, now = row[live], state[live], now[live]
+            total = best[np.arange(n), length]
+            out, at, left = np.zeros((n, width), np.int32), length.copy(), np.full(n, width)
+            row = np.flatnonzero(total > NEVER)
+            while len(row):
+                left[row] -= 1
+                out[row, left[row]] = piece[row, at[row]]
+                at[row] = start[row, at[row]]
+                row = row[at[row] > 0]
+            raw = out.tobytes()
+            for i, (w, a, t) in enumerate(zip(some, left.tolist(), total.tolist(), strict=True)):
+                if t > NEVER:
+                    self._memory[w] = raw[4 * (i * width + a) : 4 * (i + 1) * width], t
+
+    def many(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """``whole`` of each of some marked texts; their new stretches are solved together."""
+        parts = [self._stretch.findall(t) for t in texts]
+        every, memory, find = set().union(*parts), self._memory, self.stretch
+        new = [p for p in every if p not in memory]
+        if len(memory) + len(new) > REMEMBERED:
+            memory.clear()
+            new = list(every)
+        self.learn(new)
+        found = [[memory.get(p) or find(p) for p in ps] for ps in parts]
+        return [(b"".join([g[0] for g in got]), sum([g[1] for g in got])) for got in found]
+
     def whole(self, text: str) -> tuple[bytes, int]:
         """(ids as int32 bytes, score) of a marked text."""
         parts = self._stretch.findall(text)
@@ -186,7 +275,7 @@ class Pieces:
             n = min(width, len(text) + 1 - size)
             out[:, :n] = best[size : size + n].T
             return np.maximum(out, NEVER)
-        centre = self.whole(text[a:b])[1]
+        centre = self.many([text[a:b]])[0][1]
         head = np.array([self.forward(text[:a], [NEVER] * i + [0], a)[0][a] if i <= a else NEVER for i in range(width)], np.int64)
         return np.maximum(head[:, None] + centre + tail[None], NEVER)
 
@@ -214,7 +303,7 @@ class Pieces:
             return np.array(self.trace(text, self.forward(text, entry, size)[1], size + out)[0], np.int32).tobytes()
         head, _ = self.trace(text[:a], self.forward(text[:a], entry, a)[1], a)
         tail, _ = self.trace(text[b:], self.forward(text[b:], [0], size - b)[1], size - b + out)
-        return np.array(head, np.int32).tobytes() + self.whole(text[a:b])[0] + np.array(tail, np.int32).tobytes()
+        return np.array(head, np.int32).tobytes() + self.many([text[a:b]])[0][0] + np.array(tail, np.int32).tobytes()
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,22 +326,29 @@ def marked(text: str) -> str:
     return " " + text if text else ""
 
 
-def _encode_short(docs: DataFrame, model: str, keep: list[str], text: str) -> DataFrame:
-    kind = wider(docs.select(*keep), ids="array<int>", score="long")
+def _short_batches(batches, model: str, keep: list[str], text: str):
+    """The kept columns of batches of shorter texts, with ids and score."""
+    pieces = pieces_of(model)
+    for rows in batches:
+        so_far = np.cumsum(pc.fill_null(pc.utf8_length(column(rows, text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TOGETHER
+        edges = [0, *(np.flatnonzero(np.diff(so_far)) + 1).tolist(), rows.num_rows]
+        for at, end in itertools.pairwise(edges):
+            some = rows.slice(at, end - at)
+            texts = column(some, text).to_pylist()
+            solved = iter(pieces.many([marked(t) for t in texts if t is not None]))
+            found = [next(solved) if t is not None else None for t in texts]
+            ends = np.cumsum([0, *(len(f[0]) // 4 if f else 0 for f in found)]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(f[0] for f in found if f))])
+            missing = pa.array([f is None for f in found], pa.bool_())
+            ids = pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
+            yield pa.RecordBatch.from_arrays([*(column(some, c) for c in keep), ids, pa.array([f[1] if f else None for f in found], pa.int64())], names=[*keep, "ids", "score"])
 
-    def scan(batches):
-        pieces = pieces_of(model)
-        for rows in batches:
-            for at in range(0, rows.num_rows, 1000):
-                some = rows.slice(at, 1000)
-                found = [pieces.whole(marked(t)) if t is not None else None for t in column(some, text).to_pylist()]
-                ends = np.cumsum([0, *(len(f[0]) // 4 if f else 0 for f in found)]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(f[0] for f in found if f))])
-                missing = pa.array([f is None for f in found])
-                ids = pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
-                yield pa.RecordBatch.from_arrays([*(column(some, c) for c in keep), ids, pa.array([f[1] if f else None for f in found], pa.int64())], names=[*keep, "ids", "score"])
 
-    return docs.mapInArrow(scan, kind)
+def _decoded_batches(batches, model: str, ids: str, to: str):
+    pieces = pieces_of(model)
+    for rows in batches:
+        texts = [pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in column(rows, ids)]
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, to])
 
 
 def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
@@ -326,7 +422,7 @@ def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
 
     def ids(frames):
         pieces = pieces_of(model)
-        for f in frames:
+        for f in (f[at : at + 64] for f in frames for at in range(0, len(f), 64)):
             found = [np.frombuffer(pieces.chunk_ids(t, n, np.frombuffer(e, np.int64).tolist(), o), np.int32) for t, n, e, o in zip(f["part"], f["size"], f["entry"], f["out"], strict=True)]
             yield pd.DataFrame({"row": f["row"], "k": f["k"], "ids": found})
 
@@ -336,13 +432,12 @@ def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
     return whole.join(scores, "row")
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``score`` (long)."""
-    docs = docs.drop("ids", "score")
+def _encode(docs: DataFrame, model: str, text: str, chunk: int, then, kind) -> DataFrame:
+    """What ``then``, from batches to batches of the type ``kind``, makes of the encoded rows in the worker that encodes them."""
     keep = docs.columns
     width = pieces_of(model).longest
     longer = F.length(text) >= chunk
-    short = _encode_short(docs.where(F.coalesce(~longer, F.lit(True))), model, keep, text)
+    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(lambda batches: then(_short_batches(batches, model, keep, text)), kind)
     giants = docs.where(longer)
     if giants.isEmpty():
         return short
@@ -352,26 +447,29 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int =
     parts = giants.select(F.col(row).alias("row"), whole.alias("t")).select("row", "t", F.explode(F.expr(f"sequence(0, (length(t) - 1) div {chunk})")).alias("k"))
     parts = parts.select("row", F.col("k").cast("int").alias("k"), F.expr(f"substring(t, k * {chunk} + 1, {chunk + width - 1})").alias("part"), F.expr(f"cast(least({chunk}, length(t) - k * {chunk}) as int)").alias("size"))
     traced = _scan_long(cut(parts.repartition("row", "k")), model)
-    return short.unionByName(giants.join(traced, giants[row] == traced["row"]).select(*keep, "ids", "score"))
+    return short.unionByName(giants.join(traced, giants[row] == traced["row"]).select(*keep, "ids", "score").mapInArrow(then, kind))
+
+
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) and ``score`` (long)."""
+    docs = docs.drop("ids", "score")
+    return _encode(docs, model, text, chunk, lambda batches: batches, wider(docs, ids="array<int>", score="long"))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``encoded`` with the text that the ids stand for; null ids give null."""
     encoded = encoded.drop(to)
+    return encoded.mapInArrow(lambda batches: _decoded_batches(batches, model, ids, to), wider(encoded, **{to: "string"}))
 
-    def scan(batches):
-        pieces = pieces_of(model)
-        for rows in batches:
-            column_ids = column(rows, ids)
-            texts = [pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in column_ids]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, to])
 
-    return encoded.mapInArrow(scan, wider(encoded, **{to: "string"}))
+def encode_and_decode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """``decode`` of ``encode``, in one pass."""
+    docs = docs.drop("ids", "score", "decoded")
+    return _encode(docs, model, text, chunk, lambda batches: _decoded_batches(batches, model, "ids", "decoded"), wider(docs, ids="array<int>", score="long", decoded="string"))
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, score, ids_crc32, round_trip) for every row of ``docs``."""
-    encoded = encode(docs.select("doc_id", "text"), model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("score", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
     def scan(batches):
@@ -385,7 +483,7 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same.append(pieces.decode(x.tolist()) == text.as_py() if ids.is_valid else None)
             yield batch(schema, column(rows, "doc_id"), n, column(rows, "score"), crc, same)
 
-    return encoded.mapInArrow(scan, "doc_id long, n_pieces long, score long, ids_crc32 long, round_trip boolean")
+    return _encode(docs.select("doc_id", "text"), model, "text", CHUNK, scan, "doc_id long, n_pieces long, score long, ids_crc32 long, round_trip boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
