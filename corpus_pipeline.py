@@ -36,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_pieces, ids, round_trip): the encoded corpus, decoded once to check it."""
-    decoded = sentencepiece.decode(sentencepiece.encode(docs))
+    decoded = sentencepiece.encode_and_decode(docs)
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
