@@ -13,9 +13,10 @@ Work is kept from growing with the square of a group:
   2. each key pairs its classes with the smallest one only; those pairs are confirmed and components formed;
   3. only keys that still hold several components are looked at again.  There the other pairs between
      different components are tested on signatures within tasks, in blocks of bounded size, each pair under
-     its first common key alone, and those within the radius are confirmed.
-To confirm, pairs are dealt into cells by the hashes of both ends; a set goes once to each cell that needs it,
-not once to each pair.
+     its first common key alone.  A block's classes that have a partner within the radius get their full
+     sets and meet once more; links alone leave the task, so no row is made for a pair that is refused.
+To confirm the pairs with smallest classes, they are dealt into cells by the hashes of both ends; a set goes
+once to each cell that needs it, not once to each pair.
 No pair of classes that the join is bound to find is lost: it is either confirmed, refused, or
 already inside one component.
 
@@ -47,6 +48,8 @@ WIDE_RADIUS = 68
 CHUNKS = 32
 THRESHOLD = 85
 BLOCK = 1024
+#: A larger set counts as several of a block's classes.
+BLOCK_SHINGLES = 8192
 #: Pairs of a cell, on average.
 CELL_PAIRS = 2048
 #: Ids of at most so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -189,13 +192,8 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(scan, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Those of the pairs (a, b) of nodes with 100 * shared >= threshold * union on the full sets."""
-    side = min(4096, math.ceil(math.sqrt(max(1, pairs.count()) / CELL_PAIRS)))
-    cell = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
-    pairs = pairs.select("a", "b", cell.alias("cell"))
-    needed = cut(pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", F.col("b").alias("node"))).distinct())
-    nodes = needed.select("node").distinct()
+def full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, set): the sorted shingle hashes of each of the distinct nodes."""
     ids = cut(signed.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
@@ -205,7 +203,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int
             found = [(_digest(s)[0], s.tobytes()) for _, s in shingle_sets(column(rows, "text"))]
             yield batch(schema, [f[0] for f in found], [f[1] for f in found])
 
-    full = needed.join(texts.mapInArrow(sets, "node long, set binary"), "node").select("cell", "node", "set")
+    return texts.mapInArrow(sets, "node long, set binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Those of the pairs (a, b) of nodes with 100 * shared >= threshold * union on the full sets."""
+    side = min(4096, math.ceil(math.sqrt(max(1, pairs.count()) / CELL_PAIRS)))
+    cell = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    pairs = pairs.select("a", "b", cell.alias("cell"))
+    needed = cut(pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", F.col("b").alias("node"))).distinct())
+    full = needed.join(full_sets(needed.select("node").distinct(), docs, signed), "node").select("cell", "node", "set")
 
     def compare(pairs: pd.DataFrame, full: pd.DataFrame) -> pd.DataFrame:
         known = {n: np.frombuffer(s, np.uint64) for n, s in zip(full["node"], full["set"], strict=True)}
@@ -240,55 +247,90 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _open_pairs(keys: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that share a key (key, node), are within the radii, and are no star pairs.
+def _groups(batches, key: list[str]):
+    """The rows of each key as a table, from batches that are sorted by the key; a key may go over several batches."""
+    rest = None
+    for rows in itertools.chain(batches, [None]):
+        parts = [r for r in (rest, rows) if r is not None and r.num_rows]
+        if not parts:
+            continue
+        whole = pa.Table.from_batches(parts).combine_chunks() if len(parts) > 1 else pa.Table.from_batches(parts)
+        group = np.stack([whole.column(c).to_numpy() for c in key])
+        edges = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
+        edges = np.append(edges, whole.num_rows)
+        if rows is not None:
+            rest = whole.slice(edges[-2]).combine_chunks().to_batches()[0]
+            edges = edges[:-1]
+        for a, b in itertools.pairwise(edges.tolist()):
+            yield whole.slice(a, b - a)
+
+
+def _meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of a block whose classes are in different components, within the radii, and have no earlier common key."""
+    this, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
+    part, label = (rows.column(c).to_numpy() for c in ("part", "label"))
+    a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    if not len(a) or not len(b) or (label == label[0]).all():
+        return a[:0], a[:0]
+    signed = _matrix(rows.column("signature").to_pylist())
+    keys = chunk_keys(signed[:, :POSITIONS])
+    found = within_radius(signed[a], signed[b]) & (label[a][:, None] != label[b][None])
+    if i == j:
+        found = np.triu(found, 1)
+    x, y = (of[k] for of, k in zip((a, b), np.nonzero(found), strict=True))
+    if len(x):
+        first = keys[x, (keys[x] == keys[y]).argmax(axis=1)].view(np.int64) == this
+        x, y = x[first], y[first]
+    return x, y
+
+
+def _linked(x: np.ndarray, others: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which of the other sets a set is linked with."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    same = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    shared = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * shared >= threshold * (len(x) + sizes - shared)
+
+
+def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components, of pairs that share a key (key, node), are within the radii, and are no star pairs.
 
     ``keys`` has no smallest node of a key: its pairs are star pairs.
     """
-    labelled = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    block = ["key", "i", "j"]
+    of_node = classes.select("node", "n_shingles").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
+    labelled = keys.join(of_node, "node")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     members = labelled.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # Each block meets itself and every other block of its key once.
     met = members.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "node", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
-    signed = met.join(classes.select("node", "signature"), "node")
-
-    def meet(this: int, i: int, j: int, part, node, label, signed) -> tuple[np.ndarray, np.ndarray]:
-        keys = chunk_keys(signed[:, :POSITIONS])
-        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found = within_radius(signed[a], signed[b]) & (label[a][:, None] != label[b][None])
-        if i == j:
-            found = np.triu(found, 1)
-        x, y = (of[k] for of, k in zip((a, b), np.nonzero(found), strict=True))
-        if len(x):
-            first = keys[x, (keys[x] == keys[y]).argmax(axis=1)].view(np.int64) == this
-            x, y = x[first], y[first]
-        return node[x], node[y]
+    dealt = met.join(classes.select("node", "signature"), "node").repartition(*block).sortWithinPartitions(*block)
+
+    def partners(batches):
+        for rows in _groups(batches, block):
+            x, y = _meet(rows)
+            if len(x):
+                yield from rows.take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
 
+    near = cut(dealt.mapInArrow(partners, dealt.schema))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def scan(batches):
-        # Rows come sorted by (key, i, j); a group may go over from one batch to the next.
-        rest = None
-        for rows in itertools.chain(batches, [None]):
-            table = pa.Table.from_batches([r for r in (rest, rows) if r is not None]).combine_chunks() if rest is not None or rows is not None else None
-            if table is None or not table.num_rows:
-                continue
-            group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-            edges = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
-            edges = np.append(edges, table.num_rows)
-            done = len(edges) - 1 if rows is None else len(edges) - 2
-            rest = None if rows is None else table.slice(edges[done]).combine_chunks().to_batches()[0]
-            part, node, label = (table.column(c).to_numpy() for c in ("part", "node", "label"))
-            signed, found = table.column("signature"), []
-            for g in range(done):
-                a, b = int(edges[g]), int(edges[g + 1])
-                if b - a > 1 and (label[a:b] != label[a]).any():
-                    found.append(meet(*group[:, a].tolist(), part[a:b], node[a:b], label[a:b], _matrix(signed.slice(a, b - a).to_pylist())))
-            if found:
-                yield batch(schema, *(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    dealt = signed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(scan, "a long, b long")
+    def links(batches):
+        for rows in _groups(batches, block):
+            (x, y), node = _meet(rows), rows.column("node").to_numpy()
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+            for those in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+                if len(those):
+                    a, b = x[those], y[those]
+                    keep = _linked(sets[a[0]], [sets[k] for k in b], threshold)
+                    if keep.any():
+                        yield batch(schema, node[a[keep]], node[b[keep]])
+
+    full = near.join(full_sets(near.select("node").distinct(), docs, signed), "node")
+    return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -296,7 +338,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signed = cut(sign(docs))
     usable = signed.where("doc_id is not null and n_shingles > 0")
     ids = usable.groupBy("node", "check").agg(F.min("doc_id").alias("smallest"))
-    classes = cut(usable.join(ids, ["node", "check"]).where("doc_id = smallest").dropDuplicates(["node", "check"]).select("node", "signature"))
+    classes = cut(usable.join(ids, ["node", "check"]).where("doc_id = smallest").dropDuplicates(["node", "check"]).select("node", "n_shingles", "signature"))
 
     of_key = Window.partitionBy("key")
     keys = index(classes).select("key", "node", F.count("*").over(of_key).alias("n"), F.min("node").over(of_key).alias("least"))
@@ -304,7 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     stars = keys.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(confirm(cut(near_pairs(stars, classes)), docs, signed, threshold))
     labels = components(links)
-    more = cut(confirm(cut(_open_pairs(keys.where("n > 2").select("key", "node"), classes, labels)), docs, signed, threshold))
+    more = cut(_open_links(keys.where("n > 2").select("key", "node"), classes, labels, docs, signed, threshold))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
