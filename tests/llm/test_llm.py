@@ -213,3 +213,18 @@ def test_pipeline_keeps_and_drops(spark):
     kept = p.quality_rule_stage(spark, docs, SF)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
     assert len(p.STAGES) == 5
+
+
+def test_stretches_solved_together_match_the_plain_search():
+    pieces = sentencepiece.Pieces.load()
+    texts = [sentencepiece.marked(t) for t in ["", "a", "Thé quick, (brown) fox's...  %%% x", "日本語 and\n\tüber ▁ \0", "y" * 200 + " z"]]
+    for text, (ids, score) in zip(texts, pieces.many(texts), strict=True):
+        best, back = pieces.forward(text, [0], len(text))
+        assert (np.frombuffer(ids, np.int32).tolist(), score) == (pieces.trace(text, back, len(text))[0], best[-1])
+
+
+def test_near_dup_with_several_blocks_to_a_key(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, near_dup.op7_near_dup(spark, SF).collect()))
+    whole = rows()
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    assert rows() == whole
