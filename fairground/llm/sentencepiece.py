@@ -1,25 +1,31 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding by a parallel scan over chunks.
 
-The pieces and their scores come from a public model file; a text's encoding is the segmentation of highest total
+The pieces and their scores come from a public model file.  The scores of a BPE model are ranks of merges: its encoding
+(``Merges``) joins, again and again, the two neighbours that make up the piece of highest score, the leftmost of equals.
+The scores of other models are log-probabilities: the encoding (``Pieces``) is the segmentation of highest total
 score, where a character in no piece costs ``UNKNOWN`` and becomes its byte pieces.  Of equal segmentations the one whose
 last piece is longest wins, then the one before it, and so on.  Scores are whole numbers, so sums are exact.
 
 Where every piece that holds a character begins with it (the word mark), or no piece holds it, all segmentations part, as
-they do between a letter and a mark of punctuation that no piece joins: between such cuts the best one is found once for
+they do between a letter and a mark of punctuation that no piece joins: between such cuts the encoding is found once for
 each distinct stretch and remembered in the worker.  The new stretches of some texts are solved together, character by
-character over all of them (``learn``).
+character, or merge by merge, over all of them (``learn``).
 
-A text of more than ``CHUNK`` characters is dealt out in chunks.  A chunk's transfer matrix holds, for each way in (how far
+A text of more than ``CHUNK`` characters is dealt out in chunks.  Under merges a chunk encodes what lies between its first
+and its last cut; what it has before and behind them is put together, over as many chunks as a stretch reaches, by the last
+chunk before that has a cut (``_merge_long``).  Otherwise a chunk's transfer matrix holds, for each way in (how far
 the last piece of the chunk before reaches in) and each way out, the best score; matrices are combined associatively, by
 (max, +), in groups of ``GROUP`` chunks and then of groups.  With the scores at its way in known, each chunk finds where each
 way out came from; those short maps are followed from the end of the text, and then every chunk is traced back on its own.
 
 A null text has null ids; an empty one has none.  Rows are told apart by a number of their own, so repeated rows and
-null ids each get their result.  The word mark U+2581 in a text is taken as an unknown character, so decoding gives it back.
+null ids each get their result.  The word mark U+2581 in a text is taken as an unknown character, so decoding gives it back
+(the model's own processor takes it for a space, and doesn't).
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import zlib
@@ -29,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairground.llm._shared import batch, column, cut, table, wider
@@ -306,6 +312,129 @@ class Pieces:
         return np.array(head, np.int32).tobytes() + self.many([text[a:b]])[0][0] + np.array(tail, np.int32).tobytes()
 
 
+class Merges:
+    """The encoding of a BPE model, by order of merges.  Cuts, byte pieces and decoding are those of its ``Pieces``."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.longest, self.decode = pieces, pieces.longest, pieces.decode
+        self._memory: dict[str, tuple[bytes, int]] = {}
+        symbols = {c: k for k, c in enumerate(sorted(set(pieces.ids) | {c for p in pieces.ids for c in p}), 1)}
+        self._first = np.zeros(0x110000, np.int32)
+        self._ids, self._scores = np.full(len(symbols) + 1, -1, np.int32), np.zeros(len(symbols) + 1, np.int64)
+        for p, k in symbols.items():
+            if len(p) == 1:
+                self._first[ord(p)] = k
+            if p in pieces.ids:
+                self._ids[k], self._scores[k] = pieces.ids[p]
+        halves = [(symbols[p[:n]] * (len(symbols) + 1) + symbols[p[n:]], k) for p, k in symbols.items() if p in pieces.ids for n in range(1, len(p)) if p[:n] in symbols and p[n:] in symbols]
+        halves.sort()
+        self._pairs, self._merged = np.array([h[0] for h in halves] + [1 << 62], np.int64), np.array([h[1] for h in halves] + [0], np.int32)
+
+    def _merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, rank) of each pair of neighbours; symbol 0 and the rank -NEVER where they make up no piece."""
+        pair = left.astype(np.int64) * len(self._ids) + right
+        at = np.searchsorted(self._pairs, pair)
+        symbol = np.where(self._pairs[at] == pair, self._merged[at], 0)
+        return symbol, np.where(symbol > 0, -self._scores[symbol], -NEVER)
+
+    def _result(self, symbols: list[str]) -> tuple[bytes, int]:
+        ids, score, get = [], 0, self.pieces.ids.get
+        for p in symbols:
+            if hit := get(p):
+                ids.append(hit[0])
+                score += hit[1]
+            else:  # only a character can be no piece
+                ids += [self.pieces.byte_ids[b] for b in p.encode()]
+                score += UNKNOWN
+        return array("i", ids).tobytes(), score
+
+    def plain(self, text: str) -> tuple[bytes, int]:
+        """(ids as int32 bytes, score) of a marked text of any kind, with a queue of neighbours."""
+        symbols, get = list(text), self.pieces.ids.get
+        before, after = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
+        queue = [(-hit[1], k, 2) for k in range(len(text) - 1) if (hit := get(text[k : k + 2]))]
+        heapq.heapify(queue)
+        while queue:
+            _, a, size = heapq.heappop(queue)
+            b = after[a]
+            # A pair is stale once either side has gone or grown.
+            if not symbols[a] or b >= len(symbols) or len(symbols[a]) + len(symbols[b]) != size:
+                continue
+            symbols[a] += symbols[b]
+            symbols[b] = ""
+            after[a] = after[b]
+            if after[a] < len(symbols):
+                before[after[a]] = a
+            for x, y in ((before[a], a), (a, after[a])):
+                if x >= 0 and y < len(symbols) and (hit := get(symbols[x] + symbols[y])):
+                    heapq.heappush(queue, (-hit[1], x, len(symbols[x]) + len(symbols[y])))
+        return self._result([p for p in symbols if p])
+
+    def learn(self, stretches: list[str], group: int = 8192) -> None:
+        """Remembers the encodings of the short stretches among these whose characters are all pieces."""
+        words = sorted((s for s in stretches if len(s) <= SHORT), key=len)
+        for k in range(0, len(words), group):
+            some = words[k : k + group]
+            n, width = len(some), len(some[-1])
+            letter = np.frombuffer("".join([w.ljust(width, "\0") for w in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+            length = np.array([len(w) for w in some])
+            inside = np.arange(width) < length[:, None]
+            # A last column of no symbol stands for what follows.
+            symbol = np.hstack([np.where(inside, self._first[letter], 0), np.zeros((n, 1), np.int32)])
+            whole = np.flatnonzero(((self._ids[symbol[:, :-1]] >= 0) | ~inside).all(axis=1))
+            symbol, length, columns = symbol[whole], length[whole], np.arange(width + 1)
+            merged, rank = self._merge(symbol[:, :-1], symbol[:, 1:])
+            live = np.arange(len(whole))
+            while len(live):
+                at = rank[live].argmin(axis=1)
+                go = rank[live, at] < -NEVER
+                live, at = live[go], at[go]
+                if not len(live):
+                    break
+                symbol[live, at] = merged[live, at]
+                # What lies behind the merged pair moves up by one.
+                moved = np.minimum(columns + (columns > at[:, None]), width)
+                symbol[live] = np.take_along_axis(symbol[live], moved, axis=1)
+                length[live] -= 1
+                for table in (merged, rank):
+                    table[live] = np.take_along_axis(table[live], np.minimum(moved[:, :-1], width - 1), axis=1)
+                for left in (at - 1, at):
+                    here = np.flatnonzero(left >= 0)
+                    r, c = live[here], left[here]
+                    merged[r, c], rank[r, c] = self._merge(symbol[r, c], symbol[r, c + 1])
+            raw, scores = self._ids[symbol].tobytes(), self._scores[symbol].sum(axis=1)
+            for i, (w, m, t) in enumerate(zip(whole.tolist(), length.tolist(), scores.tolist(), strict=True)):
+                self._memory[some[w]] = raw[4 * i * (width + 1) : 4 * (i * (width + 1) + m)], t
+
+    def stretch(self, text: str) -> tuple[bytes, int]:
+        """(ids as int32 bytes, score) of a stretch between two cuts."""
+        got = self._memory.get(text)
+        if got is None:
+            got = self.plain(text)
+            if len(text) <= SHORT:
+                if len(self._memory) >= REMEMBERED:
+                    self._memory.clear()
+                self._memory[text] = got
+        return got
+
+    def many(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """(ids as int32 bytes, score) of each of some marked texts; their new stretches are solved together."""
+        parts = [self.pieces._stretch.findall(t) for t in texts]
+        every, memory, find = set().union(*parts), self._memory, self.stretch
+        new = [p for p in every if p not in memory]
+        if len(memory) + len(new) > REMEMBERED:
+            memory.clear()
+            new = list(every)
+        self.learn(new)
+        found = [[memory.get(p) or find(p) for p in ps] for ps in parts]
+        return [(b"".join([g[0] for g in got]), sum([g[1] for g in got])) for got in found]
+
+    def parts(self, before: str, text: str) -> tuple[str | None, str, str]:
+        """(before the first cut, between the first and the last, behind the last) of a chunk, given the character before it; None, the text and nothing if it has no cut."""
+        cuts = [m.start() - len(before) for m in self.pieces._stretch.finditer(before + text) if m.start() >= len(before)]
+        return (text[: cuts[0]], text[cuts[0] : cuts[-1]], text[cuts[-1] :]) if cuts else (None, text, "")
+
+
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product."""
     return np.maximum((a[:, :, None] + b[None]).max(axis=1), NEVER)
@@ -321,6 +450,23 @@ def pieces_of(model: str) -> Pieces:
     return _loaded[model]
 
 
+_merges: dict[str, Merges] = {}
+
+
+def encoder_of(model: str) -> Pieces | Merges:
+    """What encodes as the model does, loaded once in each worker."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    if model not in _merges:
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(model, "rb") as f:
+            proto.ParseFromString(f.read())
+        if proto.trainer_spec.model_type != sentencepiece_model_pb2.TrainerSpec.BPE:
+            return pieces_of(model)
+        _merges[model] = Merges(pieces_of(model))
+    return _merges[model]
+
+
 def marked(text: str) -> str:
     """With the word mark before the first word; a space stands for it."""
     return " " + text if text else ""
@@ -328,7 +474,7 @@ def marked(text: str) -> str:
 
 def _short_batches(batches, model: str, keep: list[str], text: str):
     """The kept columns of batches of shorter texts, with ids and score."""
-    pieces = pieces_of(model)
+    pieces = encoder_of(model)
     for rows in batches:
         so_far = np.cumsum(pc.fill_null(pc.utf8_length(column(rows, text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TOGETHER
         edges = [0, *(np.flatnonzero(np.diff(so_far)) + 1).tolist(), rows.num_rows]
@@ -432,6 +578,37 @@ def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
     return whole.join(scores, "row")
 
 
+def _merge_long(chunks: DataFrame, model: str) -> DataFrame:
+    """(row, ids, score) from (row, k, before, part): the chunks of giant texts with the character before each."""
+
+    def solve(frames):
+        merges = encoder_of(model)
+        for f in (f[at : at + 64] for f in frames for at in range(0, len(f), 64)):
+            parts = [merges.parts(b, t) for b, t in zip(f["before"], f["part"], strict=True)]
+            found = merges.many([p[1] if p[0] is not None else "" for p in parts])
+            head = [p[1] if p[0] is None else p[0] for p in parts]
+            yield pd.DataFrame({"row": f["row"], "k": f["k"], "cut": [p[0] is not None for p in parts], "head": head, "tail": [p[2] for p in parts], "ids": [np.frombuffer(x[0], np.int32) for x in found], "score": [x[1] for x in found]})
+
+    def stretches(frames):
+        merges = encoder_of(model)
+        for f in frames:
+            found = merges.many(f["stretch"].tolist())
+            yield pd.DataFrame({"row": f["row"], "k": f["k"], "half": 1, "ids": [np.frombuffer(x[0], np.int32) for x in found], "score": [x[1] for x in found]})
+
+    solved = cut(chunks.mapInPandas(solve, "row long, k int, cut boolean, head string, tail string, ids array<int>, score long"))
+    # A head belongs to the last chunk before it that has a cut; the first chunk has one at its beginning.
+    owner = F.last(F.when(F.col("cut"), F.col("k")), ignorenulls=True).over(Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    heads = solved.select("row", owner.alias("owner"), "k", F.col("head").alias("text")).where("owner is not null")
+    tails = solved.where("cut").select("row", F.col("k").alias("owner"), "k", F.col("tail").alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "")
+    open_ones = heads.union(tails).groupBy("row", F.col("owner").alias("k")).agg(joined.alias("stretch"))
+    ends = open_ones.mapInPandas(stretches, "row long, k int, half int, ids array<int>, score long")
+    every = solved.select("row", "k", F.lit(0).alias("half"), "ids", "score").union(ends)
+    # One row holds a text's ids as one row held the text.
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "half", "ids"))), lambda x: x["ids"]))
+    return every.groupBy("row").agg(ids.alias("ids"), F.sum("score").alias("score"))
+
+
 def _encode(docs: DataFrame, model: str, text: str, chunk: int, then, kind) -> DataFrame:
     """What ``then``, from batches to batches of the type ``kind``, makes of the encoded rows in the worker that encodes them."""
     keep = docs.columns
@@ -445,6 +622,11 @@ def _encode(docs: DataFrame, model: str, text: str, chunk: int, then, kind) -> D
     giants = cut(giants.withColumn(row, F.monotonically_increasing_id()))
     whole = F.concat(F.lit(" "), F.col(text))
     parts = giants.select(F.col(row).alias("row"), whole.alias("t")).select("row", "t", F.explode(F.expr(f"sequence(0, (length(t) - 1) div {chunk})")).alias("k"))
+    if isinstance(encoder_of(model), Merges):
+        before = F.expr(f"if(k = 0, '', substring(t, k * {chunk}, 1))").alias("before")
+        parts = parts.select("row", F.col("k").cast("int").alias("k"), before, F.expr(f"substring(t, k * {chunk} + 1, {chunk})").alias("part"))
+        traced = _merge_long(cut(parts.repartition("row", "k")), model)
+        return short.unionByName(giants.join(traced, giants[row] == traced["row"]).select(*keep, "ids", "score").mapInArrow(then, kind))
     parts = parts.select("row", F.col("k").cast("int").alias("k"), F.expr(f"substring(t, k * {chunk} + 1, {chunk + width - 1})").alias("part"), F.expr(f"cast(least({chunk}, length(t) - k * {chunk}) as int)").alias("size"))
     traced = _scan_long(cut(parts.repartition("row", "k")), model)
     return short.unionByName(giants.join(traced, giants[row] == traced["row"]).select(*keep, "ids", "score").mapInArrow(then, kind))

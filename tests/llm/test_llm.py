@@ -228,3 +228,16 @@ def test_near_dup_with_several_blocks_to_a_key(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(near_dup, "BLOCK", 2)
     assert rows() == whole
+
+
+def test_sentencepiece_ids_are_the_models_own(spark):
+    import sentencepiece as library
+
+    own = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    odd = [(-1, "y" * 3000 + " z"), (-2, " " * 700 + "a" + " " * 100), (-3, "日本語 and\n\tüber \0 x..."), (-4, "ab" * 900), (-5, ""), (-6, None), (-6, "of the government, of (the) governments")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).union(spark.createDataFrame(odd, "doc_id long, text string"))
+    for chunk in (sentencepiece.CHUNK, 100):
+        rows = sentencepiece.decode(sentencepiece.encode(docs, chunk=chunk)).collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            assert r.ids == (None if r.text is None else own.encode(r.text)) and r.decoded == r.text
