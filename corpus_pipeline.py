@@ -13,6 +13,10 @@ from fairground.llm import decontamination, near_dup, quality_classifier, qualit
 from fairground.llm._shared import cut, table
 
 
+#: Hundredths of similarity from which documents are near copies; op7_near_dup has its own.
+SIMILAR = 80
+
+
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no rule rejects."""
     return quality_rules.apply_rules(docs).where("rejected_by is null").select(*docs.columns)
@@ -25,7 +29,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
+    kept = near_dup.near_duplicates(docs, SIMILAR).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 

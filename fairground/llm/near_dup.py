@@ -1,12 +1,13 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 Every text's set of word shingles gets ``POSITIONS`` minhash symbols of 16 bits.  Two sets of similarity
-s differ in about (1-s) of the symbols; the join finds every pair that differs in at most ``RADIUS`` of
-them.  The signature is split into ``CHUNKS`` chunks.  By pigeonhole, if ``RADIUS = CHUNKS * e + rest``,
+s differ in about (1-s) of the symbols; the join finds every pair that differs in at most ``radius`` of
+them.  The radius follows from the threshold (``plan_of``): it is the smallest that a pair just at the threshold
+exceeds with a chance of at most ``MISS``.  The signature is split into chunks.  By pigeonhole, if ``radius = chunks * e + rest``,
 such a pair has at most e errors in one of the first rest+1 chunks, or at most e-1 in one of the others;
 so each chunk is indexed once for each choice of that many symbols to be passed over, and the
-pair meets under at least one key.  At a similarity of exactly 0.85 a pair lies outside the radius with a
-chance of about 1e-5 (``miss_probability``); above it far less.  Links are confirmed on the full sets.
+pair meets under at least one key.  Above the threshold the chance of a miss (``miss_probability``) is far less.
+Links are confirmed on the full sets.
 
 Work is kept from growing with the square of a group:
   1. equal sets become one class; only classes are indexed;
@@ -27,8 +28,10 @@ are taken by their texts.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -42,9 +45,10 @@ from fairground.llm._words import LOWER, SPACED, Block, blocks, mix, windows
 SHINGLE = 5
 POSITIONS = 128
 MORE_POSITIONS = 128
-RADIUS = 37
-#: For all POSITIONS + MORE_POSITIONS symbols.
-WIDE_RADIUS = 68
+#: The chance that a pair just at the threshold is outside the radius, at most, and outside that of all POSITIONS + MORE_POSITIONS symbols.
+MISS = 2e-5
+WIDE_MISS = 1e-6
+#: At least so many chunks.
 CHUNKS = 32
 THRESHOLD = 85
 BLOCK = 1024
@@ -60,13 +64,24 @@ _FACTORS = (_random.randint(0, 1 << 31, POSITIONS + MORE_POSITIONS, dtype=np.int
 _TERMS = _random.randint(0, 1 << 32, POSITIONS + MORE_POSITIONS, dtype=np.int64).astype(np.uint32)
 
 
-def miss_probability(similarity: float, positions: int = POSITIONS, radius: int = RADIUS) -> float:
-    """Chance that two sets of this similarity differ in more than ``radius`` symbols."""
-    p = (1 - similarity) * (1 - 2.0**-16)
-    return sum(math.comb(positions, k) * p**k * (1 - p) ** (positions - k) for k in range(radius + 1, positions + 1))
+def miss_probability(similarity: float, radius: int | None = None, more: int = 0) -> float:
+    """Chance that two sets of this similarity differ in more than ``radius`` (that of THRESHOLD) of POSITIONS symbols and ``more`` short ones."""
+    radius, differ = PLAN.radius if radius is None else radius, np.ones(1)
+    for n, bits in ((POSITIONS, 16), (more, 8)):
+        p = (1 - similarity) * (1 - 2.0**-bits)
+        differ = np.convolve(differ, [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+    return float(differ[radius + 1 :].sum())
 
 
-def index_plan(positions: int = POSITIONS, radius: int = RADIUS, chunks: int = CHUNKS) -> list[np.ndarray]:
+class Plan(NamedTuple):
+    radius: int
+    #: For all POSITIONS + MORE_POSITIONS symbols.
+    wide_radius: int
+    #: The positions that make up each key.
+    keys: list[np.ndarray]
+
+
+def index_plan(positions: int, radius: int, chunks: int) -> list[np.ndarray]:
     """The positions that make up each key."""
     edges = np.linspace(0, positions, chunks + 1).astype(int)
     errors, rest = divmod(radius, chunks)
@@ -78,7 +93,19 @@ def index_plan(positions: int = POSITIONS, radius: int = RADIUS, chunks: int = C
     return plan
 
 
-PLAN = index_plan()
+@functools.cache
+def plan_of(threshold: int) -> Plan:
+    """The radii and keys for a threshold in hundredths; there are so many chunks that a key passes over one symbol at most."""
+    radius = next(r for r in range(POSITIONS + 1) if miss_probability(threshold / 100, r) <= MISS)
+    wide = next(r for r in range(POSITIONS + MORE_POSITIONS + 1) if miss_probability(threshold / 100, r, MORE_POSITIONS) <= WIDE_MISS)
+    chunks = CHUNKS
+    while radius >= 2 * chunks:
+        chunks *= 2
+    return Plan(radius, wide, index_plan(POSITIONS, radius, chunks))
+
+
+PLAN = plan_of(THRESHOLD)
+RADIUS = PLAN.radius
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -91,11 +118,11 @@ def signature(shingles: np.ndarray) -> bytes:
     return (symbols[:POSITIONS] >> np.uint64(48)).astype(np.uint16).tobytes() + (symbols[POSITIONS:] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+def chunk_keys(signatures: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
     """One 64-bit key for each row and each entry of the plan."""
     wide = signatures.astype(np.uint64)
-    out = np.empty((len(wide), len(PLAN)), np.uint64)
-    for k, keep in enumerate(PLAN):
+    out = np.empty((len(wide), len(plan.keys)), np.uint64)
+    for k, keep in enumerate(plan.keys):
         key = np.full(len(wide), np.uint64(k + 1))
         for p in keep:
             key = (key ^ wide[:, p]) * np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +170,7 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, node long, check long, signature binary")
 
 
-def index(classes: DataFrame) -> DataFrame:
+def index(classes: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """(key, node): a row for each class and key."""
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
@@ -152,7 +179,7 @@ def index(classes: DataFrame) -> DataFrame:
             signed, nodes = column(rows, "signature"), column(rows, "node").to_numpy()
             for at in range(0, len(nodes), 2048):
                 some = nodes[at : at + 2048]
-                keys = chunk_keys(_matrix(signed.slice(at, len(some)).to_pylist())[:, :POSITIONS])
+                keys = chunk_keys(_matrix(signed.slice(at, len(some)).to_pylist())[:, :POSITIONS], plan)
                 yield batch(schema, keys.view(np.int64).ravel(), np.repeat(some, keys.shape[1]))
 
     return classes.select("node", "signature").mapInArrow(scan, "key long, node long")
@@ -165,18 +192,18 @@ def _matrix(signed) -> np.ndarray:
     return np.hstack([head, raw[:, 2 * POSITIONS :].astype(np.uint16)])
 
 
-def within_radius(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def within_radius(a: np.ndarray, b: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
     """For signatures of two blocks, which pairs are within both radii."""
     near = np.zeros((len(a), len(b)), bool)
     for i in range(len(a)):
         differ = b[:, :POSITIONS] != a[i, :POSITIONS]
-        j = np.flatnonzero(differ.sum(axis=1) <= RADIUS)
+        j = np.flatnonzero(differ.sum(axis=1) <= plan.radius)
         if len(j):
-            near[i, j[(b[j] != a[i]).sum(axis=1) <= WIDE_RADIUS]] = True
+            near[i, j[(b[j] != a[i]).sum(axis=1) <= plan.wide_radius]] = True
     return near
 
 
-def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, classes: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """Those of the pairs (a, b) whose signatures are within the radii."""
     signed = classes.select("node", "signature")
     both = pairs.join(signed.toDF("b", "sb"), "b").join(signed.toDF("a", "sa"), "a")
@@ -186,7 +213,7 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if rows.num_rows:
                 a, b = (_matrix(column(rows, c).to_pylist()) for c in ("sa", "sb"))
                 differ = a != b
-                keep = pa.array((differ[:, :POSITIONS].sum(axis=1) <= RADIUS) & (differ.sum(axis=1) <= WIDE_RADIUS))
+                keep = pa.array((differ[:, :POSITIONS].sum(axis=1) <= plan.radius) & (differ.sum(axis=1) <= plan.wide_radius))
                 yield rows.select(["a", "b"]).filter(keep)
 
     return both.mapInArrow(scan, "a long, b long")
@@ -265,7 +292,7 @@ def _groups(batches, key: list[str]):
             yield whole.slice(a, b - a)
 
 
-def _meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _meet(rows: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Rows (x, y) of a block whose classes are in different components, within the radii, and have no earlier common key."""
     this, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
     part, label = (rows.column(c).to_numpy() for c in ("part", "label"))
@@ -273,8 +300,8 @@ def _meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if not len(a) or not len(b) or (label == label[0]).all():
         return a[:0], a[:0]
     signed = _matrix(rows.column("signature").to_pylist())
-    keys = chunk_keys(signed[:, :POSITIONS])
-    found = within_radius(signed[a], signed[b]) & (label[a][:, None] != label[b][None])
+    keys = chunk_keys(signed[:, :POSITIONS], plan)
+    found = within_radius(signed[a], signed[b], plan) & (label[a][:, None] != label[b][None])
     if i == j:
         found = np.triu(found, 1)
     x, y = (of[k] for of, k in zip((a, b), np.nonzero(found), strict=True))
@@ -298,7 +325,7 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
 
     ``keys`` has no smallest node of a key: its pairs are star pairs.
     """
-    block = ["key", "i", "j"]
+    block, plan = ["key", "i", "j"], plan_of(threshold)
     of_node = classes.select("node", "n_shingles").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
     labelled = keys.join(of_node, "node")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
@@ -309,7 +336,7 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
 
     def partners(batches):
         for rows in _groups(batches, block):
-            x, y = _meet(rows)
+            x, y = _meet(rows, plan)
             if len(x):
                 yield from rows.take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
 
@@ -318,7 +345,7 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
 
     def links(batches):
         for rows in _groups(batches, block):
-            (x, y), node = _meet(rows), rows.column("node").to_numpy()
+            (x, y), node = _meet(rows, plan), rows.column("node").to_numpy()
             order = np.argsort(x, kind="stable")
             x, y = x[order], y[order]
             sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
@@ -341,10 +368,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = cut(usable.join(ids, ["node", "check"]).where("doc_id = smallest").dropDuplicates(["node", "check"]).select("node", "n_shingles", "signature"))
 
     of_key = Window.partitionBy("key")
-    keys = index(classes).select("key", "node", F.count("*").over(of_key).alias("n"), F.min("node").over(of_key).alias("least"))
+    plan = plan_of(threshold)
+    keys = index(classes, plan).select("key", "node", F.count("*").over(of_key).alias("n"), F.min("node").over(of_key).alias("least"))
     keys = cut(keys.where("n > 1 and node <> least"))
     stars = keys.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirm(cut(near_pairs(stars, classes)), docs, signed, threshold))
+    links = cut(confirm(cut(near_pairs(stars, classes, plan)), docs, signed, threshold))
     labels = components(links)
     more = cut(_open_links(keys.where("n > 2").select("key", "node"), classes, labels, docs, signed, threshold))
     if not more.isEmpty():

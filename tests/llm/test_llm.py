@@ -241,3 +241,100 @@ def test_sentencepiece_ids_are_the_models_own(spark):
         assert len(rows) == docs.count()
         for r in rows:
             assert r.ids == (None if r.text is None else own.encode(r.text)) and r.decoded == r.text
+
+
+def shingles(text):
+    words = SPACED.findall((text or "").translate(LOWER))
+    n = min(near_dup.SHINGLE, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
+def test_near_dup_radii_follow_the_threshold():
+    assert near_dup.plan_of(85)[:2] == (37, 68) and len(near_dup.plan_of(85).keys) == 50
+    rng = np.random.RandomState(2)
+    for threshold in (90, 85, 80, 70, 50):
+        plan = near_dup.plan_of(threshold)
+        assert near_dup.miss_probability(threshold / 100, plan.radius) <= near_dup.MISS
+        assert near_dup.miss_probability(threshold / 100, plan.wide_radius, near_dup.MORE_POSITIONS) <= near_dup.WIDE_MISS
+        for _ in range(50):
+            a = rng.randint(0, 1 << 16, near_dup.POSITIONS).astype(np.uint16)
+            b = a.copy()
+            b[rng.choice(near_dup.POSITIONS, plan.radius, replace=False)] += 1
+            keys = near_dup.chunk_keys(np.stack([a, b]), plan)
+            assert (keys[0] == keys[1]).any()
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder of tables: those of SF with more documents, of which some pairs have a similarity of 0.80 to 0.85."""
+    base = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if quality_words(r.text)]
+    rows = [r.asDict() for r in base]
+    for k, r in enumerate(base[:25]):
+        words = r.text.split(" ")
+        n = len(shingles(r.text))
+        changed = max(1, round(n * (1 - 2 * 0.825 / 1.825) / near_dup.SHINGLE))
+        for i in range(changed):
+            words[(i + 1) * len(words) // (changed + 1)] += "x"
+        rows.append(r.asDict() | {"doc_id": 1_000_000 + k, "text": " ".join(words)})
+    sf = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema).write.parquet(f"{sf}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+    return sf
+
+
+def quality_words(text):
+    return text and 60 <= len(text.split()) <= 1500
+
+
+def smallest_of_groups(rows, threshold):
+    """The rows of smallest id of the groups of near copies."""
+    sets, group = [shingles(r.text) for r in rows], list(range(len(rows)))
+    band = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            union = len(sets[i]) + len(sets[j]) - shared
+            if union and 100 * shared >= threshold * union:
+                band += 100 * shared < 85 * union
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = {}
+    for r, g in zip(rows, group, strict=True):
+        if g not in kept or (r.doc_id is None, r.doc_id) < (kept[g].doc_id is None, kept[g].doc_id):
+            kept[g] = r
+    return kept.values(), band
+
+
+def test_pipeline_stages_and_run_against_brute_force(spark, corpus):
+    import corpus_pipeline as p
+    import sentencepiece as library
+
+    docs, own = spark.read.parquet(f"{corpus}/documents.parquet"), library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+    known, bench = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("labels", "benchmark"))
+    kept, band = smallest_of_groups(docs.collect(), 80)
+    assert band >= 10 and ids(p.near_dup_stage(spark, docs, corpus).collect()) == ids(kept)
+
+    # Each stage by itself, over all that the one before it kept.
+    passed = [r for r in docs.collect() if r.doc_id in {x.doc_id for x in quality_rules.judge(docs).where("kept").collect()}]
+    frame = spark.createDataFrame(passed, docs.schema)
+    assert ids(p.quality_rule_stage(spark, docs, corpus).collect()) == ids(passed)
+    good = {r.doc_id for r in quality_classifier.classify(frame, known).where("predicted = 1").collect()}
+    passed = [r for r in passed if r.doc_id in good]
+    assert ids(p.quality_classifier_stage(spark, frame, corpus).collect()) == ids(passed)
+    passed = list(smallest_of_groups(passed, 80)[0])
+    frame = spark.createDataFrame(passed, docs.schema)
+    split = lambda text: LETTERED.findall((text or "").translate(LOWER))
+    size, windows = decontamination.WINDOW, set()
+    for r in bench.collect():
+        w = split(r.text)
+        n = min(size, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    lengths = {len(w) for w in windows}
+    holds = lambda w: any(tuple(w[i : i + n]) in windows for n in lengths for i in range(len(w) - n + 1))
+    passed = [r for r in passed if not holds(split(r.text))]
+    assert ids(p.decontamination_stage(spark, frame, corpus).collect()) == ids(passed)
+    want = {r.doc_id: own.encode(r.text) for r in passed}
+    for rows in (p.sentencepiece_stage(spark, spark.createDataFrame(passed, docs.schema), corpus).collect(), p.run(spark, corpus).collect()):
+        assert {r.doc_id: r.ids for r in rows} == want and len(rows) == len(want) and all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
