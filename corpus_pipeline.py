@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each over all that the one before it kept.
 
-A row of null doc_id passes the first two stages and goes at the third, which needs ids; rows that share a
-doc_id leave the third stage as one.  An empty table stays empty.
+Rows are told apart by a number of their own where ids are needed, so rows of null doc_id and rows that share a doc_id are
+judged by their texts like all others.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,9 +28,13 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    kept = near_dup.near_duplicates(docs, SIMILAR).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document of smallest id of each group of near-duplicates; a null id comes after all others."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_dup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), SIMILAR).select(F.col("doc_id").alias("__row"), "component_id")
+    # Of rows that share an id their contents decide, and the row number only between equal rows.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row")
+    kept = rows.select("__row", "doc_id", F.xxhash64(*docs.columns).alias("__hash")).join(groups, "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -338,3 +338,15 @@ def test_pipeline_stages_and_run_against_brute_force(spark, corpus):
     want = {r.doc_id: own.encode(r.text) for r in passed}
     for rows in (p.sentencepiece_stage(spark, spark.createDataFrame(passed, docs.schema), corpus).collect(), p.run(spark, corpus).collect()):
         assert {r.doc_id: r.ids for r in rows} == want and len(rows) == len(want) and all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
+
+
+def test_pipeline_near_dup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(200)]
+    copy = " ".join([*words[:100], "x", *words[101:]])
+    rows = [(1, " ".join(words)), (2, copy), (2, "a text of its own that shares an id"), (None, "a clean text of no id"), (None, "a clean text of no id"), (None, copy), (3, None), (3, ""), (None, None)]
+    got = p.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    want = [rows[0], rows[2], rows[3], rows[6], rows[7], rows[8]]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert p.near_dup_stage(spark, spark.createDataFrame([], "doc_id long, text string"), SF).count() == 0
