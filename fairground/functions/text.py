@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Fixed values.
 DROPPED_PARAMETERS = ["from", "spm", "chksm", "scene", "clicktime", "enterid"]
@@ -89,17 +89,19 @@ def topic_rules(c: Column, keywords: dict[str, list[str]]) -> Column:
     return F.array_compact(found)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """200 * longest common subsequence / (len a + len b), by one higher-order pass for each character of ``a``."""
-    letters = lambda c: F.split(c, "")
-    width = F.length(b)
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with a bit for each character of ``a``."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    every = left = (1 << len(a)) - 1
+    for y in b:
+        hit = left & at.get(y, 0)
+        left = ((left + hit) | (left - hit)) & every
+    return len(a) - left.bit_count()
 
-    def row(previous: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), width),
-            F.array(F.lit(0)),
-            lambda done, j: F.concat(done, F.array(F.when(x == F.get(letters(b), j - 1), F.get(previous, j - 1) + 1).otherwise(F.greatest(F.get(previous, j), F.element_at(done, -1))))),
-        )
 
-    common = F.aggregate(F.filter(letters(a), lambda x: x != ""), F.array_repeat(F.lit(0), width + 1), row, lambda last: F.element_at(last, -1))
-    return F.when((F.length(a) + width) == 0, 100.0).when((F.length(a) == 0) | (width == 0), 0.0).otherwise(200.0 * common / (F.length(a) + width))
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """200 * longest common subsequence / (len a + len b); 100 of two empty texts."""
+    return pd.Series([None if x is None or y is None else 200.0 * common(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype="float64")

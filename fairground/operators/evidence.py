@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairground.functions.text import DISTRICTS, canon_url, norm, ratio
 from fairground.functions.times import at
 
 
@@ -96,19 +97,51 @@ def resolve_redirects(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return reached
 
 
+def venue(location: Column) -> Column:
+    """Whether a normalised location names more than regions."""
+    rest = F.regexp_replace(location, f"^(?:中华人民共和国|中国|广东(?:省)?|深圳(?:市)?|(?:{'|'.join(DISTRICTS)})(?:新区|区)?)+", "")
+    parts = r"^(?:[\u3400-\u9fff]{1,12}?(?:自治区|自治州|特别行政区|街道|新区|省|市|区|县|镇|乡|村))++"
+    return F.when((F.length(rest) > 2) & rest.rlike("(校区|园区)$"), True).otherwise(F.regexp_replace(rest, parts, "") != "")
+
+
 def duplicate_pairs(rows: DataFrame, least_ratio: float = 93.0) -> DataFrame:
-    """Pairs on the same date with equal or nearly equal titles and no conflicting place or mode.
+    """Pairs on the same date with equal or nearly equal titles and no conflicting place, mode or clock.
 
-    Dates are the blocks; the title's length bounds the ratio before it is worked out, and it is worked out last.
+    Dates are the blocks.  What is unknown, or no column of ``rows``, conflicts with nothing.  Cheap rules come first, then
+    two bounds that no pair within the ratio exceeds (lengths; an edit distance is at most the insertions and deletions),
+    and the ratio is worked out last.
     """
-    from fairground.functions.text import ratio
-
-    a, b = rows.alias("a"), rows.alias("b")
-    cheap = (F.to_date("a.start_at") == F.to_date("b.start_at")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.district") == F.col("b.district")) & (F.col("a.organizer") == F.col("b.organizer"))
-    cheap = cheap & ~((F.col("a.attendance") != F.col("b.attendance")) & ((F.col("a.attendance") == "online") | (F.col("b.attendance") == "online")))
-    x, y = F.col("a.title"), F.col("b.title")
-    bound = 200.0 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y)) >= least_ratio
-    return a.join(b, cheap).where(bound).where((x == y) | (F.when(F.least(F.length(x), F.length(y)) >= 10, ratio(x, y)) >= least_ratio)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    known = lambda c, kind="string": F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+    year = F.date_format("start_at", "yyyy")
+    made = rows.where("start_at is not null").select(
+        "id",
+        F.to_date("start_at").alias("day"),
+        F.date_format("start_at", "HH:mm").alias("clock"),
+        F.col("start_at").alias("start"),
+        F.replace(norm(known("title")), year, F.lit("")).alias("title"),
+        norm(known("location")).alias("place"),
+        F.coalesce(known("location"), F.lit("")).alias("location"),
+        F.when(~known("district").isin("", "待确认"), known("district")).alias("district"),
+        norm(known("organizer")).alias("organizer"),
+        F.coalesce(known("attendance"), F.lit("unknown")).alias("mode"),
+        F.coalesce(known("all_day", "boolean"), F.lit(False)).alias("all_day"),
+        canon_url(known("url")).alias("url"),
+    )
+    a, b = made.alias("a"), made.alias("b")
+    both = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
+    (m, n), (p, q), (x, y), (u, v) = both("mode"), both("place"), both("title"), both("organizer")
+    timed = ~F.col("a.all_day") & ~F.col("b.all_day")
+    same_venue = (p == q) & (F.length(p) > 5) & venue(p) & ~F.col("a.location").rlike("待确认|待定|通知|未知")
+    mixed = m.isin("hybrid", "offline") & n.isin("hybrid", "offline")
+    met = same_venue & (((u != "") & (u == v)) | (timed & (F.col("a.start") == F.col("b.start"))))
+    same_url = (F.col("a.url") != "") & (F.col("a.url") == F.col("b.url"))
+    mode = same_url | (m == n) | ((m != "online") & (n != "online") & (~mixed | met))
+    cheap = mode & F.coalesce(F.col("a.district") == F.col("b.district"), F.lit(True)) & ~(timed & (F.col("a.clock") != F.col("b.clock")))
+    far = F.when((F.least(F.length(p), F.length(q)) > 5) & ~F.contains(p, q) & ~F.contains(q, p), ratio(p, q) < 80).otherwise(False)
+    both_lengths = F.length(x) + F.length(y)
+    bound = (200.0 * F.least(F.length(x), F.length(y)) >= least_ratio * both_lengths) & (F.levenshtein(x, y) <= (1 - least_ratio / 100) * both_lengths + 1e-6)
+    pairs = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.id") < F.col("b.id")) & cheap & bound)
+    return pairs.where(~far).where((x == y) | (F.when(F.least(F.length(x), F.length(y)) >= 10, ratio(x, y)) >= least_ratio)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def admit_within_budget(requests: DataFrame, calls: int, tokens: float) -> DataFrame:

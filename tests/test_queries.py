@@ -128,3 +128,39 @@ def test_feed(spark):
     feed = "<rss><channel><item><title>One</title><link>http://a/1</link><pubDate>Mon</pubDate></item><item><title/><link>http://a/2</link></item></channel></rss>"
     got = feed_entries(spark.createDataFrame([("s", feed)], "source_id string, body string")).collect()
     assert [(r.title, r.link, r.published) for r in got] == [("One", "http://a/1", "Mon")]
+
+
+def test_duplicate_pairs_of_a_date(spark):
+    long = "Evening concert of the city orchestra"
+    when, other = datetime.datetime(2026, 9, 14, 19, 30), datetime.datetime(2026, 9, 14, 20, 0)
+    rows = [
+        (1, long, when, False, "A", "x", "offline", "深圳市南山区科技园会堂"),
+        (2, long + "s", when, False, None, "y", "unknown", None),
+        (3, long.upper() + " 2026", when, True, "A", None, None, None),
+        (4, long, other, False, "A", "x", "offline", None),
+        (5, long, when, False, "B", "x", "offline", None),
+        (6, long, when, False, "A", "x", "online", None),
+        (7, long, when, False, "A", "z", "hybrid", "深圳市南山区科技园会堂"),
+        (8, long, when, False, "A", "x", "hybrid", "深圳市南山区"),
+        (9, "Something else", when, False, "A", "x", "offline", None),
+        (10, long, None, False, "A", "x", "offline", None),
+    ]
+    frame = spark.createDataFrame(rows, "id long, title string, start_at timestamp, all_day boolean, district string, organizer string, attendance string, location string")
+    got = {(r.a, r.b) for r in E.duplicate_pairs(frame).collect()}
+    assert got == {(1, 2), (1, 3), (1, 7), (2, 3), (2, 5), (2, 7), (2, 8), (3, 4), (3, 7), (3, 8), (7, 8)}
+
+
+def test_duplicate_pairs_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    by, want = {}, set()
+    for r in Q.V.activity(spark, sf).collect():
+        by.setdefault(r.start_at.date(), []).append(r)
+    for day, group in by.items():
+        named = [("".join(c for c in r.title.casefold() if c.isalnum()).replace(str(day.year), ""), r) for r in group]
+        for s, x in named:
+            for t, y in named:
+                modes = {x.attendance, y.attendance}
+                # No table has a venue, so a hybrid activity is none at a place.
+                if x.id < y.id and x.district == y.district and not (len(modes) == 2 and ("online" in modes or modes == {"hybrid", "offline"})) and X.common(s, t) * 200 >= 93 * (len(s) + len(t)):
+                    want.add((x.id, y.id))
+    assert {(r.a, r.b) for r in Q.QUERIES["dup_candidates"](spark, sf).collect()} == want and len(want) > 11
