@@ -36,7 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairground.llm._shared import batch, column, cut, table
@@ -367,10 +367,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ids = usable.groupBy("node", "check").agg(F.min("doc_id").alias("smallest"))
     classes = cut(usable.join(ids, ["node", "check"]).where("doc_id = smallest").dropDuplicates(["node", "check"]).select("node", "n_shingles", "signature"))
 
-    of_key = Window.partitionBy("key")
     plan = plan_of(threshold)
-    keys = index(classes, plan).select("key", "node", F.count("*").over(of_key).alias("n"), F.min("node").over(of_key).alias("least"))
-    keys = cut(keys.where("n > 1 and node <> least"))
+    # Counts and smallest nodes are added up before the shuffle; in the join a hot key's rows can be split.
+    shared = index(classes, plan).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    keys = cut(index(classes, plan).join(shared, "key").where("node <> least"))
     stars = keys.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(confirm(cut(near_pairs(stars, classes, plan)), docs, signed, threshold))
     labels = components(links)
