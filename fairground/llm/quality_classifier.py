@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
-Each class has its mean and covariance, from sums that Spark adds up over all labelled training rows; the
-covariance is shrunk towards the pooled one and then towards its own mean variance.  A score is the
+Each class has its mean and covariance, from sums that Spark adds up over the labelled training rows (at most
+``SAMPLE_ROWS``, taken by hash of the id, whose labels are broadcast to the texts); the covariance is shrunk towards the pooled one and then towards its own mean variance.  A score is the
 logistic of the difference of the two Mahalanobis log-densities (by Cholesky factors made once) plus
 the log prior odds, tempered by the number of statistics.
 
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table
+from fairground.llm._shared import batch, column, labelled_texts, table
 from fairground.llm._stats import Stats
 from fairground.llm._words import blocks, owners, sums
 
+SAMPLE_ROWS = 20_000
 TOWARDS_POOLED = 0.3
 TOWARDS_SPHERE = 0.02
 FEATURES = ["symbols", "upper", "shouts", "bars", "digits", "repeats", "stutter", "dup_lines", "word_length", "distinct"]
@@ -49,38 +50,24 @@ def statistics(s: Stats) -> np.ndarray:
     ).astype(float)
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x)"""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
-
-    def scan(batches):
-        for rows in batches:
-            x = [statistics(Stats(data, offsets)) for _, _, data, offsets in blocks(column(rows, "text"))]
-            x = np.concatenate(x) if x else np.zeros((0, len(FEATURES)))
-            at = np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, x array<double>")
-
-
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
 def class_moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """label -> (rows, sum, sum of outer products), from (label, x); partial sums are made where the rows are."""
+    """label -> (rows, sum, sum of outer products), from (text, label); partial sums are made where the rows are."""
     d = len(FEATURES) + 1
     schema = pa.schema([("label", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
 
     def partial(batches):
         total: dict[int, np.ndarray] = {}
         for rows in batches:
-            if rows.num_rows:
-                labels = column(rows, "label").to_numpy()
-                x = np.asarray(column(rows, "x").flatten()).reshape(len(labels), -1)
-                x = np.hstack([np.ones((len(x), 1)), x])
-                for k in np.unique(labels):
-                    total[int(k)] = total.get(int(k), 0) + x[labels == k].T @ x[labels == k]
+            labels = column(rows, "label").to_numpy()
+            for first, end, data, offsets in blocks(column(rows, "text")):
+                x = statistics(Stats(data, offsets))
+                x, of = np.hstack([np.ones((len(x), 1)), x]), labels[first:end]
+                for k in np.unique(of):
+                    total[int(k)] = total.get(int(k), 0) + x[of == k].T @ x[of == k]
         for k, m in total.items():
             i, j = np.indices((d, d))
             yield batch(schema, np.full(d * d, k), i.ravel(), j.ravel(), m.ravel())
@@ -121,35 +108,34 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / len(FEATURES), -40, 40)))
 
 
-def fit(examined: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    train = examined.where(~held_out() & F.col("doc_id").isNotNull()).join(labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)"), "doc_id")
-    return Discriminant(class_moments(train.select("label", "x")))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Discriminant:
+    return Discriminant(class_moments(labelled_texts(docs, labels.where(~held_out()), label, sample_rows)))
+
+
+def _scores(model: Discriminant, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.score(statistics(Stats(data, offsets))) for _, _, data, offsets in blocks(texts))])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    examined = cut(with_statistics(docs))
-    model = fit(examined, labels)
+    docs, model = docs.select("doc_id", "text"), fit(docs, labels)
 
     def scan(batches):
         for rows in batches:
-            x = np.asarray(column(rows, "x").flatten()).reshape(rows.num_rows, -1)
-            score = model.score(x)
+            score = _scores(model, column(rows, "text"))
             yield batch(schema, column(rows, "doc_id"), score, (score >= 0.5).astype(np.int32))
 
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
-    return examined.mapInArrow(scan, "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return docs.mapInArrow(scan, "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are predicted good, with their own columns; one more pass scores them in place."""
-    model = fit(with_statistics(docs), labels)
+    """The documents that are predicted good, with their own columns, whatever these are called."""
+    model = fit(docs, labels)
 
     def scan(batches):
         for rows in batches:
-            x = [statistics(Stats(data, offsets)) for _, _, data, offsets in blocks(column(rows, "text"))]
-            good = np.concatenate([model.score(part) >= 0.5 for part in x]) if x else np.zeros(0, bool)
-            yield rows.filter(pa.array(good))
+            yield rows.filter(pa.array(_scores(model, column(rows, "text")) >= 0.5))
 
     return docs.mapInArrow(scan, docs.schema)
 
