@@ -6,13 +6,15 @@ has a 64-bit hash: a polynomial over its bytes, taken from one prefix sum over t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+#: A block's arrays have up to ten times its bytes; at this size they fit in a core's cache.
+BLOCK_BYTES = 1 << 18
 U = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -27,9 +29,6 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 LETTERED = np.zeros(256, bool)
 LETTERED[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers = np.ones(1, U)
-_inverses = np.ones(1, U)
-
 
 def _mix_int(x: int) -> int:
     x = (x + MULTIPLIER) % (1 << 64)
@@ -47,14 +46,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + 2)
-        for name, base in (("_powers", MULTIPLIER), ("_inverses", INVERSE)):
-            x = np.full(size, U(base))
-            x[0] = 1
-            globals()[name] = np.cumprod(x)
+def _series(base: int, n: int) -> np.ndarray:
+    x = np.full(n, U(base))
+    x[:1] = 1
+    return np.cumprod(x)
+
+
+@functools.cache
+def _block_series(base: int) -> np.ndarray:
+    return _series(base, BLOCK_BYTES + 2)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1); only those of a usual block are kept, not what a giant text needs."""
+    kept = _block_series(base)
+    return kept[:n] if n <= len(kept) else _series(base, n)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +89,12 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        _grow(len(data) + 1)
+        self._inverses = _powers_of(INVERSE, len(data) + 1)
         self._prefix = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTE_VALUES[data] * _powers[: len(data)], out=self._prefix[1:])
+        np.cumsum(BYTE_VALUES[data] * _powers_of(MULTIPLIER, len(data)), out=self._prefix[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._prefix[ends] - self._prefix[starts]) * _inverses[starts] + (ends - starts).astype(U) * U(0x2545F4914F6CDD1D))
+        return mix((self._prefix[ends] - self._prefix[starts]) * self._inverses[starts] + (ends - starts).astype(U) * U(0x2545F4914F6CDD1D))
 
     def words(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, offsets): byte ranges of the words, and where each text's words begin."""

@@ -25,6 +25,7 @@ null ids each get their result.  The word mark U+2581 in a text is taken as an u
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import re
@@ -65,8 +66,6 @@ class Pieces:
         for i in special or {}:
             self.texts[i] = b""
         self.longest = max(map(len, self.ids), default=1)
-        #: What pieces begin with: the piece of just these characters, or None.
-        self._begins = {p[:n]: self.ids.get(p[:n]) for p in self.ids for n in range(1, len(p) + 1)}
         known = {c for p in self.ids for c in p}
         held = {c for p in self.ids for c in p[1:].lstrip(" ")} if any(p.startswith(" ") for p in self.ids) else {c for p in self.ids for c in p[1:]}
         self.marks_cut = " " not in held
@@ -98,6 +97,11 @@ class Pieces:
                 special[i] = s.id_to_piece(i)
         return cls(vocabulary, byte_ids, special)
 
+    @functools.cached_property
+    def _begins(self) -> dict[str, tuple[int, int] | None]:
+        """What pieces begin with: the piece of just these characters, or None.  An encoding by merges has no need of it."""
+        return {p[:n]: self.ids.get(p[:n]) for p in self.ids for n in range(1, len(p) + 1)}
+
     def moves(self, text: str, at: int) -> list[tuple[int, int, int | None]]:
         """(length, score, piece) of each piece that begins at ``at``; an unknown character is piece None.
 
