@@ -14,7 +14,7 @@ Work is kept from growing with the square of a group:
   2. each key pairs its classes with the smallest one only; those pairs are confirmed and components formed;
   3. only keys that still hold several components are looked at again.  There the other pairs between
      different components are tested on signatures within tasks, in blocks of bounded size, each pair under
-     its first common key alone.  A block's classes that have a partner within the radius get their full
+     its first common key alone; the blocks of one large component don't meet each other.  A block's classes that have a partner within the radius get their full
      sets and meet once more; links alone leave the task, so no row is made for a pair that is refused.
 To confirm the pairs with smallest classes, they are dealt into cells by the hashes of both ends; a set goes
 once to each cell that needs it, not once to each pair.
@@ -328,10 +328,18 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
     block, plan = ["key", "i", "j"], plan_of(threshold)
     of_node = classes.select("node", "n_shingles").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
     labelled = keys.join(of_node, "node")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = labelled.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # Each block meets itself and every other block of its key once.
-    met = members.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "node", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+    # A component of half a block and over has parts of its own, which need not meet each other; the smaller ones share parts.
+    of_label = labelled.groupBy("key", "label").agg(F.sum("weight").alias("n"))
+    small = F.when(2 * F.col("n") < BLOCK, F.col("n"))
+    of_key = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.coalesce(F.sum(small), F.lit(0)).alias("small")).where("labels > 1")
+    placed = of_label.join(of_key, "key").select("key", "label", small.isNull().alias("large"), F.ceil(F.when(small.isNull(), F.col("n")).otherwise(F.col("small")) / BLOCK).alias("parts"))
+    part = lambda k: F.when(F.col("large"), F.xxhash64("label", k)).otherwise(F.xxhash64(k)).alias("part")
+    owner = F.when(F.col("large"), F.col("label"))
+    parts = placed.select("key", owner.alias("owner"), "large", "label", F.explode(F.expr("sequence(0L, parts - 1)")).alias("k")).select("key", "owner", part(F.col("k"))).distinct()
+    meet = parts.toDF("key", "of_i", "i").join(parts.toDF("key", "of_j", "j"), "key").where("i <= j and not coalesce(of_i = of_j, false)").select("key", "i", "j")
+    sides = meet.select("*", F.col("i").alias("part")).union(meet.where("i < j").select("*", F.col("j").alias("part")))
+    members = labelled.join(placed, ["key", "label"]).select("key", "node", "label", part(F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("label"))), F.col("parts"))))
+    met = members.join(sides, ["key", "part"]).select("key", "node", "label", "i", "j", "part")
     dealt = met.join(classes.select("node", "signature"), "node").repartition(*block).sortWithinPartitions(*block)
 
     def partners(batches):
