@@ -19,7 +19,7 @@ SIMILAR = 80
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no rule rejects."""
-    return quality_rules.apply_rules(docs).where("rejected_by is null").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
