@@ -6,8 +6,10 @@ shard takes about 1/(n+1) of the rows, all into itself.  The 64-bit products are
 DECIMAL(38,0), which holds them exactly, so nothing depends on integers that wrap.
 
 Slots are gapless within a shard without a window over the shard: rows are dealt into buckets of a
-shard, numbered inside their bucket, and raised by the counts of the buckets before.  Equal rows
-(same key, size and checksum) are first counted to one row, so a group of copies is never in one task.
+shard, numbered inside their bucket, and raised by the counts of the buckets before.  A bucket goes by a hash of
+the key with the checksum, so the copies of one text under many keys go to all buckets; equal rows (same key, size
+and checksum) are first counted to one row.  There is a bucket for each ``BUCKET_ROWS`` counted rows of a shard, and
+``BUCKETS`` at least, so what one task numbers doesn't grow with the table.
 
 A null key counts as key 0; a null text has no bytes (size 8, checksum 0).  Repeated rows stay
 repeated, each with its own slot; an empty table gives an empty table.
@@ -15,14 +17,16 @@ repeated, each with its own slot; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairground.llm._shared import cut, table
 
 SHARDS = 24
-#: Buckets of a shard; a bucket is what one task numbers.  Raise it with the table: at 10^10 rows, 4096.
 BUCKETS = 256
+BUCKET_ROWS = 1_000_000
 _RUN = 65_536
 
 
@@ -45,18 +49,26 @@ def jump_hash(key: str, shards: int) -> Column:
     )
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def bucket_of(buckets: int) -> Column:
+    """By the upper half of a product of the key (mod 2^31), the checksum and the size."""
+    spread = "(pmod(coalesce(key, 0), 2147483648L) * 2654435761L) % 4294967296L div 65536"
+    return F.expr(f"cast(pmod({spread} + text_crc32 + size, {buckets}L) as int)")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for every row."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     sized = docs.select(F.col(key).alias("key"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    counted = cut(sized.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n")).select("*", jump_hash("key", shards).alias("shard"), F.expr(f"cast(pmod(text_crc32 + size, {buckets}) as int)").alias("bucket")))
+    counted = cut(sized.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n")).select("*", jump_hash("key", shards).alias("shard")))
+    buckets = max(buckets, math.ceil(counted.agg(F.sum("n")).first()[0] or 0) // (shards * bucket_rows) + 1)
+    counted = counted.withColumn("bucket", bucket_of(buckets))
 
-    # The counts of the buckets before: shards * buckets rows at most, whatever the input.
+    # The counts of the buckets before, dealt and sorted as the rows are, so that the join moves nothing but these.
     sums = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
     before = sums.select("shard", "bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before"))
 
     inside = Window.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size")
-    placed = counted.withColumn("from", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(before), ["shard", "bucket"])
+    placed = counted.withColumn("from", F.sum("n").over(inside) - F.col("n")).join(before, ["shard", "bucket"])
     # Counted rows are told apart again in runs, so that no array grows with a group of copies.
     runs = placed.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {_RUN})")))
     rows = runs.withColumn("at", F.explode(F.expr(f"sequence(run * {_RUN}, least(n, (run + 1) * {_RUN}) - 1)")))
@@ -84,8 +96,10 @@ g(r, n, k, b, j) as (
   select r, n, ((coalesce(doc_id, 0)::hugeint + 18446744073709551616) % 18446744073709551616 * 2862933555777941757 + 1) % 18446744073709551616, -1::bigint, 0::bigint from d, (select unnest([24, 25]) as n)
   union all
   select r, n, (k * 2862933555777941757 + 1) % 18446744073709551616, j, floor((j + 1) * (2147483648::double / ((k // 8589934592) + 1)::double))::bigint from g where j < n),
-f as (select r, n, max(b) as shard from g where b < n group by r, n)
+f as (select r, n, max(b) as shard from g where b < n group by r, n),
+q as (select greatest(256, count(*) // 24000000 + 1) as buckets from documents),
+v as (select r, (((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648 * 2654435761) % 4294967296 // 65536 + text_crc32 + size) % buckets as bucket from s, q)
 select doc_id, size, text_crc32, 'key' as law, cast(a.shard as integer) as shard,
-       row_number() over (partition by a.shard order by (text_crc32 + size) % 256, doc_id, text_crc32, size) - 1 as slot, cast(z.shard as integer) as grown_shard
-from s join f a on a.r = s.r and a.n = 24 join f z on z.r = s.r and z.n = 25
+       row_number() over (partition by a.shard order by bucket, doc_id, text_crc32, size) - 1 as slot, cast(z.shard as integer) as grown_shard
+from s join v using (r) join f a on a.r = r and a.n = 24 join f z on z.r = r and z.n = 25
 """
