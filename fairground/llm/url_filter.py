@@ -6,8 +6,10 @@ listed keys that the second lets through, and so on until nothing is wrongly let
 listed if the first level that rejects it is an even one (counting from 1).
 
 Keys are dealt by hash into segments of about ``SEGMENT_KEYS`` distinct keys, and each task builds the
-cascade of one segment.  The finished cascades are broadcast only if their measured size is at most
-``BROADCAST_BYTES``; beyond that each row is joined with its segment's cascade instead.
+cascade of one segment.  Listed keys whose 64-bit hash an unlisted key shares are in no filter: they are kept
+beside it as they are (``exact``), so that membership is exact and building ends.  A key that is given both as listed and
+as unlisted is listed.  The finished cascades are broadcast only if their measured size is at most ``BROADCAST_BYTES``;
+beyond that rows meet their segment's cascade in groups of at most about ``GROUP_ROWS``, a hot segment in many.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule, and is judged by the
 cascade as the empty key (unlisted).  Repeated rows each get their verdict; an empty table gives none.
@@ -34,8 +36,9 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: A host is listed if one of these is among its parts (split at dots and hyphens).
+#: The parts of hosts (split at dots and hyphens) that the query lists; ``listed_hosts`` takes any table of such words.
 UNWANTED = ["ads", "adult", "bets", "casino", "pills", "spam"]
+GROUP_ROWS = 100_000
 SEGMENT_KEYS = 20_000
 BROADCAST_BYTES = 32 << 20
 BITS_A_KEY = 8
@@ -80,7 +83,7 @@ def _holds(level: int, packed: bytes, hashes: np.ndarray) -> np.ndarray:
 
 
 def build_levels(listed: np.ndarray, others: np.ndarray) -> list[bytes]:
-    """Filters of one segment from the keys' hashes (64 bits; equal hashes on both sides can't be told apart)."""
+    """Filters of one segment from the keys' 64-bit hashes, which must differ between the sides."""
     levels, inside, outside = [], listed, others
     while len(inside):
         size = 64 * math.ceil(max(64, BITS_A_KEY * len(inside)) / 64)
@@ -93,6 +96,13 @@ def build_levels(listed: np.ndarray, others: np.ndarray) -> list[bytes]:
     return levels
 
 
+def build_segment(keys: pd.Series, listed: np.ndarray) -> tuple[list[bytes], list[str]]:
+    """(levels, exact) of the distinct keys of one segment."""
+    hashes = _key_hashes(keys)
+    shared = np.isin(hashes, np.intersect1d(hashes[listed], hashes[~listed]))
+    return build_levels(hashes[listed & ~shared], hashes[~listed & ~shared]), keys[listed & shared].tolist()
+
+
 def members(levels: list[bytes], hashes: np.ndarray) -> np.ndarray:
     listed = np.full(len(hashes), len(levels) % 2 == 1)
     undecided = np.arange(len(hashes))
@@ -103,56 +113,77 @@ def members(levels: list[bytes], hashes: np.ndarray) -> np.ndarray:
     return listed
 
 
+def listed_in(levels: list[bytes], exact: list[str], keys: pd.Series) -> np.ndarray:
+    """Which of the keys, all of the universe, a segment lists."""
+    hashes = _key_hashes(keys)
+    found = members(levels, hashes)
+    if len(exact):
+        unsure = np.isin(hashes, _key_hashes(exact))
+        found[unsure] = keys[unsure].isin(exact)
+    return found
+
+
 def build_cascade(keys: DataFrame, segments: int) -> DataFrame:
-    """(segment, levels) from the universe (key, listed), each key once."""
+    """(segment, levels, exact) from the universe (key, listed)."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, listed = _key_hashes(group["key"]), group["listed"].to_numpy(bool)
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "levels": [build_levels(hashes[listed], hashes[~listed])]})
+        levels, exact = build_segment(group["key"], group["listed"].to_numpy(bool))
+        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "levels": [levels], "exact": [exact]})
 
-    return keys.withColumn("segment", segment_of(F.col("key"), segments)).groupBy("segment").applyInPandas(build, "segment int, levels array<binary>")
+    keys = keys.groupBy("key").agg(F.max("listed").alias("listed"))
+    return keys.withColumn("segment", segment_of(F.col("key"), segments)).groupBy("segment").applyInPandas(build, "segment int, levels array<binary>, exact array<string>")
 
 
 def segment_of(key: Column, segments: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(segments)).cast("int")
 
 
-def listed_hosts(pages: DataFrame) -> DataFrame:
-    """The universe of hosts and which of them are listed."""
-    return pages.select(host_of(F.col("url")).alias("key")).distinct().select("key", F.arrays_overlap(F.split("key", r"[.-]"), F.lit(UNWANTED)).alias("listed"))
+def unwanted_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in UNWANTED], "word string")
 
 
-def judge(pages: DataFrame, keys: DataFrame | None = None, rules=RULES, segment_keys: int = SEGMENT_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def listed_hosts(pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(key, listed): the universe of hosts, and whether one of the words (by default ``unwanted_words``) is among a host's parts."""
+    words = (unwanted_words(pages.sparkSession) if words is None else words).select("word").distinct()
+    hosts = pages.select(host_of(F.col("url")).alias("key")).distinct()
+    listed = hosts.select("key", F.explode(F.split("key", r"[.-]")).alias("word")).join(words, "word", "left_semi").select("key").distinct().withColumn("found", F.lit(True))
+    return hosts.join(listed, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("listed"))
+
+
+def judge(pages: DataFrame, keys: DataFrame | None = None, rules=RULES, segment_keys: int = SEGMENT_KEYS, broadcast_bytes: int = BROADCAST_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict); ``keys`` (key, listed) is the universe, by default ``listed_hosts``."""
     keys = cut(listed_hosts(pages) if keys is None else keys)
     segments = max(1, math.ceil(keys.count() / segment_keys))
     cascade = cut(build_cascade(keys, segments))
-    size = cascade.agg(F.sum(F.expr("aggregate(levels, 0L, (n, x) -> n + length(x) + 64)"))).first()[0] or 0
+    size = cascade.agg(F.sum(F.expr("aggregate(levels, 0L, (n, x) -> n + length(x) + 64) + aggregate(exact, 0L, (n, x) -> n + octet_length(x) + 64)"))).first()[0] or 0
 
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fit = longest_rule(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", fit.getField("rule").alias("rule"), fit.getField("verdict").alias("ruled"), segment_of(F.col("host"), segments).alias("segment"))
 
     if size <= broadcast_bytes:
-        known = pages.sparkSession.sparkContext.broadcast({r.segment: [bytes(x) for x in r.levels] for r in cascade.collect()})
+        known = pages.sparkSession.sparkContext.broadcast({r.segment: ([bytes(x) for x in r.levels], list(r.exact)) for r in cascade.collect()})
 
         @F.pandas_udf("boolean")
         def listed(host: pd.Series, segment: pd.Series) -> pd.Series:
-            hashes, out = _key_hashes(host), np.zeros(len(host), bool)
+            out = np.zeros(len(host), bool)
             for s in segment.unique():
                 at = np.flatnonzero(segment == s)
-                out[at] = members(known.value.get(s, []), hashes[at])
+                out[at] = listed_in(*known.value.get(s, ([], [])), host.iloc[at])
             return pd.Series(out)
 
         judged = judged.withColumn("listed", listed("host", "segment"))
     else:
+        # Hosts repeat, so each segment's distinct hosts are few; rows are split only where their segment has many.
+        shares = judged.groupBy("segment").agg(F.ceil(F.count("*") / group_rows).alias("shares"))
+        salted = judged.join(shares, "segment").withColumn("share", F.pmod(F.xxhash64("page_id", "path"), F.col("shares")))
+        filters = cascade.join(shares, "segment").withColumn("share", F.explode(F.expr("sequence(0L, shares - 1)"))).select("segment", "share", "levels", "exact")
 
-        @F.pandas_udf("boolean")
-        def listed(host: pd.Series, levels: pd.Series) -> pd.Series:
-            hashes = _key_hashes(host)
-            return pd.Series([bool(members([bytes(x) for x in (of if of is not None else [])], hashes[i : i + 1])[0]) for i, of in enumerate(levels)], dtype=bool)
+        def decide(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+            known = ([bytes(x) for x in filters["levels"].iloc[0]], list(filters["exact"].iloc[0])) if len(filters) else ([], [])
+            return rows[["page_id", "host", "path", "rule", "ruled"]].assign(listed=listed_in(*known, rows["host"]))
 
-        judged = judged.join(cascade, "segment", "left").withColumn("listed", listed("host", "levels"))
+        judged = salted.groupBy("segment", "share").cogroup(filters.groupBy("segment", "share")).applyInPandas(decide, "page_id long, host string, path string, rule string, ruled string, listed boolean")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
