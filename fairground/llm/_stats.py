@@ -34,6 +34,29 @@ class Stats:
             self._kept[name] = getattr(self, f"_get_{name}")()
         return self._kept[name]
 
+    def some(self, keep: np.ndarray) -> Stats:
+        """The same for some of the texts, with all that has been counted so far."""
+        lengths = np.diff(self.offsets)
+        offsets = np.concatenate([[0], np.cumsum(lengths[keep])])
+        out = Stats(self.data[np.repeat(keep, lengths)], offsets)
+        moved = np.zeros(len(keep), np.int64)
+        moved[keep] = self.offsets[:-1][keep] - offsets[:-1]
+        for name, value in self._kept.items():
+            if name == "words":
+                starts, ends, at = value
+                of = owners(at)
+                w = keep[of]
+                out._kept[name] = starts[w] - moved[of[w]], ends[w] - moved[of[w]], np.concatenate([[0], np.cumsum(np.diff(at)[keep])])
+            elif name == "word_hashes":
+                out._kept[name] = value[keep[owners(self.words[2])]]
+            elif name == "lines":
+                starts, ends, row = value
+                x = keep[row]
+                out._kept[name] = starts[x] - moved[row[x]], ends[x] - moved[row[x]], (np.cumsum(keep) - 1)[row[x]]
+            elif name != "block":  # its hashes go by places in the larger block
+                out._kept[name] = value[keep]
+        return out
+
     def _count(self, kind: np.ndarray) -> np.ndarray:
         return sums(kind[self.data], self.offsets)
 

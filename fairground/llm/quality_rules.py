@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a text) and selectivity (share of texts that it rejects) are estimated on a
-bounded sample; the rules then run in order of rejections per second, and a text that one rule
-rejects is not looked at by the later ones.  The order changes the work, never the verdict.
-
-Null texts have no words and fail ``too_short``.  Rows with null ids, repeated rows and extra columns
-are handled as any other; an empty table gives an empty table.
+Each rule's cost (seconds) and selectivity (texts that it rejects) are estimated on a sample of about
+``SAMPLE_ROWS`` texts, measured where they lie; the rules then run in order of rejections per second.  Once the texts
+rejected so far make up a sixteenth of a block, the rules that follow look at the others alone, and keep what has
+been counted of those.  The order changes the work, never the verdict.
+
+Null texts have no words and fail ``too_short``.  Rows with null ids, repeated rows and extra columns are handled as any
+other; an empty table gives an empty table.  ``judge`` and ``passing`` take nothing from a table's other columns;
+``apply_rules`` puts its result in the place of a column of the same name (``to``).
 """
 
 from __future__ import annotations
@@ -42,67 +44,71 @@ CASCADE_RULES: dict[str, Rule] = {
 SAMPLE_ROWS = 512
 
 
-def _part(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(rows) == len(offsets) - 1:
-        return data, offsets
-    pieces = [data[offsets[r] : offsets[r + 1]] for r in rows]
-    return (np.concatenate(pieces) if pieces else data[:0]), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-
-
-def cascade(data: np.ndarray, offsets: np.ndarray, rules: dict[str, Rule], order: list[str]) -> np.ndarray:
+def cascade(stats: Stats, rules: dict[str, Rule], order: list[str]) -> np.ndarray:
     """For each text, the place in ``order`` of the rule that rejected it, or -1."""
-    found = np.full(len(offsets) - 1, -1)
-    alive = np.arange(len(found))
-    stats = Stats(data, offsets)
+    found = np.full(len(stats.offsets) - 1, -1)
+    rows = np.arange(len(found))
     for place, name in enumerate(order):
-        if not len(alive):
-            break
         bad = rules[name](stats)
-        found[alive[bad]] = place
-        if 4 * bad.sum() >= len(alive):  # else the counts already made are worth more than a smaller block
-            alive = alive[~bad]
-            stats = Stats(*_part(data, offsets, alive))
-        else:
-            keep = ~bad
-            stats, alive = (Stats(*_part(data, offsets, alive[keep])), alive[keep]) if bad.any() else (stats, alive)
+        found[rows[bad & (found[rows] < 0)]] = place
+        alive, size = found[rows] < 0, np.diff(stats.offsets)
+        if not alive.any():
+            break
+        if 16 * size[alive].sum() <= 15 * size.sum() and not alive.all():
+            stats, rows = stats.some(alive), rows[alive]
     return found
 
 
 def estimate_order(texts: DataFrame, rules: dict[str, Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rules by rejections per second on at most ``sample_rows`` texts; ties by name."""
+    """Rules by rejections per second on a sample of about ``sample_rows`` texts; ties by name."""
     names = sorted(rules)
 
     def measure(batches):
         for rows in batches:
             for _, _, data, offsets in blocks(column(rows, "text")):
-                cost, bad = [], []
+                cost, bad, words = [], [], Stats(data, offsets).words
                 for name in names:
+                    stats = Stats(data, offsets)
+                    stats._kept["words"] = words  # nearly all rules need them, so they cost none of them
                     began = time.perf_counter()
-                    bad.append(int(rules[name](Stats(data, offsets)).sum()))
+                    bad.append(int(rules[name](stats).sum()))
                     cost.append(time.perf_counter() - began)
                 yield batch(schema, names, cost, bad)
 
     schema = pa.schema([("rule", pa.string()), ("cost", pa.float64()), ("bad", pa.int64())])
-    sample = texts.select(F.col(text).alias("text")).sample(0.1, 7).limit(sample_rows)
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    sample = texts.select(F.col(text).alias("text")).sample(share, 7)
     seen = sample.mapInArrow(measure, "rule string, cost double, bad long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("bad").alias("bad")).collect()
     gain = {r.rule: r.bad / max(r.cost, 1e-9) for r in seen}
     return sorted(names, key=lambda n: (-gain.get(n, 0.0), n))
 
 
-def apply_rules(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str = "text", order: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``rejected_by`` (the first rule in cost order that rejects the text, or null)."""
+def apply_rules(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str = "text", order: list[str] | None = None, to: str = "rejected_by") -> DataFrame:
+    """``docs`` with the first rule in cost order that rejects the text, or null."""
     rules = rules or BASE_RULES | CASCADE_RULES
     order = order or estimate_order(docs, rules, text)
 
     def scan(batches):
         for rows in batches:
-            texts = column(rows, text)
-            found = [cascade(data, offsets, rules, order) for _, _, data, offsets in blocks(texts)]
+            found = [cascade(Stats(data, offsets), rules, order) for _, _, data, offsets in blocks(column(rows, text))]
             names = [order[i] if i >= 0 else None for f in found for i in f]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string())], names=[*rows.schema.names, "rejected_by"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string())], names=[*rows.schema.names, to])
+
+    docs = docs.select(*(c for c in docs.columns if c == text or c.lower() != to.lower()))
+    return docs.mapInArrow(scan, wider(docs, **{to: "string"}))
+
+
+def passing(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str = "text", order: list[str] | None = None) -> DataFrame:
+    """The documents that no rule rejects, with their own columns."""
+    rules = rules or BASE_RULES | CASCADE_RULES
+    order = order or estimate_order(docs, rules, text)
+
+    def scan(batches):
+        for rows in batches:
+            found = [cascade(Stats(data, offsets), rules, order) < 0 for _, _, data, offsets in blocks(column(rows, text))]
+            yield rows.filter(pa.array(np.concatenate([np.zeros(0, bool), *found])))
 
-    docs = docs.drop("rejected_by")
-    return docs.mapInArrow(scan, wider(docs, rejected_by="string"))
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -119,8 +125,7 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
                 counts = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words]
                 failed = np.logical_or.reduce([rule(s) for rule in BASE_RULES.values()])
                 kept = ~failed
-                alive = np.flatnonzero(kept)
-                kept[alive] = cascade(*_part(data, offsets, alive), CASCADE_RULES, order) < 0
+                kept[kept] = cascade(s.some(kept), CASCADE_RULES, order) < 0
                 yield batch(schema, ids.slice(first, end - first), *counts, failed, kept)
 
     return docs.mapInArrow(scan, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
