@@ -2,11 +2,13 @@
 
 Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters.  A window is ``size``
 consecutive words of an item; an item of fewer words is one window.  A hash hit counts only once the
-words themselves are equal.  The broadcast set is counted first: a benchmark of more than
-``max_windows`` windows is dealt into parts of at most that many, and every text is scanned for each part.
+words themselves are equal.  The set is measured before it is broadcast: a benchmark of more than ``MAX_BYTES`` is dealt
+into parts of at most about that size, and the texts are scanned once for each part, from a written table each time.
 
 Nulls: a null text or item text has no words; an item of null id is left out.  Empty benchmark: no hits.
-Repeated rows each get their own result; repeated item ids count once.
+Repeated rows each get their own result; repeated item ids count once.  ``drop_documents`` and ``remove_spans`` give back
+all columns of the documents as they are, whatever their names; ``find_contamination`` puts its three results in the place of
+columns of the same names (``prefix`` gives them others).
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fairground.llm._shared import batch, column, table
+from fairground.llm._shared import batch, column, cut, table, wider
 from fairground.llm._words import LETTERED, LOWER, Block, blocks, covered, inside_windows, owners, sums, windows
 
 WINDOW = 10
-MAX_WINDOWS = 500_000
-_FILTER_BITS = 20
+#: Of a broadcast part: hashes, words and item ids.
+MAX_BYTES = 32 << 20
+_FILTER_BITS = 18
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -54,19 +56,23 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "
 
 
 class WindowSet:
-    """Windows by length: sorted hashes, a bit filter before them, and the words behind each hash."""
+    """Windows by length: sorted hashes, a bit filter before them, and the words and item behind each hash, end to end."""
 
     def __init__(self, rows):
-        self.items: dict[tuple[int, int], dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-        for r in rows:
-            self.items[r.n, r.hash][bytes(r.words)].append(r.item_id)
-        self.items = {k: dict(v) for k, v in self.items.items()}
-        self.hashes, self.filters = {}, {}
-        for n in {k[0] for k in self.items}:
-            h = np.unique(np.array([k[1] for k in self.items if k[0] == n], np.int64).view(np.uint64))
+        self.hashes, self.filters, self.words, self.ends, self.items = {}, {}, {}, {}, {}
+        for n in sorted({r.n for r in rows}):
+            some = sorted((r for r in rows if r.n == n), key=lambda r: (r.hash % (1 << 64), bytes(r.words), r.item_id))
+            h = np.array([r.hash for r in some], np.int64).view(np.uint64)
             bits = np.zeros(1 << _FILTER_BITS, bool)
             bits[h >> np.uint64(64 - _FILTER_BITS)] = True
-            self.hashes[n], self.filters[n] = h, bits
+            self.hashes[n], self.filters[n], self.words[n] = h, bits, b"".join(bytes(r.words) for r in some)
+            self.ends[n] = np.cumsum([0, *(len(r.words) for r in some)])
+            self.items[n] = [r.item_id for r in some]
+
+    def find(self, n: int, h: np.uint64, words: bytes) -> list[str]:
+        """The items that have the window."""
+        a, b = np.searchsorted(self.hashes[n], h, "left"), np.searchsorted(self.hashes[n], h, "right")
+        return [self.items[n][k] for k in range(a, b) if self.words[n][self.ends[n][k] : self.ends[n][k + 1]] == words]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
         """(words of each text, [(text, word, n, items)]) for lower-cased bytes."""
@@ -82,25 +88,26 @@ class WindowSet:
                 raw = raw or data.tobytes()
             for j in maybe.tolist():
                 words = b" ".join(raw[starts[k] : ends[k]] for k in range(j, j + n))
-                if items := self.items[n, int(w[j : j + 1].view(np.int64)[0])].get(words):
+                if items := self.find(n, w[j], words):
                     found.append((int(row[j]), j, n, items))
         return starts, ends, at, found
 
 
-def _scan_part(docs: DataFrame, part) -> DataFrame:
-    """Adds what the windows of one part hit to n_words, hit_words and hit_items; ``spans`` are byte ranges."""
-    kind = T.StructType([*(f for f in docs.schema if f.name not in ("n_words", "hits", "items")), *T._parse_datatype_string("n_words long, hits array<struct<word:int,from:int,to:int>>, items array<string>").fields])
+def _scan_part(docs: DataFrame, part, text: str, names: list[str]) -> DataFrame:
+    """Adds what the windows of one part hit to the columns ``names``: number of words, hits and items."""
     hit_type = pa.list_(pa.struct([("word", pa.int32()), ("from", pa.int32()), ("to", pa.int32())]))
+    n_words_name, hits_name, items_name = names
+    keep = [c for c in docs.columns if c not in names]
+    kind = wider(docs.select(*keep), **dict(zip(names, ("long", "array<struct<word:int,from:int,to:int>>", "array<string>"), strict=True)))
 
     def scan(batches):
         known = part.value
         for rows in batches:
-            names = rows.schema.names
-            old_hits = column(rows, "hits").to_pylist() if "hits" in names else [None] * rows.num_rows
-            old_items = column(rows, "items").to_pylist() if "items" in names else [None] * rows.num_rows
+            before = hits_name in rows.schema.names
+            hits = [h or [] for h in column(rows, hits_name).to_pylist()] if before else [[] for _ in range(rows.num_rows)]
+            items = [set(x or []) for x in column(rows, items_name).to_pylist()] if before else [set() for _ in range(rows.num_rows)]
             n_words = np.zeros(rows.num_rows, np.int64)
-            hits, items = [h or [] for h in old_hits], [set(x or []) for x in old_items]
-            for first, _, data, offsets in blocks(column(rows, "text")):
+            for first, _, data, offsets in blocks(column(rows, text)):
                 starts, ends, at, found = known.scan(LOWER[data], offsets)
                 n_words[first : first + len(at) - 1] = np.diff(at)
                 by_row = defaultdict(list)
@@ -113,29 +120,28 @@ def _scan_part(docs: DataFrame, part) -> DataFrame:
                     words = np.flatnonzero(covered(j - base, n, int(at[i + 1]) - base))
                     seen = {h["word"] for h in hits[first + i]}
                     hits[first + i] = hits[first + i] + [{"word": int(k), "from": int(starts[base + k] - offsets[i]), "to": int(ends[base + k] - offsets[i])} for k in words if k not in seen]
-            kept = [(n, c) for n, c in zip(names, rows.columns, strict=True) if n not in ("n_words", "hits", "items")]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for _, c in kept), pa.array(n_words), pa.array(hits, hit_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=[*(n for n, _ in kept), "n_words", "hits", "items"],
-            )
+            yield pa.RecordBatch.from_arrays([*(column(rows, c) for c in keep), pa.array(n_words), pa.array(hits, hit_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*keep, *names])
 
     return docs.mapInArrow(scan, kind)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` (with a column ``text``) and n_words, hits (word number and byte range), items."""
-    found = benchmark_windows(benchmark, size)
-    parts = max(1, math.ceil(found.count() / (0.8 * max_windows)))
-    docs = docs.drop("n_words", "hits", "items")
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` and n_words, hits (word number and byte range in UTF-8), items."""
+    found = cut(benchmark_windows(benchmark, size))
+    measured = found.agg(F.sum(F.octet_length("words") + F.octet_length("item_id") + 80)).first()[0] or 0
+    parts = max(1, math.ceil(1.25 * measured / max_bytes))
+    names = [f"{prefix}{c}" for c in ("n_words", "hits", "items")]
+    docs = docs.select(*(c for c in docs.columns if c == text or c.lower() not in names))
     for k in range(parts):
-        rows = (found.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k) if parts > 1 else found).collect()
-        docs = _scan_part(docs, docs.sparkSession.sparkContext.broadcast(WindowSet(rows)))
+        rows = found.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k).collect()
+        docs = _scan_part(docs, docs.sparkSession.sparkContext.broadcast(WindowSet(rows)), text, names)
+        docs = cut(docs) if k + 1 < parts else docs  # no worker holds two parts
     return docs
 
 
-def digest(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def digest(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     items = F.array_sort("items")
-    return find_contamination(docs.select("doc_id", "text"), benchmark, size, max_windows).select(
+    return find_contamination(docs.select("doc_id", "text"), benchmark, size, max_bytes).select(
         "doc_id",
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
@@ -145,20 +151,29 @@ def digest(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_window
     )
 
 
+def _private(docs: DataFrame) -> str:
+    """A prefix under which no column of the documents is."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents that hold no window, with their own columns."""
-    return find_contamination(docs, benchmark, size).where(F.size("hits") == 0).select(*docs.columns)
+    prefix = _private(docs)
+    return find_contamination(docs, benchmark, size, prefix=prefix).where(F.size(f"{prefix}hits") == 0).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents with hit words cut from ``text`` (and what stands between two adjacent hit words)."""
 
-    columns = docs.columns
+    columns, prefix = docs.columns, _private(docs)
 
     def clean(batches):
         for rows in batches:
             texts, out = column(rows, "text").to_pylist(), []
-            for text, hits in zip(texts, column(rows, "hits").to_pylist(), strict=True):
+            for text, hits in zip(texts, column(rows, f"{prefix}hits").to_pylist(), strict=True):
                 if hits:
                     raw, pieces, last, before = text.encode(), [], 0, None
                     for h in sorted(hits, key=lambda h: h["word"]):
@@ -169,7 +184,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else column(rows, n) for n in columns], names=columns)
 
-    return find_contamination(docs, benchmark, size).mapInArrow(clean, docs.schema)
+    return find_contamination(docs, benchmark, size, prefix=prefix).mapInArrow(clean, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fairground.llm import decontamination, html_extraction, near_dup, quality_classifier, quality_rules, queries, sentencepiece, sharding, toxicity, url_filter, warc
 
@@ -66,8 +67,8 @@ def test_decontamination_parts_and_spans(spark):
     bench = spark.createDataFrame([(1, "One two three four five six seven eight nine ten ELEVEN"), (2, "short item"), (None, "z"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x two THREE four five six, seven eight nine ten eleven y"), (2, "a short-item b"), (3, None), (4, "clean")], "doc_id long, text string")
     want = {1: (10, 1, "1"), 2: (2, 1, "2"), 3: (0, 0, ""), 4: (0, 0, "")}
-    for most in (500_000, 1):
-        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontamination.digest(docs, bench, max_windows=most).collect()}
+    for most in (decontamination.MAX_BYTES, 200):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontamination.digest(docs, bench, max_bytes=most).collect()}
         assert got == {k: (a, b, hashlib.sha256(c.encode()).hexdigest()) for k, (a, b, c) in want.items()}
     assert {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench).collect()} == {1: "x  y", 2: "a  b", 3: None, 4: "clean"}
     assert {r.doc_id for r in decontamination.drop_documents(docs, bench).collect()} == {3, 4}
@@ -179,6 +180,30 @@ def test_warc_audit(spark):
     second = spark.createDataFrame([("f", r[1], 10, "bad") if r[1] == 140_000 else r for r in rows if r[1] != 2_730_000], first.schema)
     assert {(r.file, r.offset, r.status) for r in warc.audit(first, second).collect()} == {("f", 140_000, "changed"), ("f", 2_730_000, "missing")}
     assert warc.audit(first, first).count() == 0
+    # A null offset is 0; a null file is one of its own; rows may repeat.
+    one = spark.createDataFrame([("f", None, 3, "a"), (None, None, 1, "n"), ("f", 5, 1, "r"), ("f", 5, 1, "r")], first.schema)
+    other = spark.createDataFrame([("f", None, 3, "b"), (None, None, 1, "n"), ("f", 5, 1, "r")], first.schema)
+    assert sorted((r.file, r.offset, r.status) for r in warc.audit(one, other).collect()) == [("f", 0, "changed"), ("f", 5, "missing")]
+    none = one.limit(0)
+    assert warc.audit(none, none).count() == 0 and {r.status for r in warc.audit(none, one).collect()} == {"extra"}
+
+
+def test_warc_bytes_of_both_replicas(spark):
+    rows = [(k, f"http://h/{k}", "é" * (k % 7) * 2000) for k in range(300)] + [(None, None, None), (2, "http://h/2", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc.records_of(pages)
+    one = records.where("page_id = 1").first().record
+    head, body = bytes(one).split(b"\r\n\r\n", 1)
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    assert head.startswith(b"WARC/1.1\r\n") and int(fields["Content-Length"]) == len(body) - 4 and body == ("é" * 2000).encode() + b"\r\n\r\n"
+    assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"])
+
+    # A turned bit, a cut record (what follows it moves), a lost one and one more than before.
+    second = records.where("page_id is null or page_id <> 280").withColumn("record", F.expr("case when page_id = 20 then concat(record, X'00') when page_id = 5 then concat(X'00', substring(record, 2)) else record end"))
+    second = second.union(spark.createDataFrame([("part-00000001.warc", 999, bytearray(b"new"))], second.schema))
+    first, second = (warc.lay_out(warc.hash_records(r)) for r in (records, second))
+    got = {(r.id, r.status) for r in warc.audit(first, second, "page_id").collect()}
+    assert got == {(5, "changed"), (20, "changed"), (280, "missing"), (999, "extra"), *((k, "moved") for k in range(21, 300) if k < 256 or k > 280)}
 
 
 def test_sharding_law(spark):
