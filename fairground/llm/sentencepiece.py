@@ -19,7 +19,8 @@ the last piece of the chunk before reaches in) and each way out, the best score;
 way out came from; those short maps are followed from the end of the text, and then every chunk is traced back on its own.
 
 A null text has null ids; an empty one has none.  Rows are told apart by a number of their own, so repeated rows and
-null ids each get their result.  The word mark U+2581 in a text is taken as an unknown character, so decoding gives it back
+null ids each get their result.  Results take the place of columns of the same names (``ids``, ``score``, ``decoded``), which
+can be given other ones; all other columns stay, whatever they are called.  The word mark U+2581 in a text is taken as an unknown character, so decoding gives it back
 (the model's own processor takes it for a space, and doesn't).
 """
 
@@ -39,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table, wider
+from fairground.llm._shared import batch, column, cut, table, unused, wider
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -476,7 +477,7 @@ def marked(text: str) -> str:
     return " " + text if text else ""
 
 
-def _short_batches(batches, model: str, keep: list[str], text: str):
+def _short_batches(batches, model: str, keep: list[str], text: str, names: list[str]):
     """The kept columns of batches of shorter texts, with ids and score."""
     pieces = encoder_of(model)
     for rows in batches:
@@ -491,7 +492,7 @@ def _short_batches(batches, model: str, keep: list[str], text: str):
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(f[0] for f in found if f))])
             missing = pa.array([f is None for f in found], pa.bool_())
             ids = pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
-            yield pa.RecordBatch.from_arrays([*(column(some, c) for c in keep), ids, pa.array([f[1] if f else None for f in found], pa.int64())], names=[*keep, "ids", "score"])
+            yield pa.RecordBatch.from_arrays([*(column(some, c) for c in keep), ids, pa.array([f[1] if f else None for f in found], pa.int64())], names=[*keep, *names])
 
 
 def _decoded_batches(batches, model: str, ids: str, to: str):
@@ -613,45 +614,59 @@ def _merge_long(chunks: DataFrame, model: str) -> DataFrame:
     return every.groupBy("row").agg(ids.alias("ids"), F.sum("score").alias("score"))
 
 
-def _encode(docs: DataFrame, model: str, text: str, chunk: int, then, kind) -> DataFrame:
+def _chunks(giants: DataFrame, row: str, text: str, chunk: int, more: int) -> DataFrame:
+    """(row, k, before, part, size): the chunks of marked texts, each cut off once; ``part`` goes on for ``more`` characters."""
+    schema = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("before", pa.string()), ("part", pa.string()), ("size", pa.int32())])
+
+    def split(batches):
+        for rows in batches:
+            for number, t in zip(column(rows, row).to_pylist(), column(rows, text), strict=True):
+                t = marked(t.as_py())
+                for at in range(0, len(t), 64 * chunk):
+                    ks = range(at, min(len(t), at + 64 * chunk), chunk)
+                    yield batch(schema, [number] * len(ks), [k // chunk for k in ks], [t[max(0, k - 1) : k] for k in ks], [t[k : k + chunk + more] for k in ks], [min(chunk, len(t) - k) for k in ks])
+
+    return giants.select(row, text).mapInArrow(split, "row long, k int, before string, part string, size int")
+
+
+def _encode(docs: DataFrame, model: str, text: str, chunk: int, names: list[str], then, kind) -> DataFrame:
     """What ``then``, from batches to batches of the type ``kind``, makes of the encoded rows in the worker that encodes them."""
     keep = docs.columns
     width = pieces_of(model).longest
     longer = F.length(text) >= chunk
-    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(lambda batches: then(_short_batches(batches, model, keep, text)), kind)
-    giants = docs.where(longer)
+    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(lambda batches: then(_short_batches(batches, model, keep, text, names)), kind)
+    row, found = unused(docs, "row", "found")
+    giants = cut(docs.where(longer).withColumn(row, F.monotonically_increasing_id()))
     if giants.isEmpty():
         return short
-    row = "__row"
-    giants = cut(giants.withColumn(row, F.monotonically_increasing_id()))
-    whole = F.concat(F.lit(" "), F.col(text))
-    parts = giants.select(F.col(row).alias("row"), whole.alias("t")).select("row", "t", F.explode(F.expr(f"sequence(0, (length(t) - 1) div {chunk})")).alias("k"))
-    if isinstance(encoder_of(model), Merges):
-        before = F.expr(f"if(k = 0, '', substring(t, k * {chunk}, 1))").alias("before")
-        parts = parts.select("row", F.col("k").cast("int").alias("k"), before, F.expr(f"substring(t, k * {chunk} + 1, {chunk})").alias("part"))
-        traced = _merge_long(cut(parts.repartition("row", "k")), model)
-        return short.unionByName(giants.join(traced, giants[row] == traced["row"]).select(*keep, "ids", "score").mapInArrow(then, kind))
-    parts = parts.select("row", F.col("k").cast("int").alias("k"), F.expr(f"substring(t, k * {chunk} + 1, {chunk + width - 1})").alias("part"), F.expr(f"cast(least({chunk}, length(t) - k * {chunk}) as int)").alias("size"))
-    traced = _scan_long(cut(parts.repartition("row", "k")), model)
-    return short.unionByName(giants.join(traced, giants[row] == traced["row"]).select(*keep, "ids", "score").mapInArrow(then, kind))
-
-
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    merges = isinstance(encoder_of(model), Merges)
+    parts = cut(_chunks(giants, row, text, chunk, 0 if merges else width - 1).repartition("row", "k"))
+    traced = _merge_long(parts.select("row", "k", "before", "part"), model) if merges else _scan_long(parts.select("row", "k", "part", "size"), model)
+    traced = traced.select(F.col("row").alias(row), F.struct("ids", "score").alias(found))
+    encoded = giants.join(traced, row).select(*keep, *(F.col(f"{found}.{c}").alias(n) for c, n in zip(("ids", "score"), names, strict=True)))
+    return short.unionByName(encoded.mapInArrow(then, kind))
+
+
+def _without(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
+    return docs.select(*(c for c in docs.columns if c == text or c.lower() not in {n.lower() for n in names}))
+
+
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK, ids: str = "ids", score: str = "score") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``score`` (long)."""
-    docs = docs.drop("ids", "score")
-    return _encode(docs, model, text, chunk, lambda batches: batches, wider(docs, ids="array<int>", score="long"))
+    docs = _without(docs, text, [ids, score])
+    return _encode(docs, model, text, chunk, [ids, score], lambda batches: batches, wider(docs, **{ids: "array<int>", score: "long"}))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``encoded`` with the text that the ids stand for; null ids give null."""
-    encoded = encoded.drop(to)
+    encoded = _without(encoded, ids, [to])
     return encoded.mapInArrow(lambda batches: _decoded_batches(batches, model, ids, to), wider(encoded, **{to: "string"}))
 
 
-def encode_and_decode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode_and_decode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK, ids: str = "ids", score: str = "score", to: str = "decoded") -> DataFrame:
     """``decode`` of ``encode``, in one pass."""
-    docs = docs.drop("ids", "score", "decoded")
-    return _encode(docs, model, text, chunk, lambda batches: _decoded_batches(batches, model, "ids", "decoded"), wider(docs, ids="array<int>", score="long", decoded="string"))
+    docs = _without(docs, text, [ids, score, to])
+    return _encode(docs, model, text, chunk, [ids, score], lambda batches: _decoded_batches(batches, model, ids, to), wider(docs, **{ids: "array<int>", score: "long", to: "string"}))
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -669,7 +684,7 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same.append(pieces.decode(x.tolist()) == text.as_py() if ids.is_valid else None)
             yield batch(schema, column(rows, "doc_id"), n, column(rows, "score"), crc, same)
 
-    return _encode(docs.select("doc_id", "text"), model, "text", CHUNK, scan, "doc_id long, n_pieces long, score long, ids_crc32 long, round_trip boolean")
+    return _encode(docs.select("doc_id", "text"), model, "text", CHUNK, ["ids", "score"], scan, "doc_id long, n_pieces long, score long, ids_crc32 long, round_trip boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
