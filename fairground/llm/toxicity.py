@@ -1,43 +1,55 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, weighted by context windows.
 
-The lexicon is learned from labelled training rows: words and word beginnings that toxic documents have far
-more often than others.  Its trie and the Levenshtein automaton of one edit (also a swap of neighbours)
-are intersected and made deterministic once; a word is then matched in one walk over its bytes, all words of
-a block side by side.  Whole words match with up to one edit, beginnings exactly.
-
-Each match is looked at in a window of bytes on both sides: quote marks on both sides make it a
-quotation.  A cell (term, edits, quoted) has the probability of label 1 that the training rows show for it, smoothed; a
-quoted cell that they hardly show counts a third of the unquoted one.  A document's score is the noisy-or of its cells
-and the base rate of documents without a match.
+The lexicon is learned from labelled training rows: words and word beginnings that toxic documents have
+significantly more often than others (log-likelihood ratio of at least ``LEAST_RATIO``, odds of at least ``LEAST_ODDS``),
+if they are in ``FREQUENT`` of all toxic documents; a rarer one is taken as long as it is significant in the documents that no
+term before it is in, so that what copies of a toxic document say besides is no term.  Its trie and the Levenshtein automaton of one edit (also a swap of neighbours) are intersected and made deterministic once; a
+word is then matched in one walk over its bytes, all words of a block side by side.  Words and beginnings of at least
+``LEAST_FUZZY`` bytes match with up to one edit, shorter ones exactly.
+
+Each match is looked at in a window of ``WINDOW_BYTES`` on both sides: it is quoted if an opening mark before it is still
+open, and closed behind it, so ``"hi" you moron "bye"`` quotes nothing but the greetings.  A cell (term, edits, quoted) has the
+probability of label 1 that the training rows show for it, smoothed.  A cell that they don't show takes a share of its exact or
+unquoted one, the more the more clean rows don't show it.  A document's score is the noisy-or of what its cells have above the share
+of toxic rows, and of the base rate of documents without a match.
 
 Training rows are labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``SAMPLE_ROWS`` of them, taken
-by hash of the id.  Empty and null texts have no match and the base score.  Null ids are never training rows and not held
-out.  Without toxic training rows the lexicon is empty and every score is the base rate.
+by hash of the id; their labels are broadcast to the texts.  Empty and null texts have no match and the base score.  Null ids
+are never training rows and not held out.  Without toxic training rows the lexicon is empty and every score is the base rate.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table
+from fairground.llm._shared import batch, column, cut, labelled_texts, table
 from fairground.llm._words import LETTERED, LOWER, Block, blocks, owners
 from fairground.llm.quality_classifier import held_out
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 200
-#: A term is in at least so many toxic training documents, and in this share of them.
-LEAST_TOXIC = 5
-LEAST_SHARE = 0.02
+#: A chance finding reaches this ratio (2 ln) about once in 5,000 terms without the odds.
+LEAST_RATIO = 14.0
 LEAST_ODDS = 20.0
+LEAST_TOXIC = 3
+FREQUENT = 0.02
+LEAST_FREQUENT = 5
 PREFIXES = range(4, 11)
+LEAST_FUZZY = 5
 WINDOW_BYTES = 48
-QUOTES = ['"', "“", "”", "«", "»", "„", "‘", "’"]
+#: (opening, closing) marks of a quotation.
+QUOTES = [('"', '"'), ("“", "”"), ("«", "»"), ("»", "«"), ("„", "“"), ("„", "”"), ("‘", "’")]
 QUOTED_SHARE = 1 / 3
+EDITED_SHARE = 0.8
+#: So many clean rows without an edited term speak for half of that.
+EDITED_ROWS = 500
 
 
 def _beginnings(data: np.ndarray, offsets: np.ndarray):
@@ -56,7 +68,7 @@ def _beginnings(data: np.ndarray, offsets: np.ndarray):
         yield n, row[keep][one], h[one], b[one], e[one]
 
 
-def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, bool]]:
+def learn_terms(train: DataFrame) -> list[tuple[str, bool]]:
     """(term, whole word) from (text, label): see the module's text."""
     schema = pa.schema([("n", pa.int32()), ("term", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
@@ -77,7 +89,9 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str,
     sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
     odds = (F.col("toxic") / max(1, sizes.get(1, 0))) / ((F.col("clean") + 0.5) / max(1, sizes.get(0, 0)))
     found = train.mapInArrow(count, "n int, term binary, toxic long, clean long").groupBy("n", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = found.where((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * sizes.get(1, 0))) & (odds >= LEAST_ODDS)).orderBy(F.desc("toxic"), "n", "term").limit(40 * max_terms).collect()
+    # What is frequent in a bounded sample is bounded by it.
+    found = [r for r in found.where((F.col("toxic") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).collect() if _ratio(r.toxic, r.clean, sizes[1], sizes.get(0, 0)) >= LEAST_RATIO]
+    clean = {(r.n, bytes(r.term)): r.clean for r in found}
     begins = {(r.n, bytes(r.term)): r.toxic for r in found}
     terms: dict[bytes, int] = {}
     for n, term in sorted((k for k in begins if k[0]), key=lambda k: (k[0], k[1])):
@@ -93,17 +107,56 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str,
         terms[term] = begins[n, term]
         begins[-1, term] = best
     out = []
-    for term in sorted(terms, key=lambda t: (-terms[t], t))[:max_terms]:
+    for term in sorted(terms, key=lambda t: (-terms[t], t)):
         best = begins[-1, term]
         whole = [t for k, t in begins if k == 0 and t.startswith(best) and begins[0, t] >= 0.9 * terms[term]]
         out.append((whole[0], True) if whole else (best, False))
-    return [(t.decode(), w) for t, w in sorted(set(out))]
+    return cover(train, sorted(set(out)), {t: clean.get((0 if w else len(t), t), 0) for t, w in out}, sizes)
+
+
+def cover(train: DataFrame, terms: list[tuple[bytes, bool]], clean: dict[bytes, int], sizes: dict[int, int]) -> list[tuple[str, bool]]:
+    """The frequent terms, and of the others those that are significant in the toxic documents that no term before is in."""
+    whole, begins = {t for t, w in terms if w}, {t for t, w in terms if not w}
+    lengths = sorted({len(t) for t in begins})
+
+    def holds(batches):
+        for rows in batches:
+            out = []
+            for _, _, data, offsets in blocks(column(rows, "text")):
+                data = LOWER[data]
+                raw, (starts, ends, at) = data.tobytes(), Block(data, offsets).words(LETTERED)
+                for a, b in itertools.pairwise(at.tolist()):
+                    words = {raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)}
+                    out.append(sorted(words & whole | {w[:n] for w in words for n in lengths if w[:n] in begins}))
+            yield batch(schema, out)
+
+    schema = pa.schema([("terms", pa.list_(pa.binary()))])
+    left = [{bytes(t) for t in r.terms} for r in train.where("label = 1").mapInArrow(holds, "terms array<binary>").collect()]
+    counts, of = Counter(t for d in left for t in d), dict(terms)
+    frequent = {t for t, k in counts.items() if k >= max(LEAST_FREQUENT, FREQUENT * len(left))}
+    found = [(t.decode(), of[t]) for t in frequent]
+    left = [d for d in left if not d & frequent]
+    while left:
+        counts = Counter(t for d in left for t in d)
+        k, term = max(((k, t) for t, k in counts.items() if _ratio(k, clean[t], len(left), sizes.get(0, 0)) >= LEAST_RATIO), default=(0, None))
+        if term is None:
+            break
+        found.append((term.decode(), of[term]))
+        left = [d for d in left if term not in d]
+    return sorted(found)
+
+
+def _ratio(toxic: int, clean: int, n1: int, n0: int) -> float:
+    """2 ln of the likelihood of the counts at two rates against one rate."""
+    part = lambda k, n: k * math.log(k / n) if k else 0.0
+    apart = part(toxic, n1) + part(n1 - toxic, n1) + part(clean, n0) + part(n0 - clean, n0)
+    return 2 * (apart - part(toxic + clean, n1 + n0) - part(n1 + n0 - toxic - clean, n1 + n0))
 
 
 class Automaton:
     """The trie of the terms intersected with the automaton of one edit, as one deterministic table."""
 
-    def __init__(self, terms: list[tuple[str, bool]], least_fuzzy: int = 5):
+    def __init__(self, terms: list[tuple[str, bool]], least_fuzzy: int = LEAST_FUZZY):
         self.terms = terms
         words = [t.encode() for t, _ in terms]
         alphabet = sorted({b for w in words for b in w})
@@ -121,14 +174,12 @@ class Automaton:
                     trie.append({})
                     longest.append(0)
                     trie[node][b] = len(trie) - 1
-                if is_word:
-                    longest[node] = max(longest[node], len(w))
-                node = trie[node][b]
-            if is_word:
                 longest[node] = max(longest[node], len(w))
+                node = trie[node][b]
+            longest[node] = max(longest[node], len(w))
             (whole if is_word else begin)[node] = k
 
-        # Elements: (node, edits), ("swap", node, awaited byte), ("in", term): a beginning that has been read.
+        # Elements: (node, edits), ("swap", node, awaited byte), ("in", term, edits): a beginning that has been read.
         def closed(elements):
             todo, seen = list(elements), set()
             while todo:
@@ -138,8 +189,8 @@ class Automaton:
                 seen.add(e)
                 if isinstance(e[0], int):
                     node, edits = e
-                    if node in begin and edits == 0:
-                        todo.append(("in", begin[node]))
+                    if node in begin:
+                        todo.append(("in", begin[node], edits))
                     if edits == 0 and longest[node] >= least_fuzzy:
                         todo += [(child, 1) for child in trie[node].values()]
             return frozenset(seen)
@@ -177,7 +228,12 @@ class Automaton:
             rows.append(row)
         self.table = np.array(rows, np.int32)
         #: 2 * term + edits of the best match, or -1
-        self.accepts = np.array([min((2 * whole[e[0]] + e[1] if isinstance(e[0], int) else 2 * e[1] for e in s if (e[0] in whole if isinstance(e[0], int) else e[0] == "in")), key=lambda x: (x % 2, x), default=-1) for s in order])
+        def accepted(e) -> int | None:
+            if e[0] == "in":
+                return 2 * e[1] + e[2]
+            return 2 * whole[e[0]] + e[1] if e[0] in whole else None
+
+        self.accepts = np.array([min((x for e in s if (x := accepted(e)) is not None), key=lambda x: (x % 2, x), default=-1) for s in order])
         self.steps = max(map(len, words), default=0) + 2
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +248,19 @@ class Automaton:
         return hit, found[hit]
 
 
-_QUOTE = re.compile("|".join(QUOTES).encode())
+_QUOTE = re.compile("|".join(sorted({m for pair in QUOTES for m in pair})).encode())
+_CLOSES = {a.encode(): {c.encode() for o, c in QUOTES if o == a} for a, _ in QUOTES}
+
+
+def quoted(before: bytes, after: bytes) -> bool:
+    """Whether a mark that is opened before is closed behind."""
+    still: list[bytes] = []
+    for m in _QUOTE.findall(before):
+        if still and m in _CLOSES[still[-1]]:
+            still.pop()
+        elif m in _CLOSES:
+            still.append(m)
+    return bool(still) and any(m in _CLOSES[still[-1]] for m in _QUOTE.findall(after))
 
 
 def cells(automaton: Automaton, data: np.ndarray, offsets: np.ndarray):
@@ -204,27 +272,30 @@ def cells(automaton: Automaton, data: np.ndarray, offsets: np.ndarray):
     for w, r, f in zip(hit.tolist(), row.tolist(), found.tolist(), strict=True):
         before = raw[max(int(offsets[r]), int(starts[w]) - WINDOW_BYTES) : starts[w]]
         after = raw[ends[w] : min(int(offsets[r + 1]), int(ends[w]) + WINDOW_BYTES)]
-        out.add((r, 2 * f + bool(_QUOTE.search(before) and _QUOTE.search(after))))
+        out.add((r, 2 * f + quoted(before, after)))
     return out
 
 
 class Scorer:
-    def __init__(self, automaton: Automaton, base: float, weights: dict[int, float]):
-        self.automaton, self.base, self.weights = automaton, base, weights
+    def __init__(self, automaton: Automaton, base: float, weights: dict[int, float], edited: float = EDITED_SHARE):
+        self.automaton, self.base, self.weights, self.edited = automaton, base, weights, edited
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         clean = np.full(len(offsets) - 1, 1 - self.base)
         for r, cell in cells(self.automaton, data, offsets):
-            clean[r] *= 1 - self.weights.get(cell, self.weights.get(cell & ~1, 0.0) * (QUOTED_SHARE if cell & 1 else 1))
+            clean[r] *= 1 - self.weight(cell)
         return 1 - clean
 
+    def weight(self, cell: int) -> float:
+        if cell in self.weights:
+            return self.weights[cell]
+        if cell & 1:
+            return QUOTED_SHARE * self.weight(cell & ~1)
+        return self.edited * self.weight(cell & ~2) if cell & 2 else 0.0
+
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out("doc_id", 5, 0))
-    rows = known.count()
-    if rows > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * sample_rows / rows))
-    train = cut(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"))
+    train = cut(labelled_texts(docs, labels.where(~held_out("doc_id", 5, 0)), "toxic", sample_rows))
     automaton = Automaton(learn_terms(train))
     schema = pa.schema([("cell", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
@@ -239,9 +310,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
 
     seen = train.mapInArrow(count, "cell int, toxic long, clean long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     counts = {r.cell: (r.toxic, r.clean) for r in seen}
+    n1, n0 = (train.where(f"label = {k}").count() for k in (1, 0))
+    prior = n1 / max(1, n1 + n0)
     t, c = counts.pop(-1, (0, 0))
-    weights = {k: (t + 0.05) / (t + c + 0.5) for k, (t, c) in counts.items() if not k & 1 or t + c >= 5}
-    return Scorer(automaton, (t + 0.01) / (t + c + 1), weights)
+    weights = {k: max(0.0, ((t + 0.05) / (t + c + 1) - prior) / max(1e-9, 1 - prior)) for k, (t, c) in counts.items() if not k & 1 or t + c >= 5}
+    return Scorer(automaton, (t + 0.01) / (t + c + 1), weights, EDITED_SHARE * n0 / (n0 + EDITED_ROWS))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
