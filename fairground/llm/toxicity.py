@@ -229,9 +229,9 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         #: 2 * term + edits of the best match, or -1
         def accepted(e) -> int | None:
-            if e[0] == "in":
-                return 2 * e[1] + e[2]
-            return 2 * whole[e[0]] + e[1] if e[0] in whole else None
+            term, edits = (e[1], e[2]) if e[0] == "in" else (whole.get(e[0]), e[1])
+            # A short term shares its first bytes with longer ones, and with them edits that it doesn't allow.
+            return None if term is None or edits and len(words[term]) < least_fuzzy else 2 * term + edits
 
         self.accepts = np.array([min((x for e in s if (x := accepted(e)) is not None), key=lambda x: (x % 2, x), default=-1) for s in order])
         self.steps = max(map(len, words), default=0) + 2

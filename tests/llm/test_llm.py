@@ -4,9 +4,12 @@ import collections
 import hashlib
 import html
 import re
+import time
+import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +109,46 @@ def test_html(spark):
         assert found[r.page_id] == " ".join(p for p in parts if p)
 
 
+LOOSE = [
+    ("<html><head><title>t</title><body><p>hello there</p>", "hello there"),
+    ("<body><nav><ul><li><a href=x>m</a><main><p>real text</p></main>", "real text"),
+    ("<body><nav><ul><li>menu item<article><p>real text</p></article>", "real text"),
+    ("<article><h1>Title</h1><div class=lead>the lead</div><div class=body>body text that is most of it</div></article>", "Title the lead body text that is most of it"),
+    ("<body><div class=all><h1>Title</h1><div class=lead>lead</div><div class=x>" + "w " * 200 + "</div></div><div class=zz>rest</div>", "Title lead " + ("w " * 200).strip()),
+    ("<article>x<form>name</form><p class='comment-list'>by a reader<p>y</article>", "x y"),
+    ("a < b and c > d", "a < b and c > d"),
+    ("<p>x <a href='q", "x <a href='q"),
+    ("<p>x<!-- never", "x"),
+    ("<script>var a='</p>';</script><p>t</p><script>x", "t"),
+    ("<article>1 &lt; 2 &amp; 3<p>p1<p>p2<ul><li>i1<li>i2</ul></article>", "1 < 2 & 3 p1 p2 i1 i2"),
+]
+
+
+@pytest.mark.parametrize("page,text", LOOSE)
+def test_html_of_loose_pages(page, text):
+    assert html_extraction.main_text(page, None) == text
+
+
+def test_html_is_linear_in_broken_pages():
+    began = time.time()
+    for page in ("<a " * 300_000, "<a \">\"" * 100_000, "<div>" * 100_000 + "</b>" * 100_000, "<b>" + "<div>" * 50_000 + "</b>" * 50_000, "<section><nav>" * 50_000, "<!--" * 100_000):
+        html_extraction.main_text(page, None)
+    assert time.time() - began < 30
+
+
+def test_html_templates_of_a_host_empty_and_repeated(spark, monkeypatch):
+    body = "<article><div class=s1><p>{0} one</div><div class=s2><p>{0} two</div></article><div class=x><p>buy</div>"
+    other = "<article><div class=s1></div></article><main><p>another template, with a long text of its own</main>"
+    rows = [(k, f"http://h/{k}", body.format("some words of page")) for k in range(5)] + [(9, "http://h/9", other), (9, "http://h/9", other), (None, None, "<p>z"), (11, "http://h/11", None)]
+    frame = spark.createDataFrame([(*r, "t", "h", 1, "p") for r in rows], "page_id long, url string, html string, text string, host string, n_chars int, path string")
+    for limit in (html_extraction.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", limit)
+        got = collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_extraction.extract(frame).collect())
+        long, short = "another template, with a long text of its own", "some words of page one some words of page two"
+        assert got == collections.Counter([*((k, f"http://h/{k}", short, len(short)) for k in range(5)), *[(9, "http://h/9", long, len(long))] * 2, (None, None, "z", 1), (11, "http://h/11", "", 0)])
+        assert html_extraction.extract(frame.limit(0)).count() == 0
+
+
 def test_bloom_cascade_is_exact():
     h = np.arange(1, 40001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     levels = url_filter.build_levels(h[:3000], h[3000:])
@@ -120,6 +163,23 @@ def test_url_filter_without_broadcast(spark):
         assert {r.page_id: (r.verdict, r.rule) for r in url_filter.judge(pages, broadcast_bytes=most).collect()} == want
 
 
+def test_url_filter_equal_hashes_and_odd_tables(spark, monkeypatch):
+    keys = pd.Series([f"k{i}" for i in range(100)])
+    listed = np.arange(100) % 3 == 0
+    real = url_filter._key_hashes
+    monkeypatch.setattr(url_filter, "_key_hashes", lambda x: real(x) % np.uint64(37))
+    assert (url_filter.listed_in(*url_filter.build_segment(keys, listed), keys) == listed).all()
+    monkeypatch.undo()
+    pages = spark.createDataFrame([(1, "http://a.b/x", "h"), (1, "http://a.b/x", "h"), (None, None, None)], "page_id long, url string, segment string")
+    universe = spark.createDataFrame([("a.b", True), ("a.b", False), ("", False)], "key string, listed boolean")
+    words = spark.createDataFrame([("b",), ("b",), (None,)], "word string")
+    for most in (1 << 20, -1):
+        for keys in (universe, url_filter.listed_hosts(pages, words)):
+            rows = url_filter.judge(pages, keys, broadcast_bytes=most, group_rows=1).collect()
+            assert sorted((r.page_id or 0, r.host, r.verdict) for r in rows) == [(0, "", "allow"), (1, "a.b", "block"), (1, "a.b", "block")]
+        assert url_filter.judge(pages.limit(0), broadcast_bytes=most).count() == 0
+
+
 def test_one_edit_automaton():
     terms = [("worthless", True), ("moron", True), ("lowei", False)]
     machine = toxicity.Automaton(terms)
@@ -375,3 +435,173 @@ def test_pipeline_near_dup_of_null_and_repeated_ids(spark):
     want = [rows[0], rows[2], rows[3], rows[6], rows[7], rows[8]]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert p.near_dup_stage(spark, spark.createDataFrame([], "doc_id long, text string"), SF).count() == 0
+
+
+def test_sharding_spreads_the_copies_of_a_text(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.lit(99).alias("size"), F.lit(7).alias("text_crc32"))
+    counts = [r["count"] for r in rows.groupBy(sharding.bucket_of(256).alias("b")).count().collect()]
+    assert len(counts) == 256 and max(counts) < 200
+    got = sharding.assign(rows.select(F.col("key").alias("doc_id"), F.lit("same").alias("text")), buckets=4, bucket_rows=50).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m"))
+    assert all(r.n == r.d == r.m + 1 for r in got.collect())
+
+
+#: A table that owns the names of all columns that the operators work with.
+WORK = ["rejected_by", "n_words", "hits", "items", "__hits", "__items", "row", "_row", "found", "ids", "score", "decoded", "k", "part", "label", "node", "key", "held_out"]
+
+
+def test_own_columns_stay(spark, labels):
+    texts = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "a short item b, and some more words so that no rule of length rejects the text at all"), (3, None), (3, "y" * 700)]
+    frame = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in WORK]) for i, t in texts], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in WORK)]))
+    bench = spark.createDataFrame([(1, "short item")], "item_id long, text string")
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    own = plain(frame)
+    of = lambda *ids: [r for r in own if int(r[1]) in ids]
+    assert plain(decontamination.drop_documents(frame, bench)) == of(1, 3)
+    cut_out = decontamination.remove_spans(frame, bench)
+    assert cut_out.columns == frame.columns and plain(cut_out.drop("text")) == plain(frame.drop("text")) and cut_out.where("doc_id = 2").first().text.startswith("a  b,")
+    assert plain(quality_rules.passing(frame)) == of(1, 2)
+    assert plain(quality_rules.apply_rules(frame, to="why").drop("why")) == own
+    assert quality_classifier.keep_good(frame, labels).columns == frame.columns
+    for chunk in (sentencepiece.CHUNK, 100):
+        coded = sentencepiece.encode_and_decode(frame, chunk=chunk, ids="i", score="s", to="d")
+        assert plain(coded.select(*frame.columns)) == own and all(r.d == r.text for r in coded.collect())
+        assert sorted(sentencepiece.encode(frame, chunk=chunk).columns) == sorted(frame.columns)
+
+
+def test_rules_by_value_on_odd_tables(spark, odd):
+    got = sorted(((r.doc_id or 0, r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines, r.base_failed, r.kept) for r in quality_rules.judge(odd).collect()), key=str)
+    want = [(0, 6, 6, 0, 0, True, False), (1, 0, 0, 0, 0, True, False), (2, 0, 0, 0, 0, True, False), (3, 0, 0, 0, 0, True, False), (4, 6, 6, 0, 0, True, False), (5, 6, 6, 0, 0, True, False), (5, 6, 6, 0, 0, True, False), (6, 150, 510, 150, 57, True, False), (7, 2, 5001, 0, 0, True, False)]
+    assert got == sorted(want, key=str)
+    assert {r.doc_id: r.rejected_by for r in quality_rules.apply_rules(odd, order=["repeats_itself", "too_short", *quality_rules.CASCADE_RULES]).collect()}[6] == "repeats_itself"
+
+
+def plain_rules(text):
+    """The rules of the cascade, in words."""
+    text = text or ""
+    words, raw = SPACED.findall(text), text.encode()
+    n, lines = len(words), [x for x in text.split("\n") if SPACED.search(x)]
+    letters, upper = sum(c >= 0xC0 or chr(c).isascii() and chr(c).isalpha() for c in raw), sum(65 <= c <= 90 for c in raw)
+    chars = sum(map(len, words))
+    runs = collections.Counter(tuple(words[i : i + 5]) for i in range(n - 4))
+    repeats = len({k for i in range(n - 4) if runs[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)})
+    return {
+        "too_short": n < 10,
+        "repeats_itself": 100 * repeats > 20 * n,
+        "symbols": 10 * sum(c in "#*$%&|<>" for c in text) > 3 * n,
+        "shouting": letters > 0 and 100 * upper > 50 * letters,
+        "exclaims": 100 * sum(c in "!?" for c in text) > 50 * n,
+        "duplicate_lines": 100 * (len(lines) - len(set(lines))) > 50 * len(lines),
+        "word_length": chars < 2 * n or chars > 25 * n,
+        "digits": 100 * sum(c.isascii() and c.isdigit() for c in text) > 50 * max(chars, 1),
+        "vocabulary": n >= 50 and 100 * len(set(words)) < 10 * min(n, 2000),
+    }
+
+
+def test_rules_verdicts_against_plain_rules(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    extra = [(-1, "THE LOUD TEXT " * 10), (-2, "what? ! " * 20), (-3, "12345 6789 " * 12 + "a b c"), (-4, "same line of words here\n" * 9), (-5, "x y z w v u t s r q p o n m"), (-6, "ab cd " * 40)]
+    docs = docs.union(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = {(r.doc_id, r.text): {k for k, v in plain_rules(r.text).items() if v} for r in docs.collect()}
+    assert set().union(*want.values()) >= {"shouting", "exclaims", "digits", "duplicate_lines", "word_length", "vocabulary"}
+    for order in (None, sorted(quality_rules.BASE_RULES | quality_rules.CASCADE_RULES)):
+        for r in quality_rules.apply_rules(docs, order=order).collect():
+            failed = want[r.doc_id, r.text]
+            assert (r.rejected_by in failed) if failed else r.rejected_by is None
+    kept = {(r.doc_id, r.kept) for r in quality_rules.judge(docs).collect()}
+    assert kept == {(i, not failed) for (i, _), failed in want.items()}
+
+
+def test_discriminant_against_numpy(spark):
+    """Scores as plain numpy has them: class covariances, shrunk twice, and densities by inverse and determinant."""
+    docs, known = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    label = {r.doc_id: r.quality for r in known.collect()}
+    rows = docs.collect()
+    data = [np.frombuffer((r.text or "").encode(), np.uint8) for r in rows]
+    x = np.concatenate([quality_classifier.statistics(quality_classifier.Stats(d, np.array([0, len(d)]))) for d in data])
+    y = np.array([label.get(r.doc_id, -1) if not held(r.doc_id) else -1 for r in rows])
+    total, d = (y >= 0).sum(), x.shape[1]
+    by = {k: x[y == k] for k in (0, 1)}
+    pooled = sum(len(v) / total * np.cov(v.T, bias=True) for v in by.values())
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    density = {}
+    for k, v in by.items():
+        c = (0.7 * np.cov(v.T, bias=True) + 0.3 * pooled) / np.outer(scale, scale)
+        c = 0.98 * c + 0.02 * (np.trace(c) / d + 1e-3) * np.eye(d)
+        z = (x - v.mean(axis=0)) / scale
+        density[k] = -0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z) - 0.5 * np.linalg.slogdet(c)[1] + np.log(len(v) / total)
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / d, -40, 40)))
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, known).collect()}
+    for r, w in zip(rows, want, strict=True):
+        assert abs(got[r.doc_id].score - w) < 1e-6 and got[r.doc_id].held_out == held(r.doc_id) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+
+
+def edits_of(a, b):
+    """Whether bytes a become bytes b by no edit (0), one edit or swap (1), or more (2)."""
+    if a == b:
+        return 0
+    one = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :] for i in range(len(a) - 1)}
+    if b in one or len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1:
+        return 1
+    return 1 if any(b[:i] + b[i + 1 :] == a for i in range(len(b))) else 2
+
+
+def test_automaton_against_plain_edits():
+    terms, rng = [("worthless", True), ("moron", True), ("scum", True), ("lowei", False), ("bé", False), ("vequo", False)], np.random.RandomState(5)
+    machine = toxicity.Automaton(terms)
+    words = [w for t, _ in terms for w in (t, t + "s", t[1:], t[:-1], t[1] + t[0] + t[2:], t + "schaft")]
+    for _ in range(3000):
+        w = list(terms[rng.randint(len(terms))][0])
+        for _ in range(rng.randint(3)):
+            i = rng.randint(len(w) + 1)
+            w[i : i + rng.randint(2)] = rng.choice(list("abeolwv"), rng.randint(2)).tolist()
+        words.append("".join(w) + "".join(rng.choice(list("abco"), rng.randint(4))))
+    for word in words:
+        raw, best = word.encode(), None
+        for k, (t, whole) in enumerate(terms):
+            term = t.encode()
+            least = min(edits_of(term, b) for b in ([raw] if whole else [raw[:n] for n in range(len(raw) + 1)]))
+            if least == 0 or least == 1 and len(term) >= toxicity.LEAST_FUZZY:
+                best = min(best or (2, 0), (least, k))
+        data = np.frombuffer(raw, np.uint8)
+        hit, found = machine.match(data, np.array([0]), np.array([len(data)]))
+        assert (None if not len(hit) else (found[0] % 2, found[0] // 2)) == best, word
+
+
+def test_quotations_pair_their_marks():
+    inside = ['he said "', "“well ", "«", "„a", '"hi" and "']
+    assert all(toxicity.quoted(b.encode(), a.encode()) for b, a in zip(inside, ['" then', "” x", "»", "“", '" bye'], strict=True))
+    for before, after in [('"hi" you ', ' "bye"'), ("", '"'), ('"', ""), ("“", "»"), ("“a” ", "”")]:
+        assert not toxicity.quoted(before.encode(), after.encode())
+
+
+def test_toxicity_scores_by_hand(spark):
+    rows = [(i, f"you moron number {i}" if i % 2 else f"a nice day number {i}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, "what a moronn"), (1001, 'she said "moron" to them'), (1002, None), (1003, ""), (None, "moron")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    train = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    t, c = sum(y for _, y in train), sum(1 - y for _, y in train)
+    base, prior = 0.01 / (c + 1), t / (t + c)
+    exact = ((t + 0.05) / (t + 1) - prior) / (1 - prior)
+    want = lambda w: 1 - (1 - base) * (1 - w)
+    got = {r.doc_id: r for r in toxicity.classify(docs, known).collect()}
+    edited = toxicity.EDITED_SHARE * c / (c + toxicity.EDITED_ROWS) * exact
+    for i, w in [(1, exact), (None, exact), (1000, edited), (1001, toxicity.QUOTED_SHARE * exact), (2, 0), (1002, 0), (1003, 0)]:
+        assert abs(got[i].score - want(w)) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5)
+    assert got[1000].held_out == (zlib.crc32(b"1000") % 5 == 0) and got[None].held_out is False
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline as p
+
+    odd = odd.withColumn("source", F.lit("s"))
+    for name, stage in p.STAGES:
+        empty = stage(spark, odd.limit(0), SF)
+        assert empty.count() == 0
+        if name != "sentencepiece":
+            assert empty.columns == odd.columns and set(stage(spark, odd, SF).collect()) <= set(odd.collect())
+    # Equal texts are one group; null and wordless texts are linked with nothing; a null id comes last.
+    got = sorted((r.doc_id for r in p.near_dup_stage(spark, odd, SF).collect()))
+    assert got == [1, 2, 3, 4, 6, 7]
+    coded = {r.doc_id: r for r in p.sentencepiece_stage(spark, odd, SF).collect()}
+    assert coded[1].ids is None and coded[2].ids == [] and coded[2].n_pieces == 0 and all(r.round_trip for r in coded.values() if r.ids is not None)
