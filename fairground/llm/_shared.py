@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 
@@ -31,6 +33,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def frugal(scan):
+    """``scan``, from batches to batches, that gives freed memory back to the system when its partition ends.
+
+    Python workers are used again by later stages, and what the allocators keep would otherwise add up in them.
+    """
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

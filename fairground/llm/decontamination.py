@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table, wider
+from fairground.llm._shared import batch, column, cut, frugal, table, wider
 from fairground.llm._words import LETTERED, LOWER, Block, blocks, covered, inside_windows, owners, sums, windows
 
 WINDOW = 10
@@ -52,7 +52,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "
                     yield batch(schema, *map(list, zip(*out, strict=True)))
 
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
-    return items.mapInArrow(scan, "item_id string, n int, hash long, words binary").distinct()
+    return items.mapInArrow(frugal(scan), "item_id string, n int, hash long, words binary").distinct()
 
 
 class WindowSet:
@@ -122,7 +122,7 @@ def _scan_part(docs: DataFrame, part, text: str, names: list[str]) -> DataFrame:
                     hits[first + i] = hits[first + i] + [{"word": int(k), "from": int(starts[base + k] - offsets[i]), "to": int(ends[base + k] - offsets[i])} for k in words if k not in seen]
             yield pa.RecordBatch.from_arrays([*(column(rows, c) for c in keep), pa.array(n_words), pa.array(hits, hit_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*keep, *names])
 
-    return docs.mapInArrow(scan, kind)
+    return docs.mapInArrow(frugal(scan), kind)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES, text: str = "text", prefix: str = "") -> DataFrame:
@@ -184,7 +184,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else column(rows, n) for n in columns], names=columns)
 
-    return find_contamination(docs, benchmark, size, prefix=prefix).mapInArrow(clean, docs.schema)
+    return find_contamination(docs, benchmark, size, prefix=prefix).mapInArrow(frugal(clean), docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table
+from fairground.llm._shared import batch, column, cut, frugal, table
 from fairground.llm.url_filter import host_of
 
 CONTAINERS = {"article", "body", "center", "dd", "div", "main", "section", "td"}
@@ -253,7 +253,7 @@ def extract(pages: DataFrame) -> DataFrame:
             votes = [(h, *b) for h, p in zip(column(rows, "host").to_pylist(), column(rows, "html").to_pylist(), strict=True) if p and (b := Page(p).choice())]
             yield batch(vote, *([v[k] for v in votes] for k in range(3)))
 
-    votes = pages.select("host", "html").mapInArrow(vote_paths, "host string, path string, score double")
+    votes = pages.select("host", "html").mapInArrow(frugal(vote_paths), "host string, path string, score double")
     ranked = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     winners = cut(ranked.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path")))
 
@@ -266,7 +266,7 @@ def extract(pages: DataFrame) -> DataFrame:
     size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         winners = F.broadcast(winners)  # else pages meet them by host, and a hot host's pages can be split
-    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(extract_text, "page_id long, url string, text string, n_chars long")
+    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(frugal(extract_text), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ Work is kept from growing with the square of a group:
   2. each key pairs its classes with the smallest one only; those pairs are confirmed and components formed;
   3. only keys that still hold several components are looked at again.  There the other pairs between
      different components are tested on signatures within tasks, in blocks of bounded size, each pair under
-     its first common key alone; the blocks of one large component don't meet each other.  A block's classes that have a partner within the radius get their full
-     sets and meet once more; links alone leave the task, so no row is made for a pair that is refused.
+     its first common key alone; the blocks of one large component don't meet each other.  A block's classes that
+     have a partner within the radius get their full sets and meet once more; links alone leave the task, so no
+     row is made for a pair that is refused.
 To confirm the pairs with smallest classes, they are dealt into cells by the hashes of both ends; a set goes
 once to each cell that needs it, not once to each pair.
 No pair of classes that the join is bound to find is lost: it is either confirmed, refused, or
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table
+from fairground.llm._shared import batch, column, cut, frugal, table
 from fairground.llm._words import LOWER, SPACED, Block, blocks, mix, windows
 
 SHINGLE = 5
@@ -51,9 +52,9 @@ WIDE_MISS = 1e-6
 #: At least so many chunks.
 CHUNKS = 32
 THRESHOLD = 85
-BLOCK = 1024
+BLOCK = 2048
 #: A larger set counts as several of a block's classes.
-BLOCK_SHINGLES = 8192
+BLOCK_SHINGLES = 4096
 #: Pairs of a cell, on average.
 CELL_PAIRS = 2048
 #: Ids of at most so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -167,7 +168,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 signed.append(signature(s) if len(s) else None)
             yield batch(schema, column(rows, "doc_id"), n, node, check, signed)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, node long, check long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(scan), "doc_id long, n_shingles long, node long, check long, signature binary")
 
 
 def index(classes: DataFrame, plan: Plan = PLAN) -> DataFrame:
@@ -182,7 +183,7 @@ def index(classes: DataFrame, plan: Plan = PLAN) -> DataFrame:
                 keys = chunk_keys(_matrix(signed.slice(at, len(some)).to_pylist())[:, :POSITIONS], plan)
                 yield batch(schema, keys.view(np.int64).ravel(), np.repeat(some, keys.shape[1]))
 
-    return classes.select("node", "signature").mapInArrow(scan, "key long, node long")
+    return classes.select("node", "signature").mapInArrow(frugal(scan), "key long, node long")
 
 
 def _matrix(signed) -> np.ndarray:
@@ -216,7 +217,7 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, plan: Plan = PLAN) -> DataF
                 keep = pa.array((differ[:, :POSITIONS].sum(axis=1) <= plan.radius) & (differ.sum(axis=1) <= plan.wide_radius))
                 yield rows.select(["a", "b"]).filter(keep)
 
-    return both.mapInArrow(scan, "a long, b long")
+    return both.mapInArrow(frugal(scan), "a long, b long")
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame
             found = [(_digest(s)[0], s.tobytes()) for _, s in shingle_sets(column(rows, "text"))]
             yield batch(schema, [f[0] for f in found], [f[1] for f in found])
 
-    return texts.mapInArrow(sets, "node long, set binary")
+    return texts.mapInArrow(frugal(sets), "node long, set binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -327,15 +328,16 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
     """
     block, plan = ["key", "i", "j"], plan_of(threshold)
     of_node = classes.select("node", "n_shingles").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
-    labelled = keys.join(of_node, "node")
+    labelled = cut(keys.join(of_node, "node"))
     # A component of half a block and over has parts of its own, which need not meet each other; the smaller ones share parts.
     of_label = labelled.groupBy("key", "label").agg(F.sum("weight").alias("n"))
     small = F.when(2 * F.col("n") < BLOCK, F.col("n"))
     of_key = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.coalesce(F.sum(small), F.lit(0)).alias("small")).where("labels > 1")
-    placed = of_label.join(of_key, "key").select("key", "label", small.isNull().alias("large"), F.ceil(F.when(small.isNull(), F.col("n")).otherwise(F.col("small")) / BLOCK).alias("parts"))
+    placed = cut(of_label.join(of_key, "key").select("key", "label", small.isNull().alias("large"), F.ceil(F.when(small.isNull(), F.col("n")).otherwise(F.col("small")) / BLOCK).alias("parts")))
     part = lambda k: F.when(F.col("large"), F.xxhash64("label", k)).otherwise(F.xxhash64(k)).alias("part")
-    owner = F.when(F.col("large"), F.col("label"))
-    parts = placed.select("key", owner.alias("owner"), "large", "label", F.explode(F.expr("sequence(0L, parts - 1)")).alias("k")).select("key", "owner", part(F.col("k"))).distinct()
+    shared = placed.where("not large").groupBy("key").agg(F.first("parts").alias("parts")).select("key", F.lit(None).cast("long").alias("label"), F.lit(False).alias("large"), "parts")
+    every = placed.where("large").unionByName(shared).withColumn("k", F.explode(F.expr("sequence(0L, parts - 1)")))
+    parts = every.select("key", F.col("label").alias("owner"), part(F.col("k")))
     meet = parts.toDF("key", "of_i", "i").join(parts.toDF("key", "of_j", "j"), "key").where("i <= j and not coalesce(of_i = of_j, false)").select("key", "i", "j")
     sides = meet.select("*", F.col("i").alias("part")).union(meet.where("i < j").select("*", F.col("j").alias("part")))
     members = labelled.join(placed, ["key", "label"]).select("key", "node", "label", part(F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("label"))), F.col("parts"))))
@@ -348,7 +350,7 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
             if len(x):
                 yield from rows.take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
 
-    near = cut(dealt.mapInArrow(partners, dealt.schema))
+    near = cut(dealt.mapInArrow(frugal(partners), dealt.schema))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(batches):
@@ -365,7 +367,7 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
                         yield batch(schema, node[a[keep]], node[b[keep]])
 
     full = near.join(full_sets(near.select("node").distinct(), docs, signed), "node")
-    return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(links, "a long, b long")
+    return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(frugal(links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

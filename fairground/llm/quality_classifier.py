@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, labelled_texts, table
+from fairground.llm._shared import batch, column, frugal, labelled_texts, table
 from fairground.llm._stats import Stats
 from fairground.llm._words import blocks, owners, sums
 
@@ -72,7 +72,7 @@ def class_moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.
             i, j = np.indices((d, d))
             yield batch(schema, np.full(d * d, k), i.ravel(), j.ravel(), m.ravel())
 
-    added = labelled.mapInArrow(partial, "label int, i int, j int, v double").groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
+    added = labelled.mapInArrow(frugal(partial), "label int, i int, j int, v double").groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
     out: dict[int, np.ndarray] = {}
     for r in added:
         out.setdefault(r.label, np.zeros((d, d)))[r.i, r.j] = r.v
@@ -126,7 +126,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch(schema, column(rows, "doc_id"), score, (score >= 0.5).astype(np.int32))
 
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
-    return docs.mapInArrow(scan, "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return docs.mapInArrow(frugal(scan), "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for rows in batches:
             yield rows.filter(pa.array(_scores(model, column(rows, "text")) >= 0.5))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(frugal(scan), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

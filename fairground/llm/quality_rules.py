@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, table, wider
+from fairground.llm._shared import batch, column, frugal, table, wider
 from fairground.llm._stats import Stats
 from fairground.llm._words import blocks
 
@@ -78,7 +78,7 @@ def estimate_order(texts: DataFrame, rules: dict[str, Rule], text: str = "text",
     schema = pa.schema([("rule", pa.string()), ("cost", pa.float64()), ("bad", pa.int64())])
     share = min(1.0, sample_rows / max(1, texts.count()))
     sample = texts.select(F.col(text).alias("text")).sample(share, 7)
-    seen = sample.mapInArrow(measure, "rule string, cost double, bad long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("bad").alias("bad")).collect()
+    seen = sample.mapInArrow(frugal(measure), "rule string, cost double, bad long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("bad").alias("bad")).collect()
     gain = {r.rule: r.bad / max(r.cost, 1e-9) for r in seen}
     return sorted(names, key=lambda n: (-gain.get(n, 0.0), n))
 
@@ -95,7 +95,7 @@ def apply_rules(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string())], names=[*rows.schema.names, to])
 
     docs = docs.select(*(c for c in docs.columns if c == text or c.lower() != to.lower()))
-    return docs.mapInArrow(scan, wider(docs, **{to: "string"}))
+    return docs.mapInArrow(frugal(scan), wider(docs, **{to: "string"}))
 
 
 def passing(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -108,7 +108,7 @@ def passing(docs: DataFrame, rules: dict[str, Rule] | None = None, text: str = "
             found = [cascade(Stats(data, offsets), rules, order) < 0 for _, _, data, offsets in blocks(column(rows, text))]
             yield rows.filter(pa.array(np.concatenate([np.zeros(0, bool), *found])))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(frugal(scan), docs.schema)
 
 
 def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
                 kept[kept] = cascade(s.some(kept), CASCADE_RULES, order) < 0
                 yield batch(schema, ids.slice(first, end - first), *counts, failed, kept)
 
-    return docs.mapInArrow(scan, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return docs.mapInArrow(frugal(scan), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

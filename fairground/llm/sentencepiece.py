@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, table, unused, wider
+from fairground.llm._shared import batch, column, cut, frugal, table, unused, wider
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -540,7 +540,7 @@ def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
     def chunk_entries(group: pd.DataFrame) -> pd.DataFrame:
         return entries(group, "k", np.frombuffer(group["start"].iloc[0], np.int64))[["row", "k", "entry"]]
 
-    leaf = cut(chunks.select("row", "k", "part", "size").mapInPandas(matrices, "row long, k int, m binary").withColumn("g", F.expr(f"k div {GROUP}").cast("int")))
+    leaf = cut(chunks.select("row", "k", "part", "size").mapInPandas(frugal(matrices), "row long, k int, m binary").withColumn("g", F.expr(f"k div {GROUP}").cast("int")))
     grouped = leaf.groupBy("row", "g").applyInPandas(product, "row long, g int, m binary")
     starts = cut(grouped.groupBy("row").applyInPandas(group_entries, "row long, g int, entry binary, score long"))
     scores = starts.select("row", "score").distinct()
@@ -567,7 +567,7 @@ def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
             ways = list(w) if ways is None else [int(w[x]) if x >= 0 else -1 for x in ways]
         return pd.DataFrame({"row": [group["row"].iloc[0]], "k": [group["g"].iloc[0]], "ways": [ways]})
 
-    mapped = cut(known.select("row", "k", "part", "size", "entry").mapInPandas(maps, "row long, k int, ways array<int>").withColumn("g", F.expr(f"k div {GROUP}").cast("int")))
+    mapped = cut(known.select("row", "k", "part", "size", "entry").mapInPandas(frugal(maps), "row long, k int, ways array<int>").withColumn("g", F.expr(f"k div {GROUP}").cast("int")))
     over_groups = mapped.groupBy("row", "g").applyInPandas(compose, "row long, k int, ways array<int>").groupBy("row").applyInPandas(follow, "row long, k int, out int").withColumnRenamed("k", "g")
     ways_out = mapped.join(over_groups, ["row", "g"]).groupBy("row", "g").applyInPandas(follow, "row long, k int, out int")
 
@@ -577,7 +577,7 @@ def _scan_long(chunks: DataFrame, model: str) -> DataFrame:
             found = [np.frombuffer(pieces.chunk_ids(t, n, np.frombuffer(e, np.int64).tolist(), o), np.int32) for t, n, e, o in zip(f["part"], f["size"], f["entry"], f["out"], strict=True)]
             yield pd.DataFrame({"row": f["row"], "k": f["k"], "ids": found})
 
-    traced = known.join(ways_out, ["row", "k"]).select("row", "k", "part", "size", "entry", "out").mapInPandas(ids, "row long, k int, ids array<int>")
+    traced = known.join(ways_out, ["row", "k"]).select("row", "k", "part", "size", "entry", "out").mapInPandas(frugal(ids), "row long, k int, ids array<int>")
     # One row holds a text's ids as one row held the text.
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return whole.join(scores, "row")
@@ -600,14 +600,14 @@ def _merge_long(chunks: DataFrame, model: str) -> DataFrame:
             found = merges.many(f["stretch"].tolist())
             yield pd.DataFrame({"row": f["row"], "k": f["k"], "half": 1, "ids": [np.frombuffer(x[0], np.int32) for x in found], "score": [x[1] for x in found]})
 
-    solved = cut(chunks.mapInPandas(solve, "row long, k int, cut boolean, head string, tail string, ids array<int>, score long"))
+    solved = cut(chunks.mapInPandas(frugal(solve), "row long, k int, cut boolean, head string, tail string, ids array<int>, score long"))
     # A head belongs to the last chunk before it that has a cut; the first chunk has one at its beginning.
     owner = F.last(F.when(F.col("cut"), F.col("k")), ignorenulls=True).over(Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     heads = solved.select("row", owner.alias("owner"), "k", F.col("head").alias("text")).where("owner is not null")
     tails = solved.where("cut").select("row", F.col("k").alias("owner"), "k", F.col("tail").alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "")
     open_ones = heads.union(tails).groupBy("row", F.col("owner").alias("k")).agg(joined.alias("stretch"))
-    ends = open_ones.mapInPandas(stretches, "row long, k int, half int, ids array<int>, score long")
+    ends = open_ones.mapInPandas(frugal(stretches), "row long, k int, half int, ids array<int>, score long")
     every = solved.select("row", "k", F.lit(0).alias("half"), "ids", "score").union(ends)
     # One row holds a text's ids as one row held the text.
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "half", "ids"))), lambda x: x["ids"]))
@@ -626,7 +626,7 @@ def _chunks(giants: DataFrame, row: str, text: str, chunk: int, more: int) -> Da
                     ks = range(at, min(len(t), at + 64 * chunk), chunk)
                     yield batch(schema, [number] * len(ks), [k // chunk for k in ks], [t[max(0, k - 1) : k] for k in ks], [t[k : k + chunk + more] for k in ks], [min(chunk, len(t) - k) for k in ks])
 
-    return giants.select(row, text).mapInArrow(split, "row long, k int, before string, part string, size int")
+    return giants.select(row, text).mapInArrow(frugal(split), "row long, k int, before string, part string, size int")
 
 
 def _encode(docs: DataFrame, model: str, text: str, chunk: int, names: list[str], then, kind) -> DataFrame:
@@ -634,7 +634,7 @@ def _encode(docs: DataFrame, model: str, text: str, chunk: int, names: list[str]
     keep = docs.columns
     width = pieces_of(model).longest
     longer = F.length(text) >= chunk
-    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(lambda batches: then(_short_batches(batches, model, keep, text, names)), kind)
+    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(frugal(lambda batches: then(_short_batches(batches, model, keep, text, names))), kind)
     row, found = unused(docs, "row", "found")
     giants = cut(docs.where(longer).withColumn(row, F.monotonically_increasing_id()))
     if giants.isEmpty():
@@ -644,7 +644,7 @@ def _encode(docs: DataFrame, model: str, text: str, chunk: int, names: list[str]
     traced = _merge_long(parts.select("row", "k", "before", "part"), model) if merges else _scan_long(parts.select("row", "k", "part", "size"), model)
     traced = traced.select(F.col("row").alias(row), F.struct("ids", "score").alias(found))
     encoded = giants.join(traced, row).select(*keep, *(F.col(f"{found}.{c}").alias(n) for c, n in zip(("ids", "score"), names, strict=True)))
-    return short.unionByName(encoded.mapInArrow(then, kind))
+    return short.unionByName(encoded.mapInArrow(frugal(then), kind))
 
 
 def _without(docs: DataFrame, text: str, names: list[str]) -> DataFrame:

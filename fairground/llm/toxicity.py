@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairground.llm._shared import batch, column, cut, labelled_texts, table
+from fairground.llm._shared import batch, column, cut, frugal, labelled_texts, table
 from fairground.llm._words import LETTERED, LOWER, Block, blocks, owners
 from fairground.llm.quality_classifier import held_out
 
@@ -88,7 +88,7 @@ def learn_terms(train: DataFrame) -> list[tuple[str, bool]]:
 
     sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
     odds = (F.col("toxic") / max(1, sizes.get(1, 0))) / ((F.col("clean") + 0.5) / max(1, sizes.get(0, 0)))
-    found = train.mapInArrow(count, "n int, term binary, toxic long, clean long").groupBy("n", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = train.mapInArrow(frugal(count), "n int, term binary, toxic long, clean long").groupBy("n", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # What is frequent in a bounded sample is bounded by it.
     found = [r for r in found.where((F.col("toxic") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).collect() if _ratio(r.toxic, r.clean, sizes[1], sizes.get(0, 0)) >= LEAST_RATIO]
     clean = {(r.n, bytes(r.term)): r.clean for r in found}
@@ -131,7 +131,7 @@ def cover(train: DataFrame, terms: list[tuple[bytes, bool]], clean: dict[bytes,
             yield batch(schema, out)
 
     schema = pa.schema([("terms", pa.list_(pa.binary()))])
-    left = [{bytes(t) for t in r.terms} for r in train.where("label = 1").mapInArrow(holds, "terms array<binary>").collect()]
+    left = [{bytes(t) for t in r.terms} for r in train.where("label = 1").mapInArrow(frugal(holds), "terms array<binary>").collect()]
     counts, of = Counter(t for d in left for t in d), dict(terms)
     frequent = {t for t, k in counts.items() if k >= max(LEAST_FREQUENT, FREQUENT * len(left))}
     found = [(t.decode(), of[t]) for t in frequent]
@@ -308,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
                 pairs = [*((c, label[first + r]) for r, c in found), *((-1, label[first + r]) for r in range(end - first) if r not in hit)]
                 yield batch(schema, [c for c, _ in pairs], [int(y == 1) for _, y in pairs], [int(y == 0) for _, y in pairs])
 
-    seen = train.mapInArrow(count, "cell int, toxic long, clean long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    seen = train.mapInArrow(frugal(count), "cell int, toxic long, clean long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     counts = {r.cell: (r.toxic, r.clean) for r in seen}
     n1, n0 = (train.where(f"label = {k}").count() for k in (1, 0))
     prior = n1 / max(1, n1 + n0)
@@ -329,7 +329,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score = scorer.value.score(data, offsets)
                 yield batch(schema, ids.slice(first, end - first), score, (score >= 0.5).astype(np.int32))
 
-    scored = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, score double, predicted int")
+    scored = docs.select("doc_id", "text").mapInArrow(frugal(scan), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
