@@ -57,6 +57,7 @@ BLOCK = 2048
 BLOCK_SHINGLES = 4096
 #: Pairs of a cell, on average.
 CELL_PAIRS = 2048
+PART_ROWS = 200_000
 #: Ids of at most so many rows (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -254,21 +255,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int
     return pairs.groupBy("cell").cogroup(full.groupBy("cell")).applyInPandas(compare, "a long, b long")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``cut`` with a partition for each ``PART_ROWS`` rows at most, as links and components are often few."""
+    df = cut(df)
+    return df.coalesce(max(1, math.ceil(df.count() / PART_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches.
 
     Alternating large-star and small-star steps; each keeps connectivity and brings nodes nearer to the
     smallest, and the edges are cut after each round, so a lost executor repeats one round at most.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        edges = few(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -328,12 +335,12 @@ def _open_links(keys: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
     """
     block, plan = ["key", "i", "j"], plan_of(threshold)
     of_node = classes.select("node", "n_shingles").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES).alias("weight"))
-    labelled = cut(keys.join(of_node, "node"))
+    labelled = few(keys.join(of_node, "node"))
     # A component of half a block and over has parts of its own, which need not meet each other; the smaller ones share parts.
     of_label = labelled.groupBy("key", "label").agg(F.sum("weight").alias("n"))
     small = F.when(2 * F.col("n") < BLOCK, F.col("n"))
     of_key = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.coalesce(F.sum(small), F.lit(0)).alias("small")).where("labels > 1")
-    placed = cut(of_label.join(of_key, "key").select("key", "label", small.isNull().alias("large"), F.ceil(F.when(small.isNull(), F.col("n")).otherwise(F.col("small")) / BLOCK).alias("parts")))
+    placed = few(of_label.join(of_key, "key").select("key", "label", small.isNull().alias("large"), F.ceil(F.when(small.isNull(), F.col("n")).otherwise(F.col("small")) / BLOCK).alias("parts")))
     part = lambda k: F.when(F.col("large"), F.xxhash64("label", k)).otherwise(F.xxhash64(k)).alias("part")
     shared = placed.where("not large").groupBy("key").agg(F.first("parts").alias("parts")).select("key", F.lit(None).cast("long").alias("label"), F.lit(False).alias("large"), "parts")
     every = placed.where("large").unionByName(shared).withColumn("k", F.explode(F.expr("sequence(0L, parts - 1)")))
@@ -380,11 +387,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     plan = plan_of(threshold)
     # Counts and smallest nodes are added up before the shuffle; in the join a hot key's rows can be split.
     shared = index(classes, plan).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    keys = cut(index(classes, plan).join(shared, "key").where("node <> least"))
+    keys = few(index(classes, plan).join(shared, "key").where("node <> least"))
     stars = keys.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirm(cut(near_pairs(stars, classes, plan)), docs, signed, threshold))
+    links = few(confirm(few(near_pairs(stars, classes, plan)), docs, signed, threshold))
     labels = components(links)
-    more = cut(_open_links(keys.where("n > 2").select("key", "node"), classes, labels, docs, signed, threshold))
+    more = few(_open_links(keys.where("n > 2").select("key", "node"), classes, labels, docs, signed, threshold))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
