@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -15,7 +15,10 @@ DISTRICTS = ["南山", "福田", "宝安", "龙岗", "龙华", "罗湖", "盐田
 FREE_TEXTS = ["免费", "0元", "免费参加"]
 ONLINE_PLACES = ["线上", "线上活动", "在线", "online", "virtual", "online event"]
 UNKNOWN_PLACES = ["", "待确认", "地点待确认", "地点待定"]
-ADS = ["招生公开课", "财富自由", "赚钱秘籍", "招商加盟", "获客", "流量变现", "引流", "成交秘籍"]
+
+
+#: Words of the titles of pages that refuse.  Fixed values.
+BLOCKED_TITLES = ["captcha", "访问验证", "安全验证", "反爬", "请输入验证码"]
 
 
 def clean(c: Column) -> Column:
@@ -77,15 +80,65 @@ def date_range(c: Column) -> Column:
     return F.when(end >= first, F.struct(first.alias("start"), F.date_add(end, 1).alias("end")))
 
 
+def blocked(title: Column, url: Column) -> Column:
+    """Whether a page is a refusal, by its title or its address."""
+    return F.lower(title).rlike("|".join(BLOCKED_TITLES)) | F.contains(url, F.lit("/antispider"))
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """(page_id, href, label, pos): the links of a page, each address once, at its first place."""
+    pattern = F.lit('<a href="([^"]*)"[^>]*>([^<]*)</a>')
+    links = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
+    rows = pages.select("page_id", F.posexplode(links).alias("pos", "link")).select("page_id", "link.href", "link.label", F.col("pos").cast("long").alias("pos"))
+    return rows.groupBy("page_id", "href").agg(F.min_by("label", "pos").alias("label"), F.min("pos").alias("pos"))
+
+
+def same_origin(url: Column, hosts: list[str], path: str) -> Column:
+    """https, one of the hosts (patterns) or one under it, no port, and a path of the form."""
+    return url.rlike(rf"^https://([a-z0-9-]+\.)*(?:{'|'.join(hosts)}){path}([?#].*)?$")
+
+
+def set_query(url: Column, name: str, value: str) -> Column:
+    """The address with one parameter set, without its fragment."""
+    base, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & (F.split(p, "=")[0] != name))
+    return F.concat(base, F.lit("?"), F.array_join(F.concat(kept, F.array(F.lit(f"{name}={value}"))), "&"))
+
+
+def coords(c: Column) -> Column:
+    """struct(lon, lat) of "lon,lat"; else null."""
+    parts = F.split(c, ",")
+    lon, lat = (F.trim(F.get(parts, F.lit(k))).try_cast("double") for k in (0, 1))
+    return F.when((F.size(parts) == 2) & lon.isNotNull() & lat.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
+
+
+def decode_tags(c: Column, known: list[str]) -> Column:
+    """The known words of a JSON list, each once; none of what is no list."""
+    words = F.coalesce(F.from_json(c, "array<string>"), F.expr("array()"))
+    return F.array_distinct(F.filter(words, lambda w: w.isin(known)))
+
+
+def renamed(topics: str, old: str, new: str) -> Column:
+    return F.transform(topics, lambda t: F.when(t == old, new).otherwise(t))
+
+
+def append_note(notes: Column) -> Column:
+    """Notes, each once, in order, joined by "; "."""
+    return F.array_join(F.array_distinct(F.filter(notes, lambda n: n != "")), "; ")
+
+
 def topic_rules(c: Column, keywords: dict[str, list[str]]) -> Column:
     """Topics of which a keyword occurs: ASCII words at their boundaries, others anywhere."""
     low = F.lower(F.coalesce(c, F.lit("")))
 
-    def hit(word: str) -> Column:
-        word = word.lower()
-        return low.rlike(f"(^|[^a-z0-9])\\Q{word}\\E([^a-z0-9]|$)") if word.isascii() else F.contains(low, F.lit(word))
+    def hit(words: list[str]) -> Column:
+        """One pattern for all words of a topic."""
+        words = [w.lower() for w in words]
+        ascii_words, others = ([rf"\Q{w}\E" for w in words if w.isascii() == k] for k in (True, False))
+        parts = ([f"(?:^|[^a-z0-9])(?:{'|'.join(ascii_words)})(?![a-z0-9])"] if ascii_words else []) + others
+        return low.rlike("|".join(parts)) if parts else F.lit(False)
 
-    found = F.array(*[F.when(F.greatest(*[hit(w) for w in words], F.lit(False)), F.lit(topic)) for topic, words in keywords.items()])
+    found = F.array(*[F.when(hit(words), F.lit(topic)) for topic, words in keywords.items()])
     return F.array_compact(found)
 
 

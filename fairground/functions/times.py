@@ -53,3 +53,14 @@ ENDS_SQL = """ends as (select *, case when end_at > start_at then end_at end as
 timed as (select *, case when all_day then greatest(coalesce(known_end, day_end), day_end) else coalesce(known_end, start_at + interval 3 hours) end as upcoming_end,
   case when all_day then greatest(coalesce(known_end, day_end), day_end) else coalesce(known_end, start_at + interval 1 second) end as range_end,
   coalesce(epoch_us(end_at) - epoch_us(start_at), 0) / 86400000000 as span_days from ends)"""
+
+
+def iso(c: Column) -> Column:
+    """A written time as ISO text at +08:00: without zone it is local, a date is its midnight, anything else is null."""
+    day, clock, zone = (F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2})?))?(Z|[+-]\d{2}:\d{2})?$", k) for k in (1, 2, 3))
+    clock = F.when(clock == "", "00:00:00").when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
+    local = F.try_to_timestamp(F.concat_ws(" ", F.when(day != "", day), clock), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    hours, minutes = F.substring(zone, 2, 2).cast("int"), F.substring(zone, 5, 2).cast("int")
+    ahead = F.when(zone == "Z", 0).when(zone == "", 480).otherwise((hours * 60 + minutes) * F.when(zone.startswith("-"), -1).otherwise(1))
+    moved = F.timestamp_add("MINUTE", (F.lit(480) - ahead).cast("int"), local)
+    return F.when(day != "", F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss'+08:00'"))

@@ -85,16 +85,26 @@ def retained(activities: DataFrame, preferences: DataFrame, protected: DataFrame
     return activities.join(goes, "id", "left_anti")
 
 
-def resolve_redirects(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(alias_id, target_id) at the end of each chain; a chain that comes back to itself stops at its smallest id."""
-    reached = edges.select("alias_id", "target_id")
-    for _ in range(rounds):
-        step = edges.select(F.col("alias_id").alias("target_id"), F.col("target_id").alias("next"))
-        moved = reached.join(step, "target_id", "left").select("alias_id", F.coalesce("next", "target_id").alias("target_id"), F.col("next").isNotNull().alias("moved"))
-        if moved.where("moved").isEmpty():
+def resolve_redirects(edges: DataFrame) -> DataFrame:
+    """(alias_id, target_id) at the end of each chain, however long; what runs into a cycle ends at the cycle's smallest id.
+
+    Each alias has one target.  Pointers double: after k rounds an alias points 2^k steps on, or to its end, and knows the
+    smallest id among these steps.  Once that is as many steps as there are aliases, what still points to an alias points into
+    a cycle, and the steps from there go all round it.  Each round is settled, so its plan doesn't grow.
+    """
+
+    def settled(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+
+    reached = settled(edges.select("alias_id", F.col("target_id").alias("at"), F.col("target_id").alias("least")))
+    for _ in range(reached.count().bit_length()):
+        step = reached.select(F.col("alias_id").alias("at"), F.col("at").alias("next"), F.col("least").alias("next_least"))
+        moved = reached.join(step, "at", "left").select("alias_id", F.coalesce("next", "at").alias("at"), F.least("least", "next_least").alias("least"), F.col("next").isNotNull().alias("moved"))
+        reached = settled(moved)
+        if reached.where("moved").isEmpty():
             break
-        reached = moved.select("alias_id", "target_id").checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else moved.select("alias_id", "target_id")
-    return reached
+    cycle = reached.select(F.col("alias_id").alias("at"), F.col("least").alias("smallest"))
+    return reached.select("alias_id", "at").join(cycle, "at", "left").select("alias_id", F.coalesce("smallest", "at").alias("target_id"))
 
 
 def venue(location: Column) -> Column:

@@ -77,6 +77,19 @@ def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 36)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("position") >= offset)
 
 
+def summary(rows: DataFrame, offset: int = 0, limit: int = 36, shown_long: int = 12) -> DataFrame:
+    """One row: total, first, has_more, excluded (long ones) and whether more of these are left out than are shown."""
+    long = F.count_if(long_running())
+    total = F.count_if(~long_running())
+    return rows.agg(total.alias("total"), F.lit(offset).alias("first"), (total > offset + limit).alias("has_more"), long.alias("excluded"), (long > shown_long).alias("truncated"))
+
+
+def favorites_first(rows: DataFrame, least: int) -> DataFrame:
+    """All favorites, and others behind them up to ``least`` rows together."""
+    order = [F.desc("favorite"), F.asc("start_at"), F.asc("id")]
+    return rows.where("favorite").union(rows.orderBy(*order).limit(least).where("not favorite"))
+
+
 def facets(candidates: DataFrame, types: list[str], topics: list[str], wanted_types: list[str] | None, wanted_topics: list[str] | None, wanted_districts: list[str] | None, vocabulary: DataFrame) -> DataFrame:
     """(facet, value, n): each value of the vocabulary under the other filters, zeros included, in one pass."""
     t = F.lit(True) if wanted_types is None else any_of("event_type", wanted_types) & (F.col("event_type_state") != "pending")

@@ -213,14 +213,14 @@ def contiguous_date_groups(spark, sf):
 
 @query(f"with {_GUARDS_SQL} select source_id, event_id, reason, generation, notices, digest, active from guards")
 def guard_fold(spark, sf):
-    """M12 A14 T4"""
+    """M12 A14 """
     return E.guard_fold(V.observations(spark, sf))
 
 
 @query(f"""with {_A}, {_GUARDS_SQL}, active as (select event_id, count(*) as guards, string_agg(distinct reason, ',' order by reason) as reasons from guards where active group by event_id)
 select id, case when status = 'scheduled' and coalesce(guards, 0) > 0 then 'needs_review' else status end as effective_status, status = 'scheduled' and coalesce(guards, 0) = 0 as planning_eligible, coalesce(guards, 0) as guards, reasons from activity left join active on event_id = id""")
 def safety_projection(spark, sf):
-    """M11 J4 J11"""
+    """M11 J4 """
     shown = E.project_safety(V.activity(spark, sf), E.guard_fold(V.observations(spark, sf)))
     return shown.select("id", "effective_status", "planning_eligible", "guards", F.array_join("reasons", ",").alias("reasons"))
 
@@ -350,7 +350,7 @@ def request_log_audit(spark, sf):
 
 @query(f"with {_A} select count(*) as n_rows, cast(sum(cast('0x' || substr(sha256(id || '|' || status || '|' || district), 1, 12) as bigint)) as varchar) as signature from activity")
 def table_signature(spark, sf):
-    """The same for the same rows in any order."""
+    """The same for the same rows in any order."""
     return E.signature(V.activity(spark, sf), ["id", "status", "district"])
 
 
@@ -361,7 +361,7 @@ _TITLE, _H1 = r"(?s)<title>(.*?)</title>", r"(?s)<h1>(.*?)</h1>"
 
 @query(rf"select page_id, trim(regexp_replace(regexp_extract(html, '{_TITLE}', 1), '\s+', ' ', 'g')) as title, regexp_extract(html, '<html lang=\"(\w+)\"', 1) as lang, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as links, len(regexp_extract_all(html, '<p>')) as paragraphs, regexp_matches(regexp_extract(html, '{_TITLE}', 1), '(?i)captcha') as blocked from pages")
 def captured_pages(spark, sf):
-    """A row a page with title, language, links and whether it is a refusal."""
+    """A row a page with title, language, links and whether it is a refusal."""
     title = F.regexp_extract("html", _TITLE, 1)
     return V.table(spark, sf, "pages").select(
         "page_id", X.clean(title).alias("title"), F.regexp_extract("html", r'<html lang="(\w+)"', 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("links"),
@@ -379,7 +379,7 @@ def canon_url(spark, sf):
 
 @query("with c as (select page_id, regexp_extract(url, '^[^:]+://([^/?#]*[^?#]*)', 1) as k, regexp_matches(url, '[?]') as dated from pages) select k as page, page_id from c qualify row_number() over (partition by k order by dated desc, page_id) = 1")
 def first_seen_item(spark, sf):
-    """One page an address, one with parameters first."""
+    """One page an address, one with parameters first."""
     rows = V.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[^:]+://([^/?#]*[^?#]*)", 1).alias("page"), F.contains("url", F.lit("?")).alias("dated"))
     return rows.groupBy("page").agg(F.min_by("page_id", F.struct(~F.col("dated"), "page_id")).alias("page_id"))
 
@@ -397,13 +397,13 @@ _HITS = ", ".join("case when " + " or ".join(f"contains(t, '{w}')" if not w.isas
 
 @query(f"select doc_id, concat_ws(',', {_HITS}) as topics from (select doc_id, lower(text) as t from documents)")
 def topic_rules(spark, sf):
-    """Topics of keywords at word boundaries."""
+    """topics of keywords at word boundaries."""
     return V.table(spark, sf, "documents").select("doc_id", F.array_join(X.topic_rules(F.col("text"), _KEYWORDS), ",").alias("topics"))
 
 
 @query(r"select doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) as content_hash, substr(sha256(source || '|' || cast(doc_id as varchar)), 1, 20) as event_id, length(text) as n from documents")
 def content_hash(spark, sf):
-    """F1 F21 F22 F36"""
+    """F1 F21 F22 """
     d = V.table(spark, sf, "documents")
     return d.select("doc_id", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("content_hash"), F.substring(F.sha2(F.concat_ws("|", "source", F.col("doc_id").cast("string")), 256), 1, 20).alias("event_id"), F.length("text").alias("n"))
 
@@ -426,14 +426,14 @@ def carry_forward_section(spark, sf):
 
 @query("select kept, reason, count(*) as n from (select reason is null as kept, coalesce(reason, '') as reason from (select case when length(text) < 40 then 'short_lead' when lang not in ('en', 'de') then 'other_city' when n_chars > 20000 then 'too_long' end as reason from documents)) group by all")
 def admission(spark, sf):
-    """What is admitted, and why the rest is not."""
+    """What is admitted, and why the rest is not."""
     reason = F.when(F.length("text") < 40, "short_lead").when(~F.col("lang").isin("en", "de"), "other_city").when(F.col("n_chars") > 20000, "too_long")
     return V.table(spark, sf, "documents").select(reason.isNull().alias("kept"), F.coalesce(reason, F.lit("")).alias("reason")).groupBy("kept", "reason").agg(F.count("*").alias("n"))
 
 
 @query("select source, text_sha, count(*) as copies, min(doc_id) as keep from (select source, doc_id, sha256(text) as text_sha from documents) group by all having count(*) > 1")
 def search_identity(spark, sf):
-    """The same text of one source under several addresses."""
+    """The same text of one source under several addresses."""
     rows = V.table(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("text_sha"))
     return rows.groupBy("source", "text_sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keep")).where("copies > 1")
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fairground import catalogue  # noqa: F401  it registers more queries
 from fairground import queries as Q
 from fairground.functions import text as X
 from fairground.functions import times as T
@@ -90,9 +91,25 @@ def test_time_boundaries(spark, end, all_day, upcoming):
     assert [df.select((T.upcoming_end() > T.at(c)).alias("x")).first().x for c in clocks] == upcoming
 
 
-def test_redirect_cycle_ends(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 4)], "alias_id long, target_id long")
-    assert {r.alias_id for r in E.resolve_redirects(edges, 4).collect()} == {1, 2, 3}
+def test_redirects_of_long_chains_and_cycles(spark):
+    chain = [(k, k + 1) for k in range(1000)]
+    cycles = [(2001, 2002), (2002, 2001), (2010, 2011), (2011, 2012), (2012, 2010), (2100, 2011), (2101, 2100), (5000, 5000)]
+    edges = spark.createDataFrame(chain + cycles, "alias_id long, target_id long")
+    got = {r.alias_id: r.target_id for r in E.resolve_redirects(edges).collect()}
+    assert got == {k: 1000 for k in range(1000)} | {2001: 2001, 2002: 2001, 2010: 2010, 2011: 2010, 2012: 2010, 2100: 2010, 2101: 2010, 5000: 5000}
+    assert E.resolve_redirects(edges.limit(0)).count() == 0
+
+
+def test_iso_offsets(spark):
+    wrote = ["2026-03-01T10:00:00-05:30", "2026-03-01 10:00", "2026-03-01T23:30:00Z", "2026-03-01", "2026-13-01", "March", "", None]
+    got = [r.t for r in spark.createDataFrame([(w,) for w in wrote], "w string").select(T.iso(F.col("w")).alias("t")).collect()]
+    assert got == ["2026-03-01T23:30:00+08:00", "2026-03-01T10:00:00+08:00", "2026-03-02T07:30:00+08:00", "2026-03-01T00:00:00+08:00", None, None, None, None]
+
+
+def test_refusals_and_queries(spark):
+    row = spark.createDataFrame([("请完成安全验证", "http://a/b?page=1&x=2#f", "1.5, 2"), ("ok", "http://a/antispider", "1")], "title string, url string, p string")
+    got = row.select(X.blocked(F.col("title"), F.col("url")).alias("b"), X.set_query(F.col("url"), "page", "3").alias("u"), X.coords(F.col("p")).alias("c")).collect()
+    assert [(r.b, r.u, r.c and (r.c.lon, r.c.lat)) for r in got] == [(True, "http://a/b?x=2&page=3", (1.5, 2.0)), (True, "http://a/antispider?page=3", None)]
 
 
 def test_plans(spark):
