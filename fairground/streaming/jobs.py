@@ -17,21 +17,44 @@ def stream_observations(spark: SparkSession, source: str, target: str, state: st
     return once.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def daily_counts(spark: SparkSession, source: str, name: str, state: str, watermark: str = "1 day"):
-    """Observations of a day and reason, late ones counted while the watermark allows."""
+def daily_counts(spark: SparkSession, source: str, target: str, state: str, watermark: str = "1 day"):
+    """(day, reason, n) of observations, appended to files once the watermark has passed a day.
+
+    Late rows count while their day is open; then its state is dropped.  The last days stay open until later rows come.
+    """
     rows = _read(spark, source).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
-    counts = rows.groupBy(F.window("at", "1 day"), "reason").count()
-    return counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start()
+    counts = rows.groupBy(F.window("at", "1 day"), "reason").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "reason", "n")
+    return counts.writeStream.format("parquet").option("path", target).outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str, before: int | None = None, schema: str | None = None) -> DataFrame:
+    """The rows of the table that ``stream_upsert`` keeps: of each bucket the newest version, or the newest before a batch."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(target)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version")
 
 
-def stream_upsert(spark: SparkSession, source: str, target: str, state: str, values: list[str]):
-    """Upserts each batch into the Parquet table of the newest version; a replayed batch writes the same version again."""
+def stream_upsert(spark: SparkSession, source: str, target: str, state: str, values: list[str], buckets: int = 256):
+    """Upserts each batch into a Parquet table of buckets by id; only buckets that the batch touches get a new version.
+
+    A replayed batch writes the same versions again, from the versions before it.  At most ``buckets`` numbers are broadcast.
+    """
     from fairground.operators.evidence import upsert
 
+    columns = ["id", *values, "origin_priority"]
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
     def batch(rows: DataFrame, number: int) -> None:
-        columns = ["id", *values, "origin_priority"]
-        stored = spark.read.parquet(f"{target}/version={number - 1}") if number else rows.select(*columns).limit(0)
         newest = rows.select(*columns).groupBy("id").agg(F.min_by(F.struct(*columns), F.struct("origin_priority", *values)).alias("r")).select("r.*")
-        upsert(stored, newest, values).select(*columns).write.mode("overwrite").parquet(f"{target}/version={number}")
+        stored = rows.select(*columns).limit(0)
+        if number:
+            touched = rows.select(bucket.alias("bucket")).distinct()
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema) + ", version int, bucket int"
+            stored = current(spark, target, number, schema).join(F.broadcast(touched), "bucket", "left_semi").select(*columns)
+        merged = upsert(stored, newest, values).select(*columns, F.lit(number).alias("version"), bucket.alias("bucket"))
+        # Each batch owns its versions: what an earlier try of it left is replaced, nothing else is touched.
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(target)
 
     return _read(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -53,7 +53,7 @@ def test_notices(spark):
 
 
 def test_places(spark):
-    texts = ["深圳市", "广东省深圳市，科技园3栋", "南山、福田", "ab", "Nanshan Science Park, Shenzhen China", "hong kong hall", None, ""]
+    texts = ["深圳市", "广东省深圳市,科技园3栋", "南山、福田", "ab", "Nanshan Science Park, Shenzhen China", "hong kong hall", None, ""]
     assert values(spark, texts, G.place_query) == ["", "科技园3栋", "", "", "Nanshan Science Park", "", "", ""]
     assert values(spark, ["Science", "Hall 科技园三栋", None], G.mostly_latin) == [True, False, None]
 
@@ -83,7 +83,7 @@ def test_posts_with_several_dates(spark):
         ("d", "no list"), ("e", None),
     ]
     got = R.posts(spark.createDataFrame(bodies, "source_id string, body string")).orderBy("source_id", "link").collect()
-    assert [(r.source_id, r.start and str(r.start), r.fee, r.reject) for r in got if not r.reject] == [("a", "2026-09-01", "", None), ("b", None, "", None), ("c", None, "", None)]
+    assert [(r.source_id, r.start and str(r.start), r.fee, r.reject) for r in got if not r.reject] == [("a", "2026-09-01", "免费", None), ("b", None, "免费", None), ("c", None, "", None)]
 
 
 def test_located_needs_one_district(spark):
