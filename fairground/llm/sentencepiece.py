@@ -55,6 +55,17 @@ TOGETHER = 1 << 20
 MARK = "▁"
 
 
+def _together(stretches: list[str], memory: dict[str, tuple[bytes, int]], find) -> tuple[bytes, int]:
+    """(ids, score) of stretches in a row, remembered or found."""
+    got = list(map(memory.get, stretches))
+    if None in got:
+        got = [g or find(p) for g, p in zip(got, stretches, strict=True)]
+    if not got:
+        return b"", 0
+    ids, scores = zip(*got, strict=True)
+    return b"".join(ids), sum(scores)
+
+
 class Pieces:
     """The vocabulary with its scores.  A space stands for the word mark throughout."""
 
@@ -246,19 +257,18 @@ class Pieces:
         parts = [self._stretch.findall(t) for t in texts]
         every, memory, find = set().union(*parts), self._memory, self.stretch
         new = [p for p in every if p not in memory]
-        if len(memory) + len(new) > REMEMBERED:
+        if len(memory) + len(new) > REMEMBERED:  # what these texts have in common with earlier ones stays
+            kept = {p: memory[p] for p in every if p in memory}
             memory.clear()
-            new = list(every)
+            memory.update(kept)
         self.learn(new)
-        found = [[memory.get(p) or find(p) for p in ps] for ps in parts]
-        return [(b"".join([g[0] for g in got]), sum([g[1] for g in got])) for got in found]
+        return [_together(ps, memory, find) for ps in parts]
 
     def whole(self, text: str) -> tuple[bytes, int]:
         """(ids as int32 bytes, score) of a marked text."""
         parts = self._stretch.findall(text)
         memory, find = self._memory, self.stretch
-        got = [memory.get(p) or find(p) for p in parts]
-        return b"".join([g[0] for g in got]), sum([g[1] for g in got])
+        return _together(parts, memory, find)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.texts[i] for i in ids]).decode("utf-8", "replace")[1:]
@@ -331,16 +341,19 @@ class Merges:
                 self._first[ord(p)] = k
             if p in pieces.ids:
                 self._ids[k], self._scores[k] = pieces.ids[p]
+        # Ranks are dense, so that tables of them take half the room of scores; the last one stands for no piece.
+        self._ranks = np.unique(-self._scores, return_inverse=True)[1].astype(np.int32)
+        self._ranks[0] = self._last = self._ranks.max() + 1
         halves = [(symbols[p[:n]] * (len(symbols) + 1) + symbols[p[n:]], k) for p, k in symbols.items() if p in pieces.ids for n in range(1, len(p)) if p[:n] in symbols and p[n:] in symbols]
         halves.sort()
         self._pairs, self._merged = np.array([h[0] for h in halves] + [1 << 62], np.int64), np.array([h[1] for h in halves] + [0], np.int32)
 
     def _merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, rank) of each pair of neighbours; symbol 0 and the rank -NEVER where they make up no piece."""
+        """(symbol, rank) of each pair of neighbours; symbol 0 and the last rank where they make up no piece."""
         pair = left.astype(np.int64) * len(self._ids) + right
         at = np.searchsorted(self._pairs, pair)
         symbol = np.where(self._pairs[at] == pair, self._merged[at], 0)
-        return symbol, np.where(symbol > 0, -self._scores[symbol], -NEVER)
+        return symbol, self._ranks[symbol]
 
     def _result(self, symbols: list[str]) -> tuple[bytes, int]:
         ids, score, get = [], 0, self.pieces.ids.get
@@ -392,7 +405,7 @@ class Merges:
             live = np.arange(len(whole))
             while len(live):
                 at = rank[live].argmin(axis=1)
-                go = rank[live, at] < -NEVER
+                go = rank[live, at] < self._last
                 live, at = live[go], at[go]
                 if not len(live):
                     break
@@ -427,12 +440,12 @@ class Merges:
         parts = [self.pieces._stretch.findall(t) for t in texts]
         every, memory, find = set().union(*parts), self._memory, self.stretch
         new = [p for p in every if p not in memory]
-        if len(memory) + len(new) > REMEMBERED:
+        if len(memory) + len(new) > REMEMBERED:  # what these texts have in common with earlier ones stays
+            kept = {p: memory[p] for p in every if p in memory}
             memory.clear()
-            new = list(every)
+            memory.update(kept)
         self.learn(new)
-        found = [[memory.get(p) or find(p) for p in ps] for ps in parts]
-        return [(b"".join([g[0] for g in got]), sum([g[1] for g in got])) for got in found]
+        return [_together(ps, memory, find) for ps in parts]
 
     def parts(self, before: str, text: str) -> tuple[str | None, str, str]:
         """(before the first cut, between the first and the last, behind the last) of a chunk, given the character before it; None, the text and nothing if it has no cut."""
