@@ -354,3 +354,67 @@ def calendar_entries(spark, sf):
     """K2: saved activities as calendar entries, timed and of whole days, escaped."""
     rows = L.only_favorites(V.activity(spark, sf), V.preferences(spark, sf)).where("status = 'scheduled'")
     return rows.withColumn("title", F.concat("title", F.lit(", of "), "district", F.lit("; free"))).select("id", M.calendar_entry())
+
+
+@query(f"""with {_A} select id, title, 'https://e.example.com/' || id as url, strftime(case when id % 5 <> 0 then start_at end, '%Y-%m-%d') as start, strftime(case when id % 7 <> 0 then end_at end, '%Y-%m-%d') as stop, case id % 3 when 0 then '南山 hall' when 1 then '南山、福田' else district end as place,
+case when id % 3 = 0 then '南山' else '待确认' end as district, case when id % 2 = 0 then '费用未注明' else '免费' end as fee, id % 2 = 1 as fee_free, case when id % 4 = 0 then 'Event' else event_type end as kind, case when id % 4 = 0 then 'pending' else 'source' end as kind_state,
+case when id % 5 = 0 then 'needs_review' when id % 6 = 0 then 'scheduled' else status end as status from activity where id % 13 <> 0 and id % 11 <> 0""")
+def normalize_events(spark, sf):
+    """Rows as they come, within bounds and vocabularies."""
+    rows = V.activity(spark, sf).selectExpr(
+        "id", "if(id % 13 = 0, '  ', concat(' ', title, '\n')) as title", "if(id % 11 = 0, 'ftp://x', concat('https://e.example.com/', id, '#a')) as url", "if(id % 5 = 0, null, start_at) as start",
+        "if(id % 7 = 0, if(id % 5 = 0, null, start_at - interval 1 day), end_at) as end", "element_at(array('南山  hall', '南山、福田', district), cast(id % 3 as int) + 1) as place", "if(id % 2 = 0, null, '免费') as fee", "if(id % 4 = 0, 'nonsense', event_type) as kind", "if(id % 6 = 0, null, status) as status",
+    )
+    return M.normalized(rows, V.EVENT_TYPES).select("id", "title", "url", _iso("start", "start"), _iso("end", "stop"), "place", "district", "fee", "fee_free", "kind", "kind_state", "status")
+
+
+@query(f"""with {_A} select id // 3 as canonical, case when bool_or(status = 'cancelled') then 'cancelled' when count(distinct start_at) > 1 or bool_or(id % 9 = 0) or bool_or(status = 'needs_review') then 'needs_review' else 'scheduled' end as status, count(*) as n,
+array_to_string(list_sort(list(distinct 'b' || (id % 5))), ',') as bindings from activity group by 1""")
+def alias_items(spark, sf):
+    """Items that lead to one address."""
+    rows = V.activity(spark, sf).selectExpr("id div 3 as canonical", "start_at as start", "status", "id % 9 = 0 as conflict", "concat('b', id % 5) as binding")
+    return M.same_canonical(rows).withColumn("bindings", F.array_join("bindings", ","))
+
+
+@query("""with f as (select l_orderkey as raw_id, max_by('n' || l_linenumber, (l_shipdate, 'n' || l_linenumber)) as new_url from lineitem where l_returnflag = 'R' group by 1)
+select o_orderkey as id, coalesce(new_url, 'u' || o_orderkey) as url, new_url is not null as refreshed from orders left join f on raw_id = o_orderkey""")
+def rotated_urls(spark, sf):
+    """The newest address under which an item was found again."""
+    rows = V.table(spark, sf, "orders").selectExpr("o_orderkey as id", "o_orderkey as raw_id", "concat('u', o_orderkey) as url")
+    return M.rotated(rows, V.table(spark, sf, "lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey as raw_id", "concat('n', l_linenumber) as new_url", "l_shipdate as seen_at"))
+
+
+@query(f"with {_A}, {_P} select id, title, strftime(start_at, '%Y-%m-%d') as start, feedback, strftime(feedback_updated_at, '%Y-%m-%d %H:%M:%S') as updated, favorite, revision from activity join preferences on event_id = id where feedback is not null")
+def feedback_export(spark, sf):
+    """K3: all feedback with its activity, hidden ones too."""
+    rows = V.activity(spark, sf).join(V.preferences(spark, sf).withColumnRenamed("event_id", "id"), "id").where("feedback is not null")
+    return rows.select("id", "title", _iso("start_at", "start"), "feedback", F.date_format("feedback_updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"), "favorite", "revision")
+
+
+@query(f"with {_A} select id, ['深圳', district, '外市', '深圳', '外市', '待确认'][id % 6 + 1] as city from activity")
+def city_evidence(spark, sf):
+    """The city by what is stated, the place, and the scope of the source."""
+    pick = lambda *values: F.expr(f"element_at(array({', '.join(values)}), cast(id % 6 as int) + 1)")
+    stated = pick("district", "district", "'未知'", "null", "''", "'待确认'")
+    place = pick("'Shen Zhen hall'", "'hall'", "'Kowloon'", "'hall'", "'成都市 hall'", "'hall'")
+    return V.activity(spark, sf).select("id", G.city_of(stated, place, pick("''", "'深圳'", "'深圳'", "'深圳'", "'深圳'", "null")).alias("city"))
+
+
+@query(f"""with {_A}, b as (select e.event_id as observation_id, a.id as event_id, case when e.value < 10 then null else e.event_id % 4 end as day, a.id % 4 as anchor from events e join activity a on e.user_id % 20 = a.id % 20 and e.event_id % 900 = a.id where not (e.event_id % 6 = 0))
+select observation_id, event_id, case when day is null then 'refused' when day = anchor then 'applicable' else 'not_applicable' end as result from b""")
+def late_anchors(spark, sf):
+    """Retained observations decided when their anchor arrives, those decided before left out."""
+    observations = V.table(spark, sf, "events").selectExpr("event_id as observation_id", "user_id % 20 as source_id", "event_id % 900 as alias", "if(value < 10, null, event_id % 4) as day")
+    anchors = V.activity(spark, sf).selectExpr("id % 20 as source_id", "id as alias", "id as event_id", "id % 4 as day")
+    done = observations.where("observation_id % 6 = 0").selectExpr("observation_id", "alias as event_id")
+    return M.adjudicated(anchors, observations, done)
+
+
+@query(f"""with {_W}, h as (select id // 4 as item, id % 7 = 0 and id % 3 <> 0 as o, id % 5 = 0 and id % 3 <> 0 and day <> last and id % 2 = 0 as d from w)
+select item, not bool_or(o or d) as admitted, concat_ws(',', case when bool_or(d) then 'day' end, case when bool_or(o) then 'organizer' end) as reasons from h group by item""")
+def history_conflicts(spark, sf):
+    """Evidence against every stored binding of an item; a changed day needs a notice from the old to the new one."""
+    rows = _written(spark, sf)
+    new = rows.selectExpr("id div 4 as item", "id as alias", "organizer", "if(id % 5 = 0, last, day) as day", "if(id % 2 = 1, day, null) as old_day", "last as new_day")
+    stored = rows.where("id % 3 <> 0").selectExpr("id div 4 as item", "id as alias", "if(id % 7 = 0, 'other', organizer) as organizer", "day")
+    return M.histories(new, stored)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairground.functions import grammar as G
-from fairground.functions.text import clean, norm, ratio
+from fairground.functions.text import canon_url, clean, district_of, norm, ratio
 
 #: Fixed values.
 UNKNOWN_FEES = ["", "费用未注明", "未注明", "未知", "待确认"]
@@ -186,3 +186,70 @@ def calendar_entry(alias: str = "vevent") -> Column:
     end = F.when(F.col("all_day"), day(F.greatest(F.coalesce(F.to_date("end_at"), whole), whole))).otherwise(clock(F.when(F.col("end_at") > F.col("start_at"), F.col("end_at"))))
     parts = F.array_compact(F.array(F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "id", F.lit("@fairground")), F.concat(F.lit("DTSTART"), F.when(F.col("all_day"), day("start_at")).otherwise(clock("start_at"))), F.concat(F.lit("DTEND"), end), F.concat(F.lit("SUMMARY:"), escaped), F.lit("END:VEVENT")))
     return F.array_join(parts, "\r\n").alias(alias)
+
+
+def normalized(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """(id, title, url, start, end, place, district, fee, fee_free, kind, kind_state, status) of rows as they come.
+
+    Rows without title or address are left out; texts have their bounds; an end before the start is unknown; a kind outside the
+    vocabulary is the general one and pending; without a start a row is in review.
+    """
+    place = F.substring(clean(F.col("place")), 1, 250)
+    fee = F.substring(clean(F.col("fee")), 1, 100)
+    known = F.coalesce(F.col("kind").isin(kinds), F.lit(False))
+    out = rows.select(
+        "id",
+        F.substring(clean(F.col("title")), 1, 220).alias("title"),
+        canon_url(F.col("url")).alias("url"),
+        "start",
+        F.when(F.coalesce(F.col("end") >= F.col("start"), F.lit(True)), F.col("end")).alias("end"),
+        place.alias("place"),
+        district_of(place).alias("district"),
+        F.when(fee == "", "费用未注明").otherwise(fee).alias("fee"),
+        F.when(known, F.col("kind")).otherwise("Event").alias("kind"),
+        F.when(known, "source").otherwise("pending").alias("kind_state"),
+        F.when(F.col("start").isNull(), "needs_review").otherwise(F.coalesce("status", F.lit("scheduled"))).alias("status"),
+    )
+    return out.withColumn("fee_free", F.col("fee").isin(FREE)).where("title <> '' and url <> ''")
+
+
+def same_canonical(rows: DataFrame) -> DataFrame:
+    """(canonical, status, n, bindings) of items that lead to one address: cancelled wins, then a conflict or two starts mean review.
+
+    Rows are (canonical, start, status, conflict, binding); bindings are told apart and sorted.
+    """
+    starts = F.count_distinct(F.coalesce(F.col("start").cast("string"), F.lit("")))
+    status = F.when(F.max(F.col("status") == "cancelled"), "cancelled").when((starts > 1) | F.max(F.col("conflict")) | F.max(F.col("status") == "needs_review"), "needs_review").otherwise("scheduled")
+    return rows.groupBy("canonical").agg(status.alias("status"), F.count("*").alias("n"), F.array_sort(F.collect_set("binding")).alias("bindings"))
+
+
+def rotated(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (id, raw_id, url) with the newest address under which their item was found; others keep theirs."""
+    newest = found.groupBy("raw_id").agg(F.max_by("new_url", F.struct("seen_at", "new_url")).alias("new_url"))
+    return rows.join(newest, "raw_id", "left").select("id", F.coalesce("new_url", "url").alias("url"), F.col("new_url").isNotNull().alias("refreshed"))
+
+
+def adjudicated(anchors: DataFrame, observations: DataFrame, done: DataFrame) -> DataFrame:
+    """(observation_id, event_id, result) of retained observations when their anchor arrives, each pair once.
+
+    Anchors are (source_id, alias, event_id, day), observations (observation_id, source_id, alias, day): equal days apply, others don't, an unknown
+    one is refused; ``done`` holds the pairs that were decided before.
+    """
+    pairs = observations.join(anchors.select("source_id", "alias", "event_id", F.col("day").alias("anchor_day")), ["source_id", "alias"])
+    result = F.when(F.col("day").isNull() | F.col("anchor_day").isNull(), "refused").when(F.col("day") == F.col("anchor_day"), "applicable").otherwise("not_applicable")
+    return pairs.join(done.select("observation_id", "event_id").distinct(), ["observation_id", "event_id"], "left_anti").select("observation_id", "event_id", result.alias("result")).dropDuplicates(["observation_id", "event_id"])
+
+
+def histories(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """(item, admitted, reasons): evidence against every binding of an item that is stored.
+
+    Both are (item, alias, organizer, day), the new evidence also (old_day, new_day) of its notice.  Organizers must be equal, and a
+    day that changed must be moved by a notice from the stored one to the new one.  An item is admitted if all its bindings agree.
+    """
+    s = stored.select("item", "alias", F.col("organizer").alias("was_organizer"), F.col("day").alias("was_day"))
+    rows = new.join(s, ["item", "alias"], "left")
+    moved = F.coalesce((F.col("old_day") == F.col("was_day")) & (F.col("new_day") == F.col("day")), F.lit(False))
+    organizer = F.col("was_organizer").isNotNull() & ~F.col("was_organizer").eqNullSafe(F.col("organizer"))
+    day = F.col("was_day").isNotNull() & ~F.col("was_day").eqNullSafe(F.col("day")) & ~moved
+    reasons = F.array_compact(F.array(F.when(organizer, "organizer"), F.when(day, "day")))
+    return rows.groupBy("item").agg(F.bool_and(F.size(reasons) == 0).alias("admitted"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(reasons)))), ",").alias("reasons"))
