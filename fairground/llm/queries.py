@@ -10,6 +10,7 @@ from fairground.llm.sharding import OP2_SQL, op2_sharding
 from fairground.llm.toxicity import op5_toxicity
 from fairground.llm.url_filter import OP4_SQL, op4_url_filter
 from fairground.llm.warc import OP9_SQL, op9_warc
+from fairground.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +25,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_warc,
         op10_quality_rules,
+        op11_embedding_whitening,
     )
 }
 SQL = {
