@@ -3,6 +3,7 @@
 from fairground.llm.decontamination import OP1_SQL, op1_decontamination
 from fairground.llm.html_extraction import op3_html_extraction
 from fairground.llm.near_dup import OP7_SQL, op7_near_dup
+from fairground.llm.periodic_runs import op12_periodic_runs
 from fairground.llm.quality_classifier import op6_quality_classifier
 from fairground.llm.quality_rules import op10_quality_rules
 from fairground.llm.sentencepiece import op8_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
         op9_warc,
         op10_quality_rules,
         op11_embedding_whitening,
+        op12_periodic_runs,
     )
 }
 SQL = {
