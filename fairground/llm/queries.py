@@ -6,6 +6,7 @@ from fairground.llm.near_dup import OP7_SQL, op7_near_dup
 from fairground.llm.periodic_runs import op12_periodic_runs
 from fairground.llm.quality_classifier import op6_quality_classifier
 from fairground.llm.quality_rules import op10_quality_rules
+from fairground.llm.secret_scan import op13_secret_scan
 from fairground.llm.sentencepiece import op8_sentencepiece
 from fairground.llm.sharding import OP2_SQL, op2_sharding
 from fairground.llm.toxicity import op5_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
         op10_quality_rules,
         op11_embedding_whitening,
         op12_periodic_runs,
+        op13_secret_scan,
     )
 }
 SQL = {
