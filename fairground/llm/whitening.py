@@ -33,7 +33,7 @@ from fairground.llm._shared import cut, table
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
 #: A block of rows has at most so many bytes, and so many columns.
-BLOCK_BYTES, BLOCK_COLUMNS = 8 << 20, 1024
+BLOCK_BYTES, BLOCK_COLUMNS = 2 << 20, 1024
 #: The scatter matrix on the driver then has 512 MB.
 MAX_DIMENSIONS = 8192
 #: Row numbers within a partition are the lower bits of Spark's increasing ids.
@@ -93,9 +93,11 @@ def numbered(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int,
 def projected_rows(product: BlockMatrix, rows_per_block: int, width: int) -> DataFrame:
     """(index, z) from the blocks of a product that has one block a row of blocks."""
     m = callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model).select(F.col("_1._1").cast("long").alias("block"), F.unwrap_udt("_2").alias("m"))
-    each = m.select("block", "m", F.explode(F.expr("sequence(0, m.numRows - 1)")).alias("row"))
+    # A block's rows are made before they are dealt out, so that none of them takes the block along.
     at = f"if(m.isTransposed, row * {width} + c, c * m.numRows + row)"
-    return each.select((F.col("block") * rows_per_block + F.col("row")).alias("index"), F.expr(f"transform(sequence(0, {width - 1}), c -> m.values[{at}])").alias("z"))
+    rows = F.expr(f"transform(sequence(0, m.numRows - 1), row -> transform(sequence(0, {width - 1}), c -> m.values[{at}]))")
+    each = m.select("block", rows.alias("rows")).select("block", F.posexplode("rows").alias("row", "z"))
+    return each.select((F.col("block") * rows_per_block + F.col("row")).alias("index"), "z")
 
 
 def sums_of(rows: DataFrame, values: str, width: int) -> list:
