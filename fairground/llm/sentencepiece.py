@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding by a parallel scan over chunks.
 
-The pieces and their scores come from a public model file.  The scores of a BPE model are ranks of merges: its encoding
-(``Merges``) joins, again and again, the two neighbours that make up the piece of highest score, the leftmost of equals.
-The scores of other models are log-probabilities: the encoding (``Pieces``) is the segmentation of highest total
-score, where a character in no piece costs ``UNKNOWN`` and becomes its byte pieces.  Of equal segmentations the one whose
-last piece is longest wins, then the one before it, and so on.  Scores are whole numbers, so sums are exact.
+The pieces and their scores come from a public model file.  The encoding (``Pieces``) is the segmentation of highest total
+score, as the library's own processor finds it with a unigram model: a character in no piece costs ten nats more than
+the rarest piece and becomes its byte pieces.  Of equal segmentations the one whose last piece is longest wins, then the
+one before it, and so on.  A unigram model has log-probabilities.  A BPE model has ranks alone; nothing is trained here,
+so the log-probabilities of its pieces are those of Zipf's law, ``-log(rank + ZIPF)``, in whole steps of 1/1024.  Scores are
+whole numbers of 1/``SCALE``, so sums are exact.
+
+With ``merges`` a BPE model's pieces are joined in its own order instead (``Merges``): again and again the two neighbours
+that make up the piece of best rank, the leftmost of equals.
 
 Where every piece that holds a character begins with it (the word mark), or no piece holds it, all segmentations part, as
 they do between a letter and a mark of punctuation that no piece joins: between such cuts the encoding is found once for
@@ -29,6 +33,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import math
 import re
 import zlib
 from array import array
@@ -45,7 +50,10 @@ from fairground.llm._shared import batch, column, cut, frugal, table, unused, wi
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
 GROUP = 256
-UNKNOWN = -10_000_000_000
+#: Scores are whole numbers of so many to the nat.
+SCALE = 1 << 20
+#: What a character that is no piece costs beyond the rarest piece, in nats; and the shift of ranks in Zipf's law.
+UNKNOWN, ZIPF = 10, 2.7
 NEVER = -(1 << 60)
 REMEMBERED = 100_000
 #: Stretches of more characters are not remembered.
@@ -66,6 +74,25 @@ def _together(stretches: list[str], memory: dict[str, tuple[bytes, int]], find)
     return b"".join(ids), sum(scores)
 
 
+def proto_of(model: str):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(model, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto
+
+
+def is_bpe(model: str) -> bool:
+    spec = proto_of(model).trainer_spec
+    return spec.model_type == spec.BPE
+
+
+def zipf(score: float) -> int:
+    """The score of a piece whose score in a BPE model is its rank, below 0."""
+    return -round(math.log(ZIPF - score) * 1024) * (SCALE // 1024)
+
+
 class Pieces:
     """The vocabulary with its scores.  A space stands for the word mark throughout."""
 
@@ -78,6 +105,7 @@ class Pieces:
         for i in special or {}:
             self.texts[i] = b""
         self.longest = max(map(len, self.ids), default=1)
+        self.unknown = min((x for _, x in self.ids.values()), default=0) - UNKNOWN * SCALE
         known = {c for p in self.ids for c in p}
         held = {c for p in self.ids for c in p[1:].lstrip(" ")} if any(p.startswith(" ") for p in self.ids) else {c for p in self.ids for c in p[1:]}
         self.marks_cut = " " not in held
@@ -95,14 +123,16 @@ class Pieces:
         self._memory: dict[str, tuple[bytes, int]] = {}
 
     @classmethod
-    def load(cls, model: str = MODEL) -> Pieces:
+    def load(cls, model: str = MODEL, ranks: bool = False) -> Pieces:
+        """The pieces of a model file; with ``ranks`` their scores are the model's own ranks."""
         import sentencepiece
 
         s = sentencepiece.SentencePieceProcessor(model_file=model)
+        score = (lambda x: round(x)) if ranks else zipf if is_bpe(model) else (lambda x: round(x * SCALE))
         vocabulary, byte_ids, special = [], [0] * 256, {}
         for i in range(len(s)):
             odd = s.is_byte(i) or s.is_control(i) or s.is_unknown(i) or s.is_unused(i)
-            vocabulary.append((s.id_to_piece(i), None if odd else round(s.get_score(i))))
+            vocabulary.append((s.id_to_piece(i), None if odd else score(s.get_score(i))))
             if s.is_byte(i):
                 byte_ids[int(s.id_to_piece(i)[3:5], 16)] = i
             elif odd:
@@ -127,7 +157,7 @@ class Pieces:
             if hit is not None:
                 out.append((end - at, hit[1], hit[0]))
         if not out or out[0][0] != 1:
-            out.append((1, UNKNOWN, None))
+            out.append((1, self.unknown, None))
         return out
 
     def forward(self, text: str, entry: list[int], end: int):
@@ -178,7 +208,7 @@ class Pieces:
         got = self._memory.get(text)
         if got is None:
             if len(text) == 1 and text not in self.ids:
-                ids, score = [self.byte_ids[b] for b in text.encode()], UNKNOWN
+                ids, score = [self.byte_ids[b] for b in text.encode()], self.unknown
             elif plain := self._best(text):
                 ids, score = plain
             else:
@@ -363,7 +393,7 @@ class Merges:
                 score += hit[1]
             else:  # only a character can be no piece
                 ids += [self.pieces.byte_ids[b] for b in p.encode()]
-                score += UNKNOWN
+                score += self.pieces.unknown
         return array("i", ids).tobytes(), score
 
     def plain(self, text: str) -> tuple[bytes, int]:
@@ -471,17 +501,14 @@ def pieces_of(model: str) -> Pieces:
 _merges: dict[str, Merges] = {}
 
 
-def encoder_of(model: str) -> Pieces | Merges:
-    """What encodes as the model does, loaded once in each worker."""
-    from sentencepiece import sentencepiece_model_pb2
-
+def encoder_of(model: str, merges: bool = False) -> Pieces | Merges:
+    """What encodes the texts, loaded once in each worker."""
+    if not merges:
+        return pieces_of(model)
     if model not in _merges:
-        proto = sentencepiece_model_pb2.ModelProto()
-        with open(model, "rb") as f:
-            proto.ParseFromString(f.read())
-        if proto.trainer_spec.model_type != sentencepiece_model_pb2.TrainerSpec.BPE:
-            return pieces_of(model)
-        _merges[model] = Merges(pieces_of(model))
+        if not is_bpe(model):
+            raise ValueError(f"{model} is not a BPE model: its pieces have no order of merges")
+        _merges[model] = Merges(Pieces.load(model, ranks=True))
     return _merges[model]
 
 
@@ -490,9 +517,9 @@ def marked(text: str) -> str:
     return " " + text if text else ""
 
 
-def _short_batches(batches, model: str, keep: list[str], text: str, names: list[str]):
+def _short_batches(batches, model: str, keep: list[str], text: str, names: list[str], merges: bool = False):
     """The kept columns of batches of shorter texts, with ids and score."""
-    pieces = encoder_of(model)
+    pieces = encoder_of(model, merges)
     for rows in batches:
         so_far = np.cumsum(pc.fill_null(pc.utf8_length(column(rows, text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TOGETHER
         edges = [0, *(np.flatnonzero(np.diff(so_far)) + 1).tolist(), rows.num_rows]
@@ -600,7 +627,7 @@ def _merge_long(chunks: DataFrame, model: str) -> DataFrame:
     """(row, ids, score) from (row, k, before, part): the chunks of giant texts with the character before each."""
 
     def solve(frames):
-        merges = encoder_of(model)
+        merges = encoder_of(model, True)
         for f in (f[at : at + 64] for f in frames for at in range(0, len(f), 64)):
             parts = [merges.parts(b, t) for b, t in zip(f["before"], f["part"], strict=True)]
             found = merges.many([p[1] if p[0] is not None else "" for p in parts])
@@ -608,7 +635,7 @@ def _merge_long(chunks: DataFrame, model: str) -> DataFrame:
             yield pd.DataFrame({"row": f["row"], "k": f["k"], "cut": [p[0] is not None for p in parts], "head": head, "tail": [p[2] for p in parts], "ids": [np.frombuffer(x[0], np.int32) for x in found], "score": [x[1] for x in found]})
 
     def stretches(frames):
-        merges = encoder_of(model)
+        merges = encoder_of(model, True)
         for f in frames:
             found = merges.many(f["stretch"].tolist())
             yield pd.DataFrame({"row": f["row"], "k": f["k"], "half": 1, "ids": [np.frombuffer(x[0], np.int32) for x in found], "score": [x[1] for x in found]})
@@ -642,17 +669,16 @@ def _chunks(giants: DataFrame, row: str, text: str, chunk: int, more: int) -> Da
     return giants.select(row, text).mapInArrow(frugal(split), "row long, k int, before string, part string, size int")
 
 
-def _encode(docs: DataFrame, model: str, text: str, chunk: int, names: list[str], then, kind) -> DataFrame:
+def _encode(docs: DataFrame, model: str, text: str, chunk: int, names: list[str], then, kind, merges: bool = False) -> DataFrame:
     """What ``then``, from batches to batches of the type ``kind``, makes of the encoded rows in the worker that encodes them."""
     keep = docs.columns
     width = pieces_of(model).longest
     longer = F.length(text) >= chunk
-    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(frugal(lambda batches: then(_short_batches(batches, model, keep, text, names))), kind)
+    short = docs.where(F.coalesce(~longer, F.lit(True))).mapInArrow(frugal(lambda batches: then(_short_batches(batches, model, keep, text, names, merges))), kind)
     row, found = unused(docs, "row", "found")
     giants = cut(docs.where(longer).withColumn(row, F.monotonically_increasing_id()))
     if giants.isEmpty():
         return short
-    merges = isinstance(encoder_of(model), Merges)
     parts = cut(_chunks(giants, row, text, chunk, 0 if merges else width - 1).repartition("row", "k"))
     traced = _merge_long(parts.select("row", "k", "before", "part"), model) if merges else _scan_long(parts.select("row", "k", "part", "size"), model)
     traced = traced.select(F.col("row").alias(row), F.struct("ids", "score").alias(found))
@@ -664,10 +690,10 @@ def _without(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
     return docs.select(*(c for c in docs.columns if c == text or c.lower() not in {n.lower() for n in names}))
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK, ids: str = "ids", score: str = "score") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", chunk: int = CHUNK, ids: str = "ids", score: str = "score", merges: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``score`` (long)."""
     docs = _without(docs, text, [ids, score])
-    return _encode(docs, model, text, chunk, [ids, score], lambda batches: batches, wider(docs, **{ids: "array<int>", score: "long"}))
+    return _encode(docs, model, text, chunk, [ids, score], lambda batches: batches, wider(docs, **{ids: "array<int>", score: "long"}), merges)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "decoded") -> DataFrame:
