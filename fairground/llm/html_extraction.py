@@ -8,7 +8,9 @@ the host is extracted again from its outermost containers of that path.  A page
 of what its own choice holds, or which has none, uses its own choice.
 
 Left out wherever they stand: navigation, page headers and footers, sidebars, notices, adverts, forms, scripts,
-styles, comments of the markup and of readers.  References are decoded; white space inside a block becomes one
+styles, comments of the markup and of readers.  A header in an article is of the article.  What is left out by its class, id or
+role alone (``mark_of``) is judged when the page has been read: a sidebar that has the page's heading or an article, and half of
+the page's unlinked text besides, is none, and a word that only ends a name (``public-notice``) needs no heading for that.  References are decoded; white space inside a block becomes one
 space; blocks are trimmed and joined in page order by one space.
 
 Loose pages: a tag that no page's start may be inside (``body`` in ``head``, ``main`` in ``nav``) ends it; what is left out and
@@ -36,8 +38,13 @@ CONTAINERS = {"article", "body", "center", "dd", "div", "main", "section", "td"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 LEFT_OUT = {"aside", "button", "dialog", "footer", "form", "head", "header", "iframe", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
-#: Elements with one of these among the parts of their class, id or role are left out.
+#: Elements are left out if their class, id or role begins or ends with one of these.
 LEFT_OUT_NAMES = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
+#: Of those, what readers write is never the article.
+READERS = {"comment", "comments", "disqus"}
+#: Names that begin so say what else is on the page, or that it isn't; and those of an article's own header.
+BESIDE, OWN = {"has", "no", "not", "with", "without"}, {"article", "content", "entry", "main", "post", "story"}
+OWN_HEADS = {"header", "masthead"}
 #: What may stand in a head; any other start ends it.
 HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title"}
 #: Elements of plain characters up to their end.
@@ -60,16 +67,29 @@ _PARTS = re.compile(r"[a-z]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """(path step, whether the element is left out)"""
-    step, out = tag, tag in LEFT_OUT
+def mark_of(names: str, in_article: bool) -> int:
+    """What names say of an element: 1 for readers' words, 2 if a name begins with what is left out, 3 if one ends with it; else 0."""
+    found = []
+    for name in names.split():
+        parts = _PARTS.findall(name)
+        if not parts or parts[0] in BESIDE or parts[-1] in OWN_HEADS and (in_article or parts[0] in OWN):
+            continue
+        if parts[0] in READERS or parts[-1] in READERS:
+            return 1
+        found += [2] * (parts[0] in LEFT_OUT_NAMES) + [3] * (parts[-1] in LEFT_OUT_NAMES)
+    return min(found, default=0)
+
+
+def _step(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """(path step, mark)"""
+    step, marks = tag, []
     if attributes and "=" in attributes:
         for kind, *value in _NAME.findall(attributes):
             names = "".join(value).lower()
             if kind.lower() == "class":
                 step += "." + ".".join(sorted({re.sub(r"\d+", "#", n) for n in names.split()}))
-            out = out or (tag not in ("html", "body", "article", "main") and not LEFT_OUT_NAMES.isdisjoint(_PARTS.findall(names)))
-    return step, out
+            marks.append(mark_of(names, in_article))
+    return step, 0 if tag in ("html", "body", "article", "main") else min(filter(None, marks), default=0)
 
 
 def tokens(page: str):
@@ -113,13 +133,17 @@ class Page:
 
     def __init__(self, page: str):
         self.parents, self.paths, self.tags = [-1], [""], [""]
-        #: (container, linked, text, or None for a block's end)
+        #: (container, linked, text, or None for a block's end), and the marked element that each is in
         self.pieces: list[tuple[int, bool, str | None]] = []
-        self.heading: int | None = None
+        self._marks: list[int] = []
+        #: Of marked elements: (the one around it, mark); those with an article in them; (container, marked element) of headings.
+        self._marked: list[tuple[int, int]] = [(-1, 0)]
+        self._articles: set[int] = set()
+        self._headings: list[tuple[int, int]] = []
         found = list(tokens(page))
         never = self._never_closed(found)
-        #: (tag, left out, container, number of blocks at and under it, whether it ends at the next section)
-        stack: list[tuple[str, bool, int, int, bool]] = []
+        #: (tag, left out, container, number of blocks at and under it, whether it ends at the next section, marked element)
+        stack: list[tuple[str, bool, int, int, bool, int]] = []
         places: dict[str, list[int]] = defaultdict(list)
         loose: list[int] = []
         out_depth = 0
@@ -127,21 +151,23 @@ class Page:
         def close(to: int):
             nonlocal out_depth
             while len(stack) > to:
-                tag, out, _, _, ends = stack.pop()
+                tag, out, _, _, ends, _ = stack.pop()
                 places[tag].pop()
                 out_depth -= out
                 if ends:
                     loose.pop()
 
         for number, (text, tag, is_end, attributes) in enumerate(found):
-            holder = stack[-1][2] if stack else 0
+            holder, mark = (stack[-1][2], stack[-1][5]) if stack else (0, 0)
             if text and not out_depth:
                 self.pieces.append((holder, bool(places["a"]), text))
+                self._marks.append(mark)
             if not tag:
                 continue
             block, blocks_now = tag not in INLINE, stack[-1][3] if stack else 0
             if block and not out_depth:
                 self.pieces.append((holder, False, None))
+                self._marks.append(0)
             if is_end:
                 # An inline end doesn't reach out of the block that it stands in.
                 if places[tag] and (block or blocks_now == stack[places[tag][-1]][3]):
@@ -161,21 +187,53 @@ class Page:
                     if places[kind] and stack[places[kind][-1]][3] == blocks_now:
                         close(places[kind][-1])
                         break
-            holder, blocks_now = (stack[-1][2], stack[-1][3]) if stack else (0, 0)
-            step, out = _step(tag, attributes)
+            holder, blocks_now, mark = (stack[-1][2], stack[-1][3], stack[-1][5]) if stack else (0, 0, 0)
+            in_article = bool(places["article"] or places["main"])
+            step, named = _step(tag, attributes, in_article)
+            out = tag in LEFT_OUT and not (tag == "header" and in_article)
+            if named and not out and not out_depth:
+                self._marked.append((mark, named))
+                mark = len(self._marked) - 1
+            if tag in ("article", "main") and not out_depth:
+                self._articles.add(mark)
             if tag in CONTAINERS and not out and not out_depth and self.paths[holder].count("/") < DEPTH:
                 self.parents.append(holder)
                 self.paths.append(f"{self.paths[holder]}/{step}")
                 self.tags.append(tag)
                 holder = len(self.paths) - 1
-            if tag == "h1" and self.heading is None and not out_depth and not out:
-                self.heading = holder
-            ends = out and number in never
+            if tag == "h1" and not out_depth and not out:
+                self._headings.append((holder, mark))
+            ends = (out or named) and number in never
             places[tag].append(len(stack))
             if ends:
                 loose.append(len(stack))
-            stack.append((tag, out, holder, blocks_now + block, ends))
+            stack.append((tag, out, holder, blocks_now + block, ends, mark))
             out_depth += out
+        self._settle()
+
+    def _settle(self):
+        """Takes the pieces of marked elements away that are left out."""
+        n = len(self._marked)
+        gone, sizes, holds = [False] * n, [0] * n, [k in self._articles for k in range(n)]
+        for _, k in self._headings:
+            holds[k] = True
+        for k, (above, mark) in enumerate(self._marked):
+            gone[k] = mark == 1 or k > 0 and gone[above]
+        for every in (False, True):  # all characters, if all are linked
+            for (_, linked, text), k in zip(self.pieces, self._marks, strict=True):
+                if text and not gone[k] and (every or not linked):
+                    sizes[k] += len(text.strip())
+            if any(sizes):
+                break
+        for k in range(n - 1, 0, -1):
+            above = self._marked[k][0]
+            sizes[above] += sizes[k]
+            holds[above] |= holds[k]
+        for k in range(1, n):
+            above, mark = self._marked[k]
+            gone[k] |= gone[above] or sizes[k] < HALF * sizes[0] or mark == 2 and not holds[k]
+        self.pieces = [p for p, k in zip(self.pieces, self._marks, strict=True) if not gone[k]]
+        self.heading = next((holder for holder, k in self._headings if not gone[k]), None)
 
     @staticmethod
     def _never_closed(found) -> set[int]:
