@@ -222,7 +222,7 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, plan: Plan = PLAN) -> DataF
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, set): the sorted shingle hashes of each of the distinct nodes."""
+    """(node, set): the sorted shingle hashes of each of the distinct nodes, once, however many rows have them."""
     ids = cut(signed.where("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
@@ -232,7 +232,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame
             found = [(_digest(s)[0], s.tobytes()) for _, s in shingle_sets(column(rows, "text"))]
             yield batch(schema, [f[0] for f in found], [f[1] for f in found])
 
-    return texts.mapInArrow(frugal(sets), "node long, set binary")
+    return texts.mapInArrow(frugal(sets), "node long, set binary").dropDuplicates(["node"])
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
