@@ -11,6 +11,8 @@ leaf ranges that differ, records are compared by their offsets or by ids of thei
 another offset has only moved (a record before it was lost or cut short).
 
 Null payloads are records of no bytes.  A null file name is a file of its own; a null offset is taken as 0.
+Equal rows of a range are counted, and its records hashed in parts by their hashes, so that no task gathers the copies of one
+row, or the many records that share an offset.
 Repeated rows (same file and offset) are hashed together in order of their hash, and met in order of offset and hash where
 their ids are the same or null.  Empty replicas match.  Other columns of the replicas are left aside.
 """
@@ -24,6 +26,10 @@ from fairground.llm._shared import cut, table
 
 LEAF_BYTES = 1 << 16
 FANOUT = 16
+#: Records of a leaf range are hashed in parts by so many hex digits of their hashes.
+PART_DIGITS = 3
+#: Equal records get their offsets in runs of so many.
+RUN = 65_536
 #: Of the archive that the query makes: pages of a file.
 FILE_PAGES = 256
 
@@ -41,8 +47,13 @@ def warc_record(uri: Column, payload: Column, identity: Column) -> Column:
 
 
 def records_of(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """(file, page_id, record): the pages as the records of WARC files of ``file_pages`` consecutive ids."""
-    file = F.format_string("part-%08d.warc", F.floor(F.coalesce("page_id", F.lit(0)) / file_pages))
+    """(file, page_id, record): the pages as the records of WARC files of ``file_pages`` consecutive ids.
+
+    Pages of null id go to files by a hash of address and html.
+    """
+    content = F.md5(F.encode(F.concat(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), "UTF-8"))
+    numbered = F.format_string("part-%08d.warc", F.floor(F.col("page_id") / file_pages))
+    file = F.when(F.col("page_id").isNull(), F.format_string("null-%s.warc", F.substring(content, 1, 5))).otherwise(numbered)
     return pages.select(file.alias("file"), "page_id", warc_record(F.col("url"), F.col("html"), F.col("page_id").cast("string")).alias("record"))
 
 
@@ -53,21 +64,28 @@ def hash_records(records: DataFrame) -> DataFrame:
 
 
 def lay_out(hashed: DataFrame) -> DataFrame:
-    """Adds ``offset``: the records of a file one after another in order of page_id.  A file has ``FILE_PAGES`` ids."""
-    before = Window.partitionBy("file").orderBy("page_id", "sha").rowsBetween(Window.unboundedPreceding, -1)
-    return hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    """Adds ``offset``: the records of a file one after another in order of page_id; equal ones are counted first."""
+    counted = hashed.groupBy("file", "page_id", "length", "sha").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("page_id", "sha", "length").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("from", F.coalesce(F.sum(F.col("length") * F.col("n")).over(before), F.lit(0)))
+    runs = placed.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+    rows = runs.withColumn("at", F.explode(F.expr(f"sequence(run * {RUN}, least(n, (run + 1) * {RUN}) - 1)")))
+    return rows.select("file", "page_id", "length", "sha", (F.col("from") + F.col("at") * F.col("length")).alias("offset"))
 
 
 def merkle_levels(hashed: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
     """From the leaf ranges up to one root a file: (file, node, sha, parent)."""
-    order = F.array_sort(F.collect_list(F.struct("offset", "length", "sha")))
-    joined = F.array_join(F.transform(order, lambda r: F.concat_ws(":", r["offset"], r["length"], r["sha"])), "\n")
-    level = hashed.groupBy("file", F.floor(F.col("offset") / leaf_bytes).alias("node")).agg(F.sha2(joined, 256).alias("sha"))
+
+    def digest(rows: DataFrame, keys: list, values: list[str]) -> DataFrame:
+        order = F.array_sort(F.collect_list(F.struct(*values)))
+        return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(order, lambda r: F.concat_ws(":", *(r[v] for v in values))), "\n"), 256).alias("sha"))
+
+    counted = hashed.groupBy("file", F.floor(F.col("offset") / leaf_bytes).alias("node"), "offset", "length", "sha").agg(F.count("*").alias("n"))
+    parts = digest(counted, ["file", "node", F.substring("sha", 1, PART_DIGITS).alias("part")], ["offset", "length", "sha", "n"])
+    level = digest(parts, ["file", "node"], ["part", "sha"])
     levels = [cut(level.withColumn("parent", F.floor(F.col("node") / fanout)))]
     while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
-        children = F.array_sort(F.collect_list(F.struct("node", "sha")))
-        text = F.array_join(F.transform(children, lambda r: F.concat_ws(":", r["node"], r["sha"])), "\n")
-        level = levels[-1].groupBy("file", F.col("parent").alias("node")).agg(F.sha2(text, 256).alias("sha"))
+        level = digest(levels[-1], ["file", "parent"], ["node", "sha"]).withColumnRenamed("parent", "node")
         levels.append(cut(level.withColumn("parent", F.floor(F.col("node") / fanout))))
     return levels
 
@@ -125,7 +143,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-r as (select page_id, 'part-' || lpad(cast(coalesce(page_id, 0) // 256 as varchar), 8, '0') || '.warc' as file,
+r as (select page_id, case when page_id is null then 'null-' || substr(md5(url || html), 1, 5) else 'part-' || lpad(cast(page_id // 256 as varchar), 8, '0') end || '.warc' as file,
              strlen('WARC/1.1##WARC-Type: response##WARC-Date: 1970-01-01T00:00:00Z##WARC-Record-ID: <urn:uuid:01234567-0123-0123-0123-0123456789ab>##WARC-Target-URI: ' || url
                     || '##Content-Type: text/html##Content-Length: ' || cast(strlen(html) as varchar) || '####') + strlen(html) + 4 as length from p),
 o as (select page_id, file, cast(coalesce(sum(length) over before, 0) as bigint) as "offset", length, coalesce(max(cast(page_id % 2111 = 50 as integer)) over before, 0) as shifted
