@@ -72,7 +72,7 @@ def _key_hashes(keys) -> np.ndarray:
 
 def _positions(hashes: np.ndarray, level: int, bits: int) -> np.ndarray:
     step = (hashes >> np.uint64(32)) | np.uint64(1)
-    salt = hashes * np.uint64(2 * level + 3) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)
+    salt = hashes * np.uint64(2 * level + 3) + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))
     salt ^= salt >> np.uint64(29)
     return ((salt[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(16)) % np.uint64(bits)
 

@@ -115,6 +115,21 @@ LOOSE = [
     ("<body><nav><ul><li>menu item<article><p>real text</p></article>", "real text"),
     ("<article><h1>Title</h1><div class=lead>the lead</div><div class=body>body text that is most of it</div></article>", "Title the lead body text that is most of it"),
     ("<body><div class=all><h1>Title</h1><div class=lead>lead</div><div class=x>" + "w " * 200 + "</div></div><div class=zz>rest</div>", "Title lead " + ("w " * 200).strip()),
+    # What a page's names say of what else is on it, or end with, is no sidebar; and its twins.
+    ("<body><div class='layout has-sidebar'><h1>T</h1><p>one two three</p></div>", "T one two three"),
+    ("<body><div class='elementor-widget-wrap'><p>one two three</p></div>", "one two three"),
+    ("<body><div id='public-notice'><p>one two three</p></div><p>x", "one two three"),
+    ("<body><div class='market-share-report'><p>one two three</p></div>", "one two three"),
+    ("<body><article><div class='article-header'><h1>T</h1></div><p>one</p></article>", "T one"),
+    ("<body><article><header class=header><h1>T</h1></header><p>one</p><footer>f</footer></article>", "T one"),
+    ("<body><div class='sidebar'><article><h1>T</h1><p>one two three</p></article></div><p>x", "T one two three"),
+    ("<body><div class='sidebar-left'><p>a b c d e f g h</p></div><div><h1>T</h1><p>one</p></div>", "T one"),
+    ("<body><div class='layout'><div class='left-sidebar'>s</div><p>one two three</p></div>", "one two three"),
+    ("<body><div class='widget'>w</div><p>one two three</p>", "one two three"),
+    ("<body><div id='public-notice'>we</div><p>one two three</p>", "one two three"),
+    ("<body><div class='share-buttons'>s</div><div class='social share'>t</div><p>one two three</p>", "one two three"),
+    ("<body><header class='site-header'><h1>Site</h1></header><div class='page-header'>p</div><article><h1>T</h1><p>one two</p></article>", "T one two"),
+    ("<body><article><p>one two</p></article><div class='post-comments'><article><p>what a reader says at length</p></article></div>", "one two"),
     ("<article>x<form>name</form><p class='comment-list'>by a reader<p>y</article>", "x y"),
     ("a < b and c > d", "a < b and c > d"),
     ("<p>x <a href='q", "x <a href='q"),
@@ -315,17 +330,44 @@ def test_near_dup_with_several_blocks_to_a_key(spark, monkeypatch):
     assert rows() == whole
 
 
-def test_sentencepiece_ids_are_the_models_own(spark):
+def unigram():
+    """The library's own processor of a unigram model with the pieces and scores that are used here."""
     import sentencepiece as library
 
-    own = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
-    odd = [(-1, "y" * 3000 + " z"), (-2, " " * 700 + "a" + " " * 100), (-3, "日本語 and\n\tüber \0 x..."), (-4, "ab" * 900), (-5, ""), (-6, None), (-6, "of the government, of (the) governments")]
+    proto = sentencepiece.proto_of(sentencepiece.MODEL)
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    for piece in proto.pieces:
+        if piece.type == piece.NORMAL:
+            piece.score = sentencepiece.zipf(piece.score) / sentencepiece.SCALE
+    return library.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+#: The processor adds scores up in 32 bits, which hold the sums of fewer pieces than this exactly.
+EXACT = 1500
+
+
+def test_sentencepiece_ids_are_the_processors(spark):
+    import sentencepiece as library
+
+    own, merged = unigram(), library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    odd = [(-1, "y" * 1300 + " z"), (-2, " " * 700 + "a" + " " * 100), (-3, "日本語 and\n\tüber \0 x..."), (-4, "ab" * 900), (-5, ""), (-6, None), (-6, "of the government, of (the) governments")]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).union(spark.createDataFrame(odd, "doc_id long, text string"))
-    for chunk in (sentencepiece.CHUNK, 100):
-        rows = sentencepiece.decode(sentencepiece.encode(docs, chunk=chunk)).collect()
-        assert len(rows) == docs.count()
-        for r in rows:
-            assert r.ids == (None if r.text is None else own.encode(r.text)) and r.decoded == r.text
+    pieces, n = sentencepiece.pieces_of(sentencepiece.MODEL), docs.count()
+    for merges, processor in ((False, own), (True, merged)):
+        for chunk in (sentencepiece.CHUNK, 100):
+            rows, exact = sentencepiece.decode(sentencepiece.encode(docs, chunk=chunk, merges=merges)).collect(), 0
+            assert len(rows) == n
+            for r in rows:
+                want = None if r.text is None else processor.encode(r.text)
+                if not merges and r.text is not None:
+                    text = sentencepiece.marked(r.text)
+                    best, back = pieces.forward(text, [0], len(text))
+                    plain = pieces.trace(text, back, len(text))[0]
+                    assert r.score == best[-1] and (len(plain) >= EXACT or plain == want)
+                    exact += len(plain) < EXACT
+                    want = plain
+                assert r.ids == want and r.decoded == r.text
+            assert merges or exact > n // 2
 
 
 def shingles(text):
@@ -393,9 +435,8 @@ def smallest_of_groups(rows, threshold):
 
 def test_pipeline_stages_and_run_against_brute_force(spark, corpus):
     import corpus_pipeline as p
-    import sentencepiece as library
 
-    docs, own = spark.read.parquet(f"{corpus}/documents.parquet"), library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    docs, own = spark.read.parquet(f"{corpus}/documents.parquet"), unigram()
     ids = lambda rows: sorted(r.doc_id for r in rows)
     known, bench = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("labels", "benchmark"))
     kept, band = smallest_of_groups(docs.collect(), 80)
@@ -421,6 +462,7 @@ def test_pipeline_stages_and_run_against_brute_force(spark, corpus):
     passed = [r for r in passed if not holds(split(r.text))]
     assert ids(p.decontamination_stage(spark, frame, corpus).collect()) == ids(passed)
     want = {r.doc_id: own.encode(r.text) for r in passed}
+    assert max(map(len, want.values())) < EXACT
     for rows in (p.sentencepiece_stage(spark, spark.createDataFrame(passed, docs.schema), corpus).collect(), p.run(spark, corpus).collect()):
         assert {r.doc_id: r.ids for r in rows} == want and len(rows) == len(want) and all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
 
@@ -605,3 +647,51 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
     assert got == [1, 2, 3, 4, 6, 7]
     coded = {r.doc_id: r for r in p.sentencepiece_stage(spark, odd, SF).collect()}
     assert coded[1].ids is None and coded[2].ids == [] and coded[2].n_pieces == 0 and all(r.round_trip for r in coded.values() if r.ids is not None)
+
+
+def test_warc_of_null_ids_and_offsets(spark, tmp_path, monkeypatch):
+    # Pages of null id are dealt out over files; equal ones are counted, and each has its own place.
+    rows = [(None, f"http://h/{k}", "x" * k) for k in range(40)] + [(None, "http://h/same", "same")] * 30 + [(7, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    laid = warc.lay_out(warc.hash_records(warc.records_of(pages))).collect()
+    assert len(laid) == len(rows) and len({r.file for r in laid}) > 20
+    monkeypatch.setattr(warc, "RUN", 8)
+    assert sorted(map(tuple, warc.lay_out(warc.hash_records(warc.records_of(pages))).collect()), key=str) == sorted(map(tuple, laid), key=str)
+    of = collections.defaultdict(list)
+    for r in laid:
+        of[r.file].append((r.offset, r.length))
+    for places in of.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+    # Many records at one offset: one that differs is found, and copies are told by their number.
+    many = [("f", None, 1, hashlib.sha256(b"%d" % k).hexdigest()) for k in range(500)] + [("f", None, 2, "c")] * 5
+    kind = "file string, offset long, length long, sha string"
+    first, second = spark.createDataFrame(many, kind), spark.createDataFrame(many[1:-1] + [("f", None, 1, "new")], kind)
+    assert warc.audit(first, spark.createDataFrame(many[::-1], kind)).count() == 0
+    fewer = spark.createDataFrame(many[:-1], kind)
+    assert [r.status for r in warc.audit(first, fewer).collect()] == ["missing"] and warc.audit(first, second).count() > 0
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op9_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dup_has_one_set_for_each_node(spark):
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words), " ".join([*words[:100], "x", *words[101:]])
+    docs = spark.createDataFrame([(1, a)] * 300 + [(2, b)] * 300 + [(1, b)] * 5, "doc_id long, text string")
+    signed = near_dup.sign(docs)
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == 605 and {r.component_id for r in got} == {1}
+    assert near_dup.full_sets(signed.select("node").distinct(), docs, signed).count() == 2
+
+
+def test_pipeline_near_dup_keeps_columns_of_its_own_names(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, "mine", {"a": "b"}, 5), (1, text, "mine", {"a": "c"}, 6), (2, "another text", None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, row map<string,string>, content long")
+    kept = p.near_dup_stage(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert {(r["__row"], r.content) for r in kept.collect()} <= {(r[2], r[4]) for r in rows}
