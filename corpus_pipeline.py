@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairground.llm import decontamination, near_dup, quality_classifier, quality_rules, sentencepiece
-from fairground.llm._shared import cut, table
+from fairground.llm._shared import cut, table, unused
 
 
 #: Hundredths of similarity from which documents are near copies; op7_near_dup has its own.
@@ -29,12 +29,14 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates; a null id comes after all others."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_dup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), SIMILAR).select(F.col("doc_id").alias("__row"), "component_id")
+    row, content, order, component = unused(docs, "row", "content", "order", "component")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), SIMILAR).select(F.col("doc_id").alias(row), F.col("component_id").alias(component))
     # Of rows that share an id their contents decide, and the row number only between equal rows.
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row")
-    kept = rows.select("__row", "doc_id", F.xxhash64(*docs.columns).alias("__hash")).join(groups, "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row")).select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    hashed = F.xxhash64(*(F.col(f"`{c}`").cast("string") if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))
+    ranked = rows.select(row, F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), hashed.alias(content), F.col(row).alias("row")).alias(order))
+    kept = ranked.join(groups, row).groupBy(component).agg(F.min(order)["row"].alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
