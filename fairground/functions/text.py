@@ -31,6 +31,16 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def heading(c: Column) -> Column:
+    """A heading as it is compared: NFC, white space collapsed; null is empty."""
+    return clean(nfc(F.coalesce(c, F.lit(""))))
+
+
 def norm(c: Column) -> Column:
     """NFKC, case folded, word characters only; Spark has no Unicode normaliser of its own."""
     return F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), r"(?U)[^\w]", "")

@@ -58,3 +58,39 @@ def stream_upsert(spark: SparkSession, source: str, target: str, state: str, val
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(target)
 
     return _read(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def guard_stream(spark: SparkSession, source: str, target: str, state: str, days: int = 45):
+    """Guards as state of a stream of notices: each batch writes the guards that it opens, changes or ends.
+
+    A batch's files hold its number as ``version``; of a guard the newest version counts (``newest_guards``).
+    """
+    from fairground.operators.guards import guard_changes
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.withColumn("version", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(target)
+
+    return guard_changes(_read(spark, source), days).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def newest_guards(spark: SparkSession, target: str) -> DataFrame:
+    rows = spark.read.parquet(target)
+    values = [c for c in rows.columns if c not in ("guard_id", "version")]
+    return rows.groupBy("guard_id").agg(F.max_by(F.struct(*values), "version").alias("g")).select("guard_id", "g.*")
+
+
+def late_targets(spark: SparkSession, observations: str, anchors: str, target: str, state: str, watermark: str = "2 days", window: str = "30 days"):
+    """(observation_id, source_id, alias, event_id, result) of notices and the anchors that come before or after them.
+
+    A notice (observation_id, source_id, alias, day, ts) meets the anchors (source_id, alias, event_id, day, ts) of its source and
+    alias from ``window`` before it to ``window`` after it: the same day is applicable, another isn't, an unknown one is
+    refused.  What finds none is released once, as pending, when both watermarks have passed its window; its state then goes.
+    """
+    seen = _read(spark, observations).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["observation_id"])
+    found = _read(spark, anchors).withColumn("anchored", F.col("ts").cast("timestamp")).withWatermark("anchored", watermark)
+    found = found.select("event_id", F.col("source_id").alias("a_source"), F.col("alias").alias("a_alias"), F.col("day").alias("a_day"), "anchored")
+    near = F.expr(f"source_id = a_source and alias = a_alias and anchored >= at - interval {window} and anchored <= at + interval {window}")
+    pairs = seen.join(found, near, "left_outer")
+    result = F.when(F.col("a_source").isNull(), "pending").when(F.col("day").isNull() | F.col("a_day").isNull(), "refused").when(F.col("day") == F.col("a_day"), "applicable").otherwise("not_applicable")
+    rows = pairs.select("observation_id", "source_id", "alias", "event_id", result.alias("result"))
+    return rows.writeStream.format("parquet").option("path", target).outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start()
