@@ -61,11 +61,22 @@ def fill_missing(base: DataFrame, other: DataFrame, key: str, values: list[str])
 
 
 def merge_preferences(states: DataFrame, winner: str) -> DataFrame:
-    """States of merged activities: any favorite or hidden, the newest feedback, the latest view, one revision more."""
-    return states.groupBy(winner).agg(
+    """States of merged activities: any favorite or hidden, the newest feedback with its tags, the latest view, one revision more.
+
+    Feedback with a time comes before feedback without one, and a timed clearing is feedback too; of untimed states the first that
+    says anything counts, the winner's own first.  Missing columns (``tags``) are null.
+    """
+    known = states if "tags" in states.columns else states.withColumn("tags", F.lit(None).cast("array<string>"))
+    says = F.col("feedback").isNotNull() | (F.coalesce(F.size("tags"), F.lit(0)) > 0)
+    own = F.coalesce(F.col("event_id") == F.col(winner), F.lit(False))
+    at = F.col("feedback_updated_at")
+    order = F.struct(at.isNotNull(), at, says, own, F.col("event_id"))
+    newest = F.max_by(F.struct("feedback", "tags"), order)
+    return known.groupBy(winner).agg(
         F.bool_or("favorite").alias("favorite"),
         F.bool_or("hidden").alias("hidden"),
-        F.when(F.max("feedback_updated_at").isNotNull(), F.max_by("feedback", F.when(F.col("feedback_updated_at").isNotNull(), F.struct("feedback_updated_at", "event_id")))).alias("feedback"),
+        newest["feedback"].alias("feedback"),
+        newest["tags"].alias("tags"),
         F.max("viewed_at").alias("viewed_at"),
         (F.max("revision") + 1).alias("revision"),
     )
@@ -107,11 +118,21 @@ def resolve_redirects(edges: DataFrame) -> DataFrame:
     return reached.select("alias_id", "at").join(cycle, "at", "left").select("alias_id", F.coalesce("smallest", "at").alias("target_id"))
 
 
+#: Of addresses: regions that they begin with, what else ends a region's name, and sites that only sound like one.  Fixed values.
+REGIONS = ["中华人民共和国", "中国", "广东省", "广东", "深圳市", "深圳"]
+REGION_ENDS = ["特别行政区", "自治区", "自治州", "街道", "新区", "省", "市", "区", "县", "镇", "乡", "村"]
+SITES = ["校区", "园区"]
+
+
 def venue(location: Column) -> Column:
-    """Whether a normalised location names more than regions."""
-    rest = F.regexp_replace(location, f"^(?:中华人民共和国|中国|广东(?:省)?|深圳(?:市)?|(?:{'|'.join(DISTRICTS)})(?:新区|区)?)+", "")
-    parts = r"^(?:[\u3400-\u9fff]{1,12}?(?:自治区|自治州|特别行政区|街道|新区|省|市|区|县|镇|乡|村))++"
-    return F.when((F.length(rest) > 2) & rest.rlike("(校区|园区)$"), True).otherwise(F.regexp_replace(rest, parts, "") != "")
+    """Whether a normalised location names more than regions: something follows the last of them, or it ends as a site does."""
+    known = [*REGIONS, *(d + end for d in DISTRICTS for end in ("新区", "区", ""))]
+    rest = F.regexp_replace(location, f"^(?:{'|'.join(known)})+", "")
+    last = F.element_at(F.split(rest, "|".join(REGION_ENDS)), -1)
+    site = F.lit(False)
+    for end in SITES:
+        site |= rest.endswith(end) & (F.length(rest) > len(end))
+    return site | (last != "")
 
 
 def duplicate_pairs(rows: DataFrame, least_ratio: float = 93.0) -> DataFrame:
