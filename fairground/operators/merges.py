@@ -19,14 +19,36 @@ def _empty(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
 
 
+def chosen_details(base: DataFrame, details: DataFrame) -> DataFrame:
+    """(id, organizer, fee, start, end, all_day): one row for each id that has details it may take.
+
+    Details of the listing's own address are taken, or else those of the only address that the id has details of.  Of several
+    the first in order of ``rank`` that has an organizer, or a start, gives it; all known costs are joined.  ``url`` and ``rank`` may
+    be missing: then all of an id's details are of one address, and of one rank.
+    """
+    for c, kind in (("url", "string"), ("rank", "int")):
+        if c not in details.columns:
+            details = details.withColumn(c, F.lit(None).cast(kind))
+    own = base.select("id", (canon_url(F.col("url")) if "url" in base.columns else F.lit("")).alias("own")).distinct()
+    rows = details.withColumn("address", canon_url(F.col("url"))).join(own, "id")
+    addresses = rows.groupBy("id").agg(F.count_distinct("address").alias("n"), F.max(F.col("address") == F.col("own")).alias("mine"))
+    rows = rows.join(addresses, "id").where(F.when(F.col("mine"), F.col("address") == F.col("own")).otherwise(F.col("n") == 1))
+    order = F.struct(F.coalesce("rank", F.lit(0)), "start", "end", "organizer", "fee")
+    fee = F.trim(F.coalesce("fee", F.lit("")))
+    first = lambda value, known: F.min_by(value, F.when(known, order))
+    time = first(F.struct("start", "end", "all_day"), F.col("start").isNotNull())
+    joined = F.array_join(F.array_sort(F.collect_set(F.when(~fee.isin(UNKNOWN_FEES), fee))), " / ")
+    return rows.groupBy("id").agg(first(F.col("organizer"), ~_empty("organizer")).alias("organizer"), joined.alias("fee"), time["start"].alias("start"), time["end"].alias("end"), time["all_day"].alias("all_day"))
+
+
 def fill_details(base: DataFrame, details: DataFrame) -> DataFrame:
     """(id, organizer, fee, start, end, all_day, filled): only what the listing doesn't know is filled.
 
-    Both sides are (id, organizer, fee, start, end, all_day), the listing also has ``hold``.  A schedule is taken over whole,
-    and never under a hold; an end alone only where start and precision are equal.  Costs of both are joined if the listing
-    has none.  ``filled`` names the fields that come from the details.  A listing without details is left as it is.
+    Both sides are (id, organizer, fee, start, end, all_day), the listing also has ``hold``; of several details of an id
+    ``chosen_details`` makes one.  A schedule is taken over whole, and never under a hold; an end alone only where start and
+    precision are equal.  ``filled`` names the fields that come from the details.  A listing without details is left as it is.
     """
-    d = details.select("id", *(F.col(c).alias(f"d_{c}") for c in ("organizer", "fee", "start", "end", "all_day")))
+    d = chosen_details(base, details).select("id", *(F.col(c).alias(f"d_{c}") for c in ("organizer", "fee", "start", "end", "all_day")))
     rows = base.join(d, "id", "left")
     open_ = ~F.coalesce("hold", F.lit(False)) & F.col("d_start").isNotNull()
     whole = open_ & F.col("start").isNull() & (F.col("end").isNull() | F.coalesce(F.col("end") == F.col("d_end"), F.lit(False)))

@@ -247,11 +247,15 @@ def ingest_upsert(spark, sf):
     return E.upsert(a.where("id % 4 <> 2").select("id", "district", "cost_free", "origin_priority"), new, ["district", "cost_free"])
 
 
-@query(f"with {_P} select event_id % 700 as winner, bool_or(favorite) as favorite, bool_or(hidden) as hidden, max_by(feedback, (feedback_updated_at, event_id)) filter (feedback_updated_at is not null) as feedback, epoch_us(max(viewed_at)) as viewed_us, max(revision) + 1 as revision from preferences group by 1")
+@query(f"""with {_P}, s as (select event_id % 700 as winner, event_id, favorite, hidden, viewed_at, revision, case when event_id % 9 <> 0 then feedback end as feedback, case when event_id % 3 <> 0 then feedback_updated_at end as told_at,
+  case when event_id % 4 = 0 then 't' || (event_id % 7) end as tag from preferences),
+n as (select winner, feedback, tag, row_number() over (partition by winner order by (told_at is not null) desc, told_at desc, (feedback is not null or tag is not null) desc, (event_id = winner) desc, event_id desc) as k from s)
+select g.*, n.feedback, n.tag as tags from (select winner, bool_or(favorite) as favorite, bool_or(hidden) as hidden, epoch_us(max(viewed_at)) as viewed_us, max(revision) + 1 as revision from s group by 1) g join n on n.winner = g.winner and k = 1""")
 def merge_preferences(spark, sf):
-    """M3"""
-    merged = E.merge_preferences(V.preferences(spark, sf).withColumn("winner", F.col("event_id") % 700), "winner")
-    return merged.select("winner", "favorite", "hidden", "feedback", F.unix_micros(F.col("viewed_at").cast("timestamp")).alias("viewed_us"), "revision")
+    """M3: states with and without a time of their feedback, with tags."""
+    states = V.preferences(spark, sf).withColumns({"winner": F.col("event_id") % 700, "feedback": F.expr("if(event_id % 9 <> 0, feedback, null)"), "feedback_updated_at": F.expr("if(event_id % 3 <> 0, feedback_updated_at, null)"), "tags": F.expr("if(event_id % 4 = 0, array(concat('t', event_id % 7)), null)")})
+    merged = E.merge_preferences(states, "winner")
+    return merged.select("winner", "favorite", "hidden", "feedback", F.array_join("tags", ",").alias("tags"), F.unix_micros(F.col("viewed_at").cast("timestamp")).alias("viewed_us"), "revision")
 
 
 @query(f"with {_P} select outcome, count(*) as n from (select case when revision is null and expected = 0 then 'created' when revision = expected then 'accepted' else 'conflict' end as outcome from (select o_orderkey as event_id, o_orderkey % 5 as expected from orders) left join preferences using (event_id)) group by 1")

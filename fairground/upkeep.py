@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairground.functions import grammar as W
+from fairground.functions import text as X
+from fairground.operators import evidence as E
 from fairground.operators import guards as G
+from fairground.operators import identity as I
+from fairground.operators import patches as P
 from fairground.plans import views as V
-from fairground.queries import query
+from fairground.queries import _A, query
+from fairground.sources import elements as S
 
 # --- guards --------------------------------------------------------------------------------------------------
 
@@ -101,3 +107,174 @@ def anchor_checks(spark, sf):
     links = items.where("item % 17 <> 0").select("source_id", "url", "event_id", "raw_id")
     anchors = each.where("item % 5 = 0").select("binding_id", "event_id", "raw_id", F.array(F.col("day").cast("string")).alias("days"))
     return G.anchor_checks(items, bindings, links, anchors)
+
+
+# --- pages ---------------------------------------------------------------------------------------------------
+
+
+@query(r"select page_id, tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as tag from pages) group by 1, 2")
+def page_elements(spark, sf):
+    """The element table of the captured pages: how many elements of each tag."""
+    return S.element_rows(V.table(spark, sf, "pages").select("page_id", "html")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(r"""with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as body from pages),
+t as (select page_id, unnest(regexp_extract_all(body, '<([a-z][a-z0-9]*)', 1)) as tag from a) select page_id, count(*) as n, count(*) filter (tag = 'p') as paragraphs from t group by 1""")
+def article_elements(spark, sf):
+    """Elements that stand in a page's article, by containment of intervals."""
+    rows = S.element_rows(V.table(spark, sf, "pages").select("page_id", "html"))
+    article = rows.where("tag = 'article'").select("page_id", F.col("pre").alias("a_pre"), F.col("last").alias("a_last"))
+    inside = rows.join(article, "page_id").where((F.col("pre") > F.col("a_pre")) & (F.col("pre") <= F.col("a_last")))
+    return inside.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+
+
+_DAY = "cast(start_at + interval 28 years as date)"
+
+
+@query(f"""with {_A}, c as (select id, id // 12 as page_id, case when id % 3 = 0 then 'timed' when id % 3 = 1 then 'webinars' else 'regions' end as kind0, ['timed', 'webinars', 'regions'][id // 12 % 3 + 1] as kind, case when id % 13 = 0 then '' else title || ' & more' end as title,
+  'https://a.example.com/e/' || (id - cast(id % 5 = 0 as integer)) as link, case when id % 7 <> 0 then {_DAY} end as day, district from activity),
+r as (select *, case when title = '' then 'title' when kind <> 'timed' and id % 11 = 0 then 'ended' end as bad from c),
+n as (select *, row_number() over (partition by page_id, link order by bad is not null, day is null, id) as nth from r)
+select page_id, row_number() over (partition by page_id order by id) - 1 as pos, kind, title, link, strftime(day, '%Y-%m-%d') as start, strftime(day + 1, '%Y-%m-%d') as stop, case kind when 'webinars' then '线上' else district end as place, coalesce(bad, case when nth > 1 then 'repeated' end) as reject from n""")
+def site_cards(spark, sf):
+    """Cards of three kinds of nested layouts, the dated card of an address before the undated."""
+    title = "if(id % 13 = 0, '', concat('<b>', title, '</b> &amp; more'))"
+    link = "concat('/e/', id - if(id % 5 = 0, 1, 0), '?utm_source=x')"
+    day = "if(id % 7 = 0, '', {})"
+    iso, written = day.format("date_format(add_months(to_date(start_at), 336), 'yyyy-MM-dd')"), day.format("date_format(add_months(to_date(start_at), 336), 'yyyy年M月d日')")
+    label = "if(id % 11 = 0, '精彩回放', '报名中')"
+    piece = f"""element_at(array(
+      concat('<article><div><div class="x">y</div><h3><i></i><a target=_blank href="', {link}, '">', {title}, '</a></h3></div><p>about</p><time datetime="', {iso}, '">t</time><div><p>', district, '</p></div></article>'),
+      concat('<li class="big bd-wrap"><div><div>z</div></div><div class="activity-info"><h3><a href="', {link}, '">', {title}, '</a></h3><p><em>x</em><span>', {written}, '</span></p></div><b class="status">', {label}, '</b></li>'),
+      concat('<div class="event-item"><div class="card"><div class="card-meta"><a class="tag" href="#">t</a><a href="', {link}, '" class="initial">', {title}, '</a></div></div><div class="card-times">', {written}, '</div><div class="card-map">', district, '</div><i class="status">', {label}, '</i></div>')), cast(id div 12 % 3 as int) + 1)"""
+    pieces = V.activity(spark, sf).groupBy(F.expr("id div 12").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.expr(piece).alias("p")))), lambda x: x["p"]), "").alias("body"))
+    pages = pieces.select("page_id", F.expr("element_at(array('timed', 'webinars', 'regions'), cast(page_id % 3 as int) + 1)").alias("kind"), F.lit("https://a.example.com/list/").alias("url"), F.concat(F.lit('<main><div class="regular-events-list"><ul>'), "body", F.lit("</ul></div></main>")).alias("html"))
+    day_text = lambda c, n: F.date_format(c, "yyyy-MM-dd").alias(n)
+    return S.site_cards(pages).select("page_id", "pos", "kind", "title", "link", day_text("start", "start"), day_text("end", "stop"), "place", "reject")
+
+
+@query(f"""with {_A}, d as (select *, {_DAY} as day from activity) select id, case when id % 4 = 3 then '' else organizer end as organizer, case id % 3 when 0 then '' else (id % 300) || ' 元' end as fee, case when id % 2 = 0 then 'https://i.example.com/' || id || '.png' else '' end as pictures from d""")
+def page_details(spark, sf):
+    """Details whose labels are split over elements, with pictures."""
+    body = """concat('<nav>主办方：no</nav><article><div><p><b>主办</b>方', if(id % 4 = 3, '', concat('：<span>', organizer, '</span>')), '</p><p>费用：</p>', if(id % 3 = 0, '', concat('<p>', id % 300, '<i> 元</i></p>')), '<p>活动费用</p><p>：</p><img alt="QR code" src="/q.png">',
+      if(id % 2 = 0, concat('<div><img alt="" src="//i.example.com/', id, '.png"></div>'), ''), '</div></article>')"""
+    found = S.page_details(V.activity(spark, sf).select(F.col("id").alias("page_id"), F.lit("https://a.example.com/x").alias("url"), F.expr(body).alias("html")))
+    return found.select(F.col("page_id").alias("id"), "organizer", "fee", F.array_join("pictures", ",").alias("pictures"))
+
+
+# --- texts ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {_A}, d as (select id, {_DAY} as day from activity) select id, strftime(day, '%Y-%m-%d') as date, ['registration_window', 'actual_occurrence', 'unknown', 'promotion_window'][id % 4 + 1] as role, 0 as k from d
+union all select id, strftime(day + 1, '%Y-%m-%d'), 'actual_occurrence', 1 from d where id % 4 = 1 union all select id, strftime(day + 2, '%Y-%m-%d'), 'publication_time', 1 from d where id % 4 = 0""")
+def dated_roles(spark, sf):
+    """each date of a text with the role of the nearest cue before it in its sentence."""
+    rows = V.activity(spark, sf).withColumn("day", F.expr("add_months(to_date(start_at), 336)"))
+    of = lambda n: f"date_format(date_add(day, {n}), 'yyyy年M月d日')"
+    text = f"element_at(array(concat('报名截至', {of(0)}, '；更新于', {of(2)}), concat('发布会的活动时间：', {of(0)}, '、', date_format(date_add(day, 1), 'yyyy/M/d')), concat('活动时间待定。', {of(0)}), concat('活动时间见下，推广期', {of(0)})), cast(id % 4 as int) + 1)"
+    return rows.select("id", F.posexplode(W.dated_roles(F.expr(text))).alias("k", "r")).select("id", F.date_format("r.date", "yyyy-MM-dd").alias("date"), "r.role", "k")
+
+
+@query("select user_id % 40 as source_id, count(distinct event_id % 5000) filter (event_type <> 'error') as recognised, count(distinct event_id % 5000) filter (event_type = 'error') as excluded from events group by 1")
+def page_inventory(spark, sf):
+    """Q7: different items recognised and excluded, from bitmaps of each run and page."""
+    items = V.table(spark, sf, "events").select((F.col("user_id") % 40).alias("source_id"), F.to_date("ts").alias("run"), (F.col("user_id") % 7).alias("page"), (F.col("event_id") % 5000).alias("item"), (F.col("event_type") != "error").alias("recognised"))
+    pages = P.page_inventory(items, "source_id", "run", "page")
+    runs = P.merge_inventories(pages, "source_id", "run")
+    return P.inventory_counts(P.merge_inventories(runs, "source_id"), "source_id")
+
+
+@query(f"""with {_A} select id, id % 5 in (1, 2) as held, id % 3 as version, case when id % 7 = 6 then null else sha256('a' || chr(1) || '[1,{{"x":2,"y":' || (id % 3) || '}}]' || chr(2) || 'review_hold' || chr(1) || ['false', 'true', '"yes"', '0', '""'][id % 5 + 1]) end as fingerprint from activity""")
+def detail_fingerprints(spark, sf):
+    """Flags and canonical digests of JSON details, whatever the order of their keys."""
+    hold = "element_at(array('false', 'true', '\"yes\"', '0', '\"\"'), cast(id % 5 as int) + 1)"
+    details = f"""case when id % 7 = 6 then '[no object' when id % 2 = 0 then concat('{{"review_hold": ', {hold}, ', "checked_at": "', id, '", "a": [1, {{"y": ', id % 3, ', "x": 2}}]}}')
+      else concat('{{"a":[1,{{"x":2,"y":', id % 3, '}}],"review_hold":', {hold}, '}}') end"""
+    return V.activity(spark, sf).select("id", (P.held(F.expr(details)) | F.expr("id % 7 = 6 and id % 5 in (1, 2)")).alias("held"), (F.col("id") % 3).alias("version"), P.fingerprint(F.expr(details)).alias("fingerprint"))
+
+
+# --- identity ------------------------------------------------------------------------------------------------
+
+
+def _search_rows(spark, sf) -> DataFrame:
+    rows = V.table(spark, sf, "orders")
+    return rows.select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3).alias("source_id"), F.expr("concat('item ', o_custkey div 3)").alias("title"), F.lit("body").alias("body"),
+        F.expr("if(o_orderkey % 3 = 0, concat('p', o_custkey % 2), null)").alias("published_at"), F.expr("if(o_orderkey % 5 = 0, 'o', null)").alias("organizer"),
+        (F.col("o_orderkey") % 4 == 0).alias("done"), F.col("o_orderdate").cast("string").alias("collected_at"),
+    )
+
+
+@query("""with r as (select o_orderkey as id, o_custkey, o_orderkey % 4 = 0 as done, cast(o_orderdate as date) as day from orders),
+g as (select id, first_value(id) over (partition by o_custkey order by done desc, day desc, id desc) as copy_of, count(*) over (partition by o_custkey) as group_size from r) select id, copy_of, group_size, false as conflict from g""")
+def search_copies(spark, sf):
+    """Copies of search items by equality that tolerates what is unknown, and the one of each group that is kept."""
+    return I.search_copies(_search_rows(spark, sf))
+
+
+@query()
+def assign_in_order(spark, sf):
+    """New rows assigned as if they came one after another, by link, alias, stored duplicate and earlier founder; a test has the loop."""
+    a = V.activity(spark, sf)
+    pairs = E.duplicate_pairs(a)
+    new = a.where("id % 3 <> 0").select(F.col("id").alias("row"), (F.col("id") % 9).alias("source_id"), F.expr("concat('https://a.example.com/', id div 2)").alias("url"), F.expr("if(id % 50 = 1, concat('alias ', id % 7), null)").alias("alias_id"))
+    both = pairs.union(pairs.select("b", "a"))
+    stored = both.where("a % 3 <> 0 and b % 3 = 0").select(F.col("a").alias("row"), F.col("b").alias("event_id"), F.col("b").alias("place"))
+    links = a.where("id % 3 = 0").select((F.col("id") % 9).alias("source_id"), F.expr("concat('https://a.example.com/', id div 2)").alias("url"), F.col("id").alias("event_id"))
+    aliases = spark.createDataFrame([("alias 0", "0")], "alias_id string, event_id string")
+    return I.assign_in_order(new, links, aliases, stored, pairs.where("a % 3 <> 0 and b % 3 <> 0"))
+
+
+# --- patches -------------------------------------------------------------------------------------------------
+
+
+def _patches(rows: DataFrame) -> DataFrame:
+    asked = rows.where("id % 4 <> 3").select(
+        "id", F.create_map(F.lit("status"), F.expr("if(id % 5 = 0, 'other', status)")).alias("guard"),
+        F.expr("case when id % 11 = 0 then map('district', 'x') when id % 3 = 0 then map('status', status) else map('status', 'needs_review', 'organizer', concat('by ', id)) end").alias("patch"),
+    )
+    return asked.union(asked.where("id % 97 = 0"))
+
+
+_OUTCOME = "case when id % 11 = 0 or id % 97 = 0 then 'invalid' when id % 3 = 0 then 'already' when id % 5 = 0 then 'stale' else 'applied' end"
+
+
+@query(f"with {_A} select id, {_OUTCOME} as outcome from activity where id % 4 <> 3")
+def reviewed_patches(spark, sf):
+    """M8: patches by compare and set: applied, already, stale or invalid."""
+    rows = V.activity(spark, sf).select("id", "status", "organizer", "district")
+    return P.judge_patches(rows, _patches(rows))
+
+
+@query(f"with {_A}, p as (select *, id % 4 <> 3 and {_OUTCOME} = 'applied' as hit from activity) select id, case when hit then 'needs_review' else status end as status, case when hit then 'by ' || id else organizer end as organizer, district from p")
+def reviewed_updates(spark, sf):
+    """M8: the table with the patches that are applied; nothing else changes."""
+    rows = V.activity(spark, sf).select("id", "status", "organizer", "district")
+    return P.apply_patches(rows, _patches(rows))
+
+
+@query(f"with {_A} select cast(id as varchar) as id, case when id % 6 = 0 then 'gone' when id % 6 < 4 then 'changed' else 'same' end as outcome from activity")
+def resolution_authority(spark, sf):
+    """Whether what a decision rests on has changed since it was read: the row, its links or its anchors."""
+    rows = V.activity(spark, sf).select("id", "status", "start_at")
+    links, anchors = rows.select(F.col("id").alias("event_id"), F.lit("u").alias("url")), rows.select(F.col("id").alias("event_id"), F.lit("d").alias("day"))
+    read = P.authority(rows, links, anchors)
+    now = P.authority(
+        rows.where("id % 6 <> 0").withColumn("status", F.expr("if(id % 6 = 1, 'x', status)")), links.where("event_id % 6 <> 0").withColumn("url", F.expr("if(event_id % 6 = 2, 'v', url)")), anchors.where("event_id % 6 not in (0, 3)")
+    )
+    return P.authority_conflicts(read, now)
+
+
+@query("select event_type as kind, strftime(ts, '%Y-%m-%d %H:%M:%S') as started_at, case when event_id % 3 = 0 then 'partial' else 'ok' end as status, least(8000, event_id % 9000) as kept from events where event_id % 50 = 0")
+def run_log(spark, sf):
+    """K4: rows of the append-only log, their details bounded."""
+    rows = V.table(spark, sf, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("kind"), F.expr("if(event_id % 2 = 0, null, ts)").alias("started_at"), F.col("ts").alias("finished_at"), F.expr("if(event_id % 3 = 0, 'partial', 'ok')").alias("status"), F.expr("repeat('x', cast(event_id % 9000 as int))").alias("details"))
+    n = F.length("details").cast("long")
+    log = P.run_log(rows)
+    return log.select("kind", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "status", n.alias("kept"))
+
+
+@query("select o_orderkey as id, 'Café ' || o_orderkey as heading from orders")
+def headings(spark, sf):
+    """headings in composed form, white space collapsed."""
+    return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), X.heading(F.expr("concat('  Cafe\u0301   ', o_orderkey, ' ')")).alias("heading"))
