@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,9 +142,10 @@ def venue(location: Column) -> Column:
 def duplicate_pairs(rows: DataFrame, least_ratio: float = 93.0) -> DataFrame:
     """Pairs on the same date with equal or nearly equal titles and no conflicting place, mode or clock.
 
-    Dates are the blocks.  What is unknown, or no column of ``rows``, conflicts with nothing.  Cheap rules come first, then
-    two bounds that no pair within the ratio exceeds (lengths; an edit distance is at most the insertions and deletions),
-    and the ratio is worked out last.
+    The rows of a date meet, up to ``DENSE`` of them.  On a date of more the blocks are its titles, and one by one the rarest pairs
+    of letters of a title (``title_keys``): rows that share none can't reach the ratio, so no pair is lost.  What is unknown, or no column of
+    ``rows``, conflicts with nothing.  Cheap rules come first, then two bounds that no pair within the ratio exceeds (lengths; an
+    edit distance is at most the insertions and deletions), and the ratio is worked out last.
     """
     known = lambda c, kind="string": F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
     year = F.date_format("start_at", "yyyy")
@@ -171,10 +176,64 @@ def duplicate_pairs(rows: DataFrame, least_ratio: float = 93.0) -> DataFrame:
     far = F.when((F.least(F.length(p), F.length(q)) > 5) & ~F.contains(p, q) & ~F.contains(q, p), ratio(p, q) < 80).otherwise(False)
     both_lengths = F.length(x) + F.length(y)
     bound = (200.0 * F.least(F.length(x), F.length(y)) >= least_ratio * both_lengths) & (F.levenshtein(x, y) <= (1 - least_ratio / 100) * both_lengths + 1e-6)
-    pairs = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.id") < F.col("b.id")) & cheap & bound)
+    dense = made.groupBy("day").count().where(F.col("count") > DENSE).select("day", F.lit(True).alias("dense"))
+    keyed = made.withColumn("keys", F.array(F.lit(0).cast("long")))
+    if not dense.isEmpty():
+        known_days = made.join(dense, "day", "left")
+        many = known_days.where("dense").drop("dense")
+        keyed = known_days.where("dense is null").drop("dense").withColumn("keys", F.array(F.lit(0).cast("long"))).unionByName(many.withColumn("keys", title_keys(many, "title", least_ratio)))
+    keyed = keyed.withColumn("key", F.explode("keys"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the blocks that they share
+    pairs = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & once & cheap & bound)
     return pairs.where(~far).where((x == y) | (F.when(F.least(F.length(x), F.length(y)) >= 10, ratio(x, y)) >= least_ratio)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+#: Rows of a date that all meet.
+DENSE = 1000
+#: Pairs of letters that are known to be common, from so many titles; they only order the others before them.
+COMMON_PAIRS, COMMON_TITLES = 1000, 20_000
+
+
+def title_keys(rows: DataFrame, title: str, least_ratio: float) -> Column:
+    """The blocks of a title: itself, and so many of its pairs of letters that one is shared with every title within the ratio.
+
+    Within the ratio r lie at most (1 - r) (m + n) insertions and deletions, so lengths differ by the factor (2 - r) / r at most, and
+    d = (1 - r) (m + (2 - r) / r m).  Each takes two pairs of letters away at most; of the 2 d + 1 first pairs of each title, in any order that
+    is the same for all titles, one is shared.  Rare ones come first: pairs that are common in some titles are last in
+    the order, by how common they are, the others go by a hash.  Repeated pairs of one title are told apart by number.
+    """
+    some = rows.where(F.length(title) >= 10).select(F.expr(f"transform(sequence(1, length({title}) - 1), i -> substring({title}, i, 2))").alias("g")).limit(COMMON_TITLES)
+    counts = some.select(F.explode("g").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(COMMON_PAIRS).collect()
+    common = {r.g: len(counts) - k for k, r in enumerate(counts)}
+    share = 1 - least_ratio / 100
+    most = share * (1 + (1 + share) / (1 - share))
+
+    @F.pandas_udf("array<long>")
+    def keys(titles: pd.Series) -> pd.Series:
+        @functools.cache
+        def number(text: str) -> int:
+            return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+        def of(t: str | None) -> list[int]:
+            if t is None:
+                return []
+            found = {number(f"={t}")}
+            if len(t) >= 10:
+                seen: dict[str, int] = {}
+                pairs = []
+                for i in range(len(t) - 1):
+                    g = t[i : i + 2]
+                    seen[g] = seen.get(g, 0) + 1
+                    pairs.append((common.get(g, 0), number(f"{g}{seen[g]}")))
+                found.update(k for _, k in sorted(pairs)[: 2 * int(most * len(t) + 1e-9) + 1])
+            return sorted(found)
+
+        return titles.map(of)
+
+    return keys(F.col(title))
+
+
 def admit_within_budget(requests: DataFrame, calls: int, tokens: float) -> DataFrame:
     """A day's requests in order until the first that would go over; none after it."""
     line = Window.partitionBy("source_id").orderBy("day")

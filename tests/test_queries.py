@@ -38,6 +38,28 @@ def test_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_dense_dates_lose_no_duplicates(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    letters = "abcdefgh 市"
+    base = ["".join(rng.choice(letters) for _ in range(rng.randrange(8, 60))) for _ in range(25)]
+    rows = []
+    for k in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t) + 1)
+            if rng.random() < 0.5 and len(t) > 1:
+                t.pop(min(at, len(t) - 1))
+            else:
+                t.insert(at, rng.choice(letters))
+        rows.append((k, datetime.datetime(2026, 1, 1 + k % 2), "".join(t), True))
+    frame = spark.createDataFrame(rows, "id long, start_at timestamp_ntz, title string, all_day boolean")
+    whole = {tuple(r) for r in E.duplicate_pairs(frame).collect()}
+    monkeypatch.setattr(E, "DENSE", 10)
+    assert {tuple(r) for r in E.duplicate_pairs(frame).collect()} == whole and len(whole) > 50
+
+
 def common(a, b):
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
