@@ -16,6 +16,7 @@ from fairground.operators import listing as L
 from fairground.operators import merges as M
 from fairground.plans import views as V
 from fairground.queries import _A, _GUARDS_SQL, _P, query
+from fairground.sources import elements as S
 from fairground.sources import records as R
 
 _W = f"{_A}, w as (select *, cast(start_at + interval 28 years as date) as day, cast(coalesce(end_at, start_at) + interval 28 years as date) as last from activity)"
@@ -125,7 +126,7 @@ _CARDS_SQL = f"""{_W}, c as (select id, id // 20 as page_id, case when id % 13 =
 
 
 @query(f"""with {_CARDS_SQL} select page_id, row_number() over (partition by page_id order by id) - 1 as pos, title, link, strftime(start, '%Y-%m-%d') as start, strftime(stop, '%Y-%m-%d') as stop, place,
-case when title = '' then 'title' when link = '' then 'link' when start is null then 'date' when row_number() over (partition by page_id, link order by id) > 1 then 'repeated' end as reject from c""")
+case when title = '' then 'title' when link = '' then 'link' when start is null then 'date' when row_number() over (partition by page_id, link order by title = '', start is null, id) > 1 then 'repeated' end as reject from c""")
 def listing_cards(spark, sf):
     """The cards of listing pages of three kinds, each taken or rejected with its reason."""
     title, link = "if(id % 13 = 0, '', concat('<b>', title, '</b> &amp; friends'))", "if(id % 17 = 0, '', concat('https://a.example.com/e/', id - if(id % 23 = 0, 1, 0), '?utm_source=x#top'))"
@@ -194,7 +195,7 @@ def recap_pairs(spark, sf):
 def microdata(spark, sf):
     """Item properties, from attributes or texts."""
     html = F.expr("""concat('<h1 itemprop="name">', title, '</h1><time itemprop="startDate" datetime="', day, '">soon</time>', if(id % 2 = 0, concat('<meta itemprop="endDate" content="', last, '">'), ''), '<p itemprop="location"><b>', district, '</b></p>')""")
-    return R.microdata(_written(spark, sf).select(F.col("id").alias("page_id"), html.alias("html"))).select(F.col("page_id").alias("id"), "title", "start", F.col("end").alias("stop"), "place")
+    return S.microdata_fields(_written(spark, sf).select(F.col("id").alias("page_id"), html.alias("html"))).select(F.col("page_id").alias("id"), "title", "start", F.col("end").alias("stop"), "place")
 
 
 @query(f"with {_W}, l as (select id // 20 as page_id, id, 'https://d.example.com/' || (id - id % 2) as link, year(day) * 12 + month(day) - 2023 * 12 - 6 as ahead, row_number() over (partition by id // 20 order by id) - 1 as pos from w) select page_id, link, min(pos) as pos from l where ahead between -1 and 6 group by page_id, link")

@@ -20,6 +20,8 @@ KINDS = {
 #: What an image that is no picture of the activity is called.
 NO_PICTURE = "(?i)qr|二维码|公众号|logo|头像"
 IMAGES = 8
+#: An embedded inventory of more is none.
+ITEMS = 300
 
 
 def plain(c: Column) -> Column:
@@ -43,7 +45,8 @@ def listing_cards(pages: DataFrame) -> DataFrame:
     cards = pages.select("page_id", "kind", "year", F.posexplode(_by_kind(lambda r: F.regexp_extract_all("html", F.lit(r["card"]), F.lit(1)))).alias("pos", "card"))
     part = lambda name: _by_kind(lambda r: F.regexp_extract("card", r[name], 1))
     rows = cards.select("page_id", "pos", plain(part("title")).alias("title"), canon_url(part("link")).alias("link"), G.explicit_range(plain(part("date")), F.col("year")).alias("range"), plain(part("place")).alias("place"))
-    again = F.row_number().over(Window.partitionBy("page_id", "link").orderBy("pos")) > 1
+    # A card with a date comes before one of its address without.
+    again = F.row_number().over(Window.partitionBy("page_id", "link").orderBy(F.col("title") == "", F.col("range").isNull(), "pos")) > 1
     reject = F.when(F.col("title") == "", "title").when(F.col("link") == "", "link").when(F.col("range").isNull(), "date").when(again, "repeated")
     return rows.select("page_id", "pos", "title", "link", F.col("range.start").alias("start"), F.col("range.end").alias("end"), "place", reject.alias("reject"))
 
@@ -120,12 +123,13 @@ def posts(feeds: DataFrame) -> DataFrame:
 def inventory(pages: DataFrame, schema: str) -> DataFrame:
     """(page_id, error, and one column ``item``) of the one JSON.parse(`...`) literal of (page_id, html), a row an item.
 
-    No literal or several, one with escapes or interpolation, or one that is not a list of the schema is an error row.
+    No literal or several, one with escapes or interpolation, one that is not a list of the schema, that repeats a key or has more
+    than ``ITEMS`` items is an error row.
     """
     literals = F.regexp_extract_all("html", F.lit(r"(?s)JSON\.parse\(`(.*?)`\)"), F.lit(1))
     rows = pages.select("page_id", literals.alias("l")).withColumn("literal", F.get("l", F.lit(0)))
     items = F.from_json("literal", f"array<struct<{schema}>>")
-    error = F.when(F.coalesce(F.size("l"), F.lit(0)) != 1, "not one literal").when(F.col("literal").rlike(r"\\|\$\{"), "escapes").when(F.col("items").isNull() | F.exists("items", lambda x: x.isNull()), "not a list")
+    error = F.when(F.coalesce(F.size("l"), F.lit(0)) != 1, "not one literal").when(F.col("literal").rlike(r"\\|\$\{"), "escapes").when(F.col("items").isNull() | F.exists("items", lambda x: x.isNull()), "not a list").when(F.try_parse_json("literal").isNull(), "repeated key").when(F.size("items") > ITEMS, "too many")
     rows = rows.withColumn("items", items).withColumn("error", error)
     return rows.select("page_id", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("items"))).alias("item"))
 
@@ -143,16 +147,6 @@ def recaps(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("link", "title").agg(F.count("told").alias("recaps"), F.when(F.max(F.col("told") & ~F.col("told_end").eqNullSafe(F.col("end"))), "needs_review").otherwise("scheduled").alias("status"))
 
 
-def microdata(pages: DataFrame) -> DataFrame:
-    """(page_id, title, start, end, place) of item properties of (page_id, html), from an attribute or from the element's text."""
-
-    def of(name: str) -> Column:
-        attribute = F.regexp_extract("html", rf'<[^>]*itemprop="{name}"[^>]*(?:content|datetime)="([^"]*)"', 1)
-        return F.when(attribute != "", attribute).otherwise(plain(F.regexp_extract("html", rf'(?s)<(\w+)[^>]*itemprop="{name}"[^>]*>(.*?)</\1>', 2)))
-
-    return pages.select("page_id", of("name").alias("title"), of("startDate").alias("start"), of("endDate").alias("end"), of("location").alias("place"))
-
-
 def month_links(pages: DataFrame, now: Column) -> DataFrame:
     """(page_id, link, pos) of links whose label names a month from one before now to six after it, each once."""
     pattern = F.lit('<a href="([^"]*)"[^>]*>([^<]*)</a>')

@@ -14,6 +14,7 @@ from fairground.operators import patches as P
 from fairground.plans import views as V
 from fairground.queries import _A, query
 from fairground.sources import elements as S
+from fairground.sources import pages as D
 
 # --- guards --------------------------------------------------------------------------------------------------
 
@@ -162,6 +163,30 @@ def page_details(spark, sf):
     return found.select(F.col("page_id").alias("id"), "organizer", "fee", F.array_join("pictures", ",").alias("pictures"))
 
 
+@query(f"""with {_A}, d as (select *, {_DAY} as day from activity) select id, title, strftime(day, '%Y-%m-%d') as start_at, id % 2 = 0 as all_day, district || ' hall' || ' ' || district as location, district as city, organizer || case when id % 5 = 0 then ' / Second' else '' end as organizer,
+  ['online', 'offline', 'hybrid', 'unknown'][id % 4 + 1] as attendance, case when id % 6 = 0 then 'cancelled' else 'scheduled' end as status, case when id % 3 = 0 then '免费 / ' || (id % 300 + 1) when id % 3 = 1 then '免费' end as cost_text from d""")
+def json_ld_events(spark, sf):
+    """Declared activities, nested at any depth, with places, organizers, modes, states and prices."""
+    mode = "element_at(array('OnlineEventAttendanceMode', 'OfflineEventAttendanceMode', 'MixedEventAttendanceMode', 'None'), cast(id % 4 as int) + 1)"
+    node = f"""concat('{{"@graph":[{{"x":{{"@type":["Thing","https://schema.org/MusicEvent"],"name":"', title, '","startDate":"', date_format(add_months(to_date(start_at), 336), 'yyyy-MM-dd'), if(id % 2 = 0, '', 'T10:00'), '","location":{{"name":"', district, ' hall","address":{{"addressLocality":"', district, '"}}}},
+      "organizer":', if(id % 5 = 0, concat('["', organizer, '",{{"name":"Second"}},"', organizer, '"]'), concat('{{"name":"', organizer, '"}}')), ',"eventAttendanceMode":"https://schema.org/', {mode}, '","eventStatus":"https://schema.org/', if(id % 6 = 0, 'EventCancelled', 'EventScheduled'), '"',
+      case id % 3 when 0 then concat(',"offers":[{{"price":"', id % 300 + 1, '"}},{{"lowPrice":0,"highPrice":true}},{{"price":-1}}]') when 1 then ',"isAccessibleForFree":true' else ',"offers":{{"price":"ask"}}' end, '}}}}]}}')"""
+    html = F.concat(F.lit('<script type="application/ld+json">not json</script><script type="application/ld+json">'), F.expr(node), F.lit("</script>"))
+    found = D.json_ld_events(V.activity(spark, sf).select(F.col("id").cast("string").alias("url"), html.alias("html")))
+    return found.select(F.col("url").cast("long").alias("id"), "title", F.substring("start_at", 1, 10).alias("start_at"), "all_day", "location", "city", "organizer", "attendance", "status", "cost_text")
+
+
+@query(f"with {_A} select id % 500 as source_id, title, 'https://a.example.com/e/' || id as link, strftime(start_at, '%Y-%m-%d') as published from activity where id % 7 <> 0")
+def feed_entries(spark, sf):
+    """Items of RSS and entries of Atom, their publication kept apart."""
+    link, day = "concat('https://a.example.com/e/', id, '?utm_source=feed')", "date_format(start_at, 'yyyy-MM-dd')"
+    title = "if(id % 7 = 0, '', title)"
+    piece = f"""if(id % 2 = 0, concat('<item><title><![CDATA[', {title}, ']]></title><link>', {link}, '</link><pubDate>', {day}, '</pubDate></item>'),
+      concat('<entry><title type="text"> ', {title}, '</title><link rel="self" href="https://x/"/><link href="', {link}, '"/><updated>', {day}, '</updated></entry>'))"""
+    feeds = V.activity(spark, sf).select((F.col("id") % 500).alias("source_id"), F.concat(F.lit("<feed><title>all</title>"), F.expr(piece), F.lit("</feed>")).alias("body"))
+    return D.feed_entries(feeds)
+
+
 # --- texts ---------------------------------------------------------------------------------------------------
 
 
