@@ -217,7 +217,7 @@ def test_spans_of_parts():
 
 
 def test_unwrapping_ends():
-    assert secret_scan.findings("%2525252525252541")[2] == 8  # one layer for each level
+    assert secret_scan.findings("%2525252525252541")[2] == 9  # the text and one layer for each level
     text = "nothing"
     for _ in range(30):
         text = b64(text + ", and again")
