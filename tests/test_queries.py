@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fairground import catalogue, extracts, upkeep  # noqa: F401  they register more queries
+from fairground import admissions, catalogue, extracts, upkeep  # noqa: F401  they register more queries
 from fairground import queries as Q
 from fairground.functions import text as X
 from fairground.functions import times as T
