@@ -21,6 +21,11 @@ UNKNOWN_PLACES = ["", "待确认", "地点待确认", "地点待定"]
 BLOCKED_TITLES = ["captcha", "访问验证", "安全验证", "反爬", "请输入验证码"]
 
 
+def let(c: Column, f) -> Column:
+    """f(c), with c worked out once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def clean(c: Column) -> Column:
     """White space collapsed and trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
