@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType, StringType
 #: Fixed values.
 DROPPED_PARAMETERS = ["from", "spm", "chksm", "scene", "clicktime", "enterid"]
 DISTRICTS = ["南山", "福田", "宝安", "龙岗", "龙华", "罗湖", "盐田", "光明", "坪山", "大鹏", "深汕"]
+LONG_NAMES = {"大鹏": "大鹏新区", "深汕": "深汕特别合作区"}
+PINYIN = {"南山": "nan shan", "福田": "fu tian", "宝安": "bao an", "龙岗": "long gang", "龙华": "long hua", "罗湖": "luo hu", "盐田": "yan tian", "光明": "guang ming", "坪山": "ping shan", "大鹏": "da peng"}
 FREE_TEXTS = ["免费", "0元", "免费参加"]
 ONLINE_PLACES = ["线上", "线上活动", "在线", "online", "virtual", "online event"]
 UNKNOWN_PLACES = ["", "待确认", "地点待确认", "地点待定"]
@@ -68,6 +70,16 @@ def district_of(c: Column) -> Column:
     return F.when((F.size(named) == 1) & ~c.rlike("[、→↔]"), named[0]).otherwise("待确认")
 
 
+def named_district(c: Column) -> Column:
+    """The district that a place names in full or in Latin letters, its syllables apart or together; empty if none or several in full."""
+    text = clean(c)
+    first = lambda tests: F.filter(F.array(*(F.when(test, d) for d, test in tests.items())), lambda d: d.isNotNull())
+    full = first({d: text.contains(LONG_NAMES.get(d, d + "区")) for d in DISTRICTS})
+    latin = first({d: F.lower(text).rlike(rf"(?<![a-z]){name.replace(' ', '[ ’' + chr(39) + ']?')}(?![a-z])") for d, name in PINYIN.items()})
+    found = F.when(F.size(full) > 1, "").otherwise(F.coalesce(F.get(full, F.lit(0)), F.get(latin, F.lit(0)), F.lit("")))
+    return F.when(text.rlike("[、→↔]"), "").otherwise(found)
+
+
 def cost_free(c: Column) -> Column:
     return clean(c).isin(FREE_TEXTS)
 

@@ -82,6 +82,8 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._silent:
             self.texts.append(data)
+        elif self._open and self.elements[self._open[-1]]["tag"] == "script":
+            self.elements[self._open[-1]].setdefault("script", []).append(data)
 
     def done(self) -> None:
         self.close()
