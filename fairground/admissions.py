@@ -1,13 +1,15 @@
-"""Registered queries of what is let in: gated inventories and details, and their merge."""
+"""Registered queries of what is let in: gated inventories and details, and what a run takes up."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairground.operators import intake as I
 from fairground.plans import views as V
 from fairground.queries import _A, query
 from fairground.sources import gated as K
+from fairground.sources import notices as N
 from fairground.upkeep import _DAY
 
 HOST = "www.example.com"
@@ -72,3 +74,87 @@ def admitted_details(spark, sf):
     merged = K.merge_admitted(base, judged)
     shown = F.array_join("notes", ",")
     return merged.select("id", "place", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "status", "time_conflict", F.size("time_evidence").alias("evidence"), shown.alias("notes"))
+
+
+# --- intake --------------------------------------------------------------------------------------------------
+
+
+@query("""with m as (select 'https://i.example.com/' || p_partkey as url, sha256(cast(p_partkey as varchar)) || '.png' as asset from part where p_partkey % 3 <> 0),
+d as (select distinct l_orderkey as id, 'https://i.example.com/' || l_partkey as url from lineitem where l_linenumber % 5 <> 0),
+n as (select id, string_agg(url || '=' || asset, ' ' order by url) as images from d join m using (url) group by 1) select id, coalesce(images, '') as images from (select distinct l_orderkey as id from lineitem) left join n using (id)""")
+def approved_images(spark, sf):
+    """Pictures of details that a reviewed manifest names."""
+    lines, url = V.table(spark, sf, "lineitem"), "concat('{}://i.example.com/', {})"
+    details = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.expr(f"if(l_linenumber % 5 = 0, {url.format('http', 'l_partkey')}, {url.format('https', 'l_partkey')})")).alias("images"))
+    manifest = V.table(spark, sf, "part").select(F.expr(url.format("https", "p_partkey")).alias("url"), F.expr("concat(if(p_partkey % 3 = 0, '../', ''), sha2(cast(p_partkey as string), 256), '.png')").alias("asset"))
+    return I.approved_images(details, manifest).select("id", F.array_join(F.transform(F.map_entries("images"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("images"))
+
+
+@query("""with p as (select page_id % 40 as source_id, page_id as seq, 'https://h' || (page_id % 40) || '.example.com/list?p=' || page_id as url from pages), f as (select source_id, min(seq) as a, max(seq) as z from p group by 1),
+k as (select source_id, case when source_id % 4 = 0 then null when source_id % 4 = 1 then a + 40 * ((z - a) // 80) end as cut from f),
+r as (select p.*, cut is null as root, row_number() over (partition by source_id order by seq) as k, lead(url, 5) over (partition by source_id order by seq) as after from p join k using (source_id) where cut is null or seq >= cut)
+select source_id, seq, url, root as traversal_from_root, first_value(after) over (partition by source_id order by seq) as next_cursor, first_value(after) over (partition by source_id order by seq) is not null as truncated from r qualify k <= 5""")
+def resumed_pages(spark, sf):
+    """The pages that each source's next run visits, behind its cursor or from the root."""
+    pages = V.table(spark, sf, "pages").selectExpr("page_id % 40 as source_id", "page_id as seq", "concat('https://h', page_id % 40, '.example.com/list?p=', page_id) as url")
+    span = pages.groupBy("source_id").agg(F.min("seq").alias("a"), F.max("seq").alias("z"))
+    at = "a + 40 * ((z - a) div 80)"
+    cursors = span.where("source_id % 4 <> 0").selectExpr("source_id", f"concat(if(source_id % 4 = 1, concat('https://h', source_id), 'https://elsewhere'), '.example.com/list?p=', {at}) as next_cursor")
+    return I.resumed(pages, span.selectExpr("source_id", "concat('https://h', source_id, '.example.com/list') as url"), cursors, 5)
+
+
+@query("""with s as (select s_suppkey as source_id, s_suppkey % 50 as priority, case when s_suppkey % 5 <> 0 then s_suppkey % 17 end as last, case when s_suppkey % 7 <> 0 then s_suppkey % 3 end as following, 10 + s_suppkey % 40 as seconds from supplier),
+d as (select *, coalesce(following <= 1, true) as due from s), o as (select source_id, 380 - coalesce(sum(seconds) over (order by coalesce(last, -1), priority, source_id rows between unbounded preceding and 1 preceding), 0) as remains from d where due)
+select source_id, case when not due then 'waiting' when remains >= 20 then 'running' else 'deferred' end as state from d left join o using (source_id)""")
+def due_in_order(spark, sf):
+    """Due sources, longest left alone first, as long as the run's time lasts."""
+    at = "timestamp_ntz '2026-09-14 00:00:00' + make_dt_interval(cast({} as int))"
+    sources = V.table(spark, sf, "supplier").selectExpr("s_suppkey as source_id", "s_suppkey % 50 as priority", f"if(s_suppkey % 5 = 0, null, {at.format('s_suppkey % 17')}) as last_attempt", f"if(s_suppkey % 7 = 0, null, {at.format('s_suppkey % 3')}) as next_attempt", "10 + s_suppkey % 40 as seconds")
+    return I.due_sources(sources, F.expr("timestamp_ntz '2026-09-15 00:00:00'"))
+
+
+@query(f"""with {_A}, i as (select *, id % 6 as c, attendance in ('online', 'hybrid') and id % 5 <> 0 as net, case when id % 9 <> 0 then start_at end as first, case when id % 7 = 0 then title || ' in Shenzhen' else title end as head, repeat('s', 20 + id % 40) as lead from activity),
+p as (select *, case c when 0 then '深圳' when 1 then '广州' when 2 then '外市' else '待确认' end as seen, id % 8 < 2 as national, id % 8 = 2 as strict, id % 8 = 3 as structured from i),
+q as (select *, case when net then '深圳' else seen end as place, not net and seen = '待确认' and national as reviewed from p),
+r as (select *, case when place not in ('深圳', '待确认') then 'other_city' when place = '待确认' and (strict or structured or (national and id % 7 <> 0)) then 'city_unsure' when not reviewed and coalesce(end_at, first) < timestamp '1996-01-01' - interval 45 days then 'past'
+  when (reviewed or first is null) and length(lead) < 40 and id % 10 <> 0 then 'short_lead' when id % 13 = 0 then 'no_title_or_link' end as reject from q)
+select id, case when reject is null then case when net then case c when 0 then '深圳' when 1 then '广州' else '线上' end else '深圳' end end as city, case when reviewed then 'needs_review' else status end as admitted_status, reject, reviewed or first is null as undated from r""")
+def admitted_items(spark, sf):
+    """What a run admits by city, source, age and substance, with the first reason against each row."""
+    rows = V.activity(spark, sf).withColumn("c", F.expr("id % 6"))
+    items = rows.select(
+        "id", F.expr("if(id % 7 = 0, concat(title, ' in Shenzhen'), title)").alias("title"), F.expr("repeat('s', cast(20 + id % 40 as int))").alias("summary"), F.expr("if(c = 2, 'Kowloon Bay', '')").alias("place"), F.expr("case c when 0 then '深圳' when 1 then '广州' else '' end").alias("stated_city"), F.expr("if(id % 13 = 0, 'x', 'https://e.example.com/')").alias("url"),
+        "attendance", F.expr("if(id % 9 = 0, null, start_at)").alias("start"), F.col("end_at").alias("end"), "status", F.expr("id % 5 <> 0").alias("allow_online"), F.lit("").alias("city_scope"), F.expr("id % 8 < 2").alias("national"), F.expr("id % 8 = 2").alias("strict"), F.expr("id % 8 = 3").alias("structured"), F.expr("id % 10 = 0").alias("detail_candidate"),
+    )
+    return I.admitted(items, F.expr("timestamp_ntz '1996-01-01 00:00:00'")).select("id", "city", "admitted_status", "reject", F.col("start").isNull().alias("undated"))
+
+
+@query("""with c as (select c_custkey as id, c_custkey % 6 as k, c_custkey % 300 as n from customer)
+select id, case k when 0 then '南山' when 1 then '宝安' when 2 then '福田' when 3 then '龙岗' else '' end as district, case k when 0 then 'text' when 1 then 'text' when 2 then 'geocode' when 5 then 'skip' else 'poi' end as method, case k when 4 then 'not_found' when 5 then 'skipped' else 'ok' end as outcome from c""")
+def resolved_districts(spark, sf):
+    """Districts by a place's own words, then one gazetteer district, then ranked places."""
+    rows = V.table(spark, sf, "customer").selectExpr("c_custkey as id", "c_custkey % 6 as k", "concat('会馆', c_custkey % 300, '号楼') as hall").selectExpr("id", "k", "hall", "case k when 0 then concat('深圳市南山区', hall) when 1 then concat(hall, ' near Bao An') when 5 then concat('香港', hall) else concat('深圳 / ', hall) end as place")
+    halls = rows.select("hall", "k").distinct()
+    geocodes = halls.where("k in (2, 3)").selectExpr("hall as query", "explode(if(k = 2, array('福田区'), array('福田区', '南山区'))) as district", "'440304' as adcode")
+    places = halls.where("k = 3").selectExpr("hall as query", "hall as name", "'' as address", "'龙岗' as district")
+    return I.resolved_districts(rows.select("id", "place"), geocodes, places)
+
+
+@query(f"""with {_A}, d as (select *, {_DAY} as day from activity) select id as page_id, '第二十届光博会（' || year(day) || '）' as title, strftime(day, '%Y-%m-%d') as start, strftime(day + 3, '%Y-%m-%d') as stop from d where id % 5 <> 0 and day(day) <= 20""")
+def announcements(spark, sf):
+    """The one sentence of a page that announces an edition, its days and its place."""
+    told = f"concat('第二十届光博会（CIOE）将于', date_format({_ON}, 'yyyy年M月d'), if(day({_ON}) > 20, '', concat('-', day({_ON}) + 2)), '日在', if(id % 5 = 0, '别处', '会展中心'), '举办')"
+    pages = V.activity(spark, sf).select(F.col("id").alias("page_id"), F.expr(f"concat('<nav>他将于明日来</nav><div><p>', title, '。<b>', {told}, '</b>。</p></div>')").alias("html"))
+    return N.announcements(pages, "光博会", "CIOE", "会展中心").select("page_id", "title", _day_text("start", "start"), _day_text("end", "stop"))
+
+
+@query(f"""with {_A}, d as (select *, {_DAY} as day from activity) select id as page_id, title, 'https://e.example.com/' || id as link, strftime(day, '%Y-%m-%d') as start, strftime(day + 1 + cast(id % 3 as integer), '%Y-%m-%d') as stop, case when id % 2 = 0 then 'ConferenceEvent' else 'CourseInstance' end as kind,
+case id % 4 when 1 then '线上' else district end as place, attendance, ['Python', 'Hardware / IoT', 'Poetry'][id % 3 + 1] as category, ['软件开发', '硬件创客', ''][id % 3 + 1] as topics from d where id % 4 in (1, 2) and id % 7 <> 0 and id % 11 <> 0""")
+def developer_rows(spark, sf):
+    """Rows that declare activities had online, with the topics of their category."""
+    text = "concat(element_at(array('Python', 'Hardware / IoT', 'Poetry'), cast(id % 3 as int) + 1), if(id % 2 = 0, ' conference', ' masterclass'), ' in Shenzhen')"
+    mode = "element_at(array('Offline', 'Online', 'Mixed', 'Unknown'), cast(id % 4 as int) + 1)"
+    page = f"""concat('<div class="x row', if(id % 7 = 0, ' featured', ''), '"><time>t</time><script type="application/ld+json">{{"eventAttendanceMode": "https://schema.org/', {mode}, 'EventAttendanceMode", "name": "', title, '", "url": "https://e.example.com/', id, '?utm_medium=x", "location": {{"name": "', district, '"}},
+      "description": "', {text}, '", "startDate": "', date_format({_ON}, 'yyyy-MM-dd'), '", "endDate": "', date_format(date_add({_ON}, if(id % 11 = 0, -1, cast(id % 3 as int))), 'yyyy-MM-dd'), 'T10:00"}}</script></div>')"""
+    found = N.developer_rows(V.activity(spark, sf).select(F.col("id").alias("page_id"), F.expr(page).alias("html")))
+    return found.select("page_id", "title", "link", _day_text("start", "start"), _day_text("end", "stop"), "kind", "place", "attendance", "category", F.array_join("topics", ",").alias("topics"))
