@@ -158,3 +158,34 @@ def developer_rows(spark, sf):
       "description": "', {text}, '", "startDate": "', date_format({_ON}, 'yyyy-MM-dd'), '", "endDate": "', date_format(date_add({_ON}, if(id % 11 = 0, -1, cast(id % 3 as int))), 'yyyy-MM-dd'), 'T10:00"}}</script></div>')"""
     found = N.developer_rows(V.activity(spark, sf).select(F.col("id").alias("page_id"), F.expr(page).alias("html")))
     return found.select("page_id", "title", "link", _day_text("start", "start"), _day_text("end", "stop"), "kind", "place", "attendance", "category", F.array_join("topics", ",").alias("topics"))
+
+
+@query(f"""with {_A}, f as (select *, id % 4 <> 2 as was, id % 4 <> 3 as new, case when id % 5 = 0 then '南山' else '待确认' end as d from activity),
+t as (select *, new and (not was or (id % 7 <> 0 and 25 <= origin_priority)) as takes, new and was and 25 <= origin_priority as ranks from f)
+select id, case when takes then 'new ' || title else title end as title, case when takes and id % 3 = 0 then 'moved' else district end as place, case when takes and (not was or id % 3 = 0) then '待确认' else d end as district,
+  case when not (takes or ranks) or (was and id % 2 = 0 and event_type_state = 'source') then event_type when id % 2 = 0 then 'Event' else 'MusicEvent' end as event_type,
+  case when not takes then status when was and id % 8 < 4 and status = 'cancelled' and id % 9 <> 0 then 'cancelled' when was and id % 6 = 0 then 'needs_review' else 'scheduled' end as status,
+  case when takes then 25 else origin_priority end as origin_priority, case when not was then 'inserted' when not new then 'absent' when takes then 'replaced' when ranks then 'typed' else 'seen' end as outcome, not was as first_seen_now from t""")
+def sticky_ingest(spark, sf):
+    """M1: rows of a run put in, with what sticks: district, type, hold, cancellation and first sight."""
+    rows = V.activity(spark, sf).withColumnsRenamed({"start_at": "start", "end_at": "end", "district": "place"})
+    then = F.expr("timestamp_ntz '2026-01-01 00:00:00'")
+    stored = rows.where("id % 4 <> 2").select("id", "title", "start", "end", "place", F.expr("if(id % 5 = 0, '南山', '待确认')").alias("district"), "event_type", "event_type_state", "status", F.expr("id % 6 = 0").alias("hold"), "origin_priority", F.lit("h").alias("content_hash"), then.alias("first_seen"), then.alias("last_seen"), F.lit("done").alias("ai_state"))
+    new = rows.where("id % 4 <> 3").select("id", F.expr("concat('new ', title)").alias("title"), "start", "end", F.expr("if(id % 3 = 0, 'moved', place)").alias("place"), F.lit("待确认").alias("district"), F.expr("if(id % 2 = 0, 'Event', 'MusicEvent')").alias("event_type"), F.lit("source").alias("event_type_state"), F.lit("scheduled").alias("status"),
+                                           F.expr("if(id % 7 = 0 and id % 4 <> 2, 'h', 'n')").alias("content_hash"), F.lit(25).alias("priority"), F.expr("id % 8 < 4").alias("gated"), F.expr("id % 9 = 0").alias("reinstated"))
+    out = I.ingested(stored, new, F.expr("timestamp_ntz '2026-09-14 00:00:00'"))
+    return out.select("id", "title", "place", "district", "event_type", "status", "origin_priority", "outcome", (F.month("first_seen") == 9).alias("first_seen_now"))
+
+
+@query(f"""with {_A}, e as (select * from activity where status = 'scheduled' and id % 3 <> 0),
+t as (select 1 as part, cast(id as varchar) as id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id || '@fairground', 'DTSTAMP:20260901T000000Z', 'LAST-MODIFIED:20260901T000000Z',
+  'DTSTART' || case when all_day then strftime(start_at, ';VALUE=DATE:%Y%m%d') else strftime(start_at, ';TZID=Asia/Shanghai:%Y%m%dT%H%M%S') end, case when all_day then strftime(coalesce(end_at, start_at + interval 1 day), 'DTEND;VALUE=DATE:%Y%m%d') when end_at is not null then strftime(end_at, 'DTEND;TZID=Asia/Shanghai:%Y%m%dT%H%M%S') end,
+  'SUMMARY:' || title || '\\, x\\; y', 'LOCATION:' || district, 'DESCRIPTION:费用：' || case when cost_free then '免费' else '费用未注明' end || '\\n以主办方最新说明为准。\\n' || organizer || ': https://o.example.com/', case when id % 2 = 0 then 'URL:https://e.example.com/' || id end, 'STATUS:CONFIRMED', 'END:VEVENT') as text from e)
+select * from t union all select 0, null, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//fairground//activities//ZH-CN', 'X-WR-CALNAME:saved', 'X-WR-TIMEZONE:Asia/Shanghai') union all select 2, null, 'END:VCALENDAR'""")
+def calendar_lines(spark, sf):
+    """K2: a whole calendar, its lines unfolded again for the comparison."""
+    rows = V.activity(spark, sf).select(
+        "id", F.expr("concat(title, ', x; y')").alias("title"), F.lit(None).cast("string").alias("summary"), F.col("district").alias("place"), F.expr("if(id % 2 = 0, concat(' https://e.example.com/', id), 'none')").alias("url"), F.expr("if(cost_free, '免费', null)").alias("cost_text"), F.col("start_at").alias("start"), F.col("end_at").alias("end"),
+        "all_day", "status", F.expr("id % 3 <> 0").alias("planning_eligible"), F.expr("timestamp_ntz '2026-09-01 00:00:00'").alias("last_seen"), F.expr("array(struct(organizer as name, 'https://o.example.com/' as url))").alias("sources"),
+    )
+    return I.calendar_lines(rows, "saved").select("part", "id", F.replace("text", F.lit("\r\n "), F.lit("")).alias("text"))

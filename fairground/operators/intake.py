@@ -108,3 +108,73 @@ def resolved_districts(rows: DataFrame, geocodes: DataFrame, places: DataFrame)
     outcome = F.when(F.col("direct") != "", "ok").when(F.col("query") == "", "skipped").when(F.col("district").isNotNull(), "ok").otherwise("not_found")
     method = F.when(F.col("direct") != "", "text").when(F.col("query") == "", "skip").otherwise(F.coalesce("method", F.lit("poi")))
     return found.select("id", F.when(F.col("direct") != "", F.col("direct")).otherwise(F.coalesce("district", F.lit(""))).alias("district"), method.alias("method"), outcome.alias("outcome"))
+
+
+def ingested(stored: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """(id, title, start, end, place, district, event_type, event_type_state, status, hold, origin_priority, content_hash, first_seen, last_seen, ai_state, outcome): ``stored`` after a run.
+
+    stored has these columns but the outcome; new has (id, title, start, end, place, district, event_type, event_type_state, status,
+    content_hash, priority, gated, reinstated).  A row is inserted if its id is new, replaced if it has changed and its source ranks
+    at least as high, else given its source's type alone if that ranks as high, else only seen.  What was known sticks: first_seen;
+    the district while the place stays; a stated type against a bare one; a hold, which keeps the row in review; and, of gated
+    sources, a cancellation until a reinstatement.  Of several new rows of an id the highest ranked, then the last by content, counts.
+    """
+    known = ["title", "start", "end", "place", "district", "event_type", "event_type_state", "status"]
+    one = new.groupBy("id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in new.columns)), F.struct("priority", F.xxhash64("content_hash", "title", "status"))).alias("n")).select("n.*")
+    was, is_new = stored.withColumn("__held", F.lit(True)).alias("was"), one.withColumn("__here", F.lit(True)).alias("now")
+    rows = was.join(is_new, F.col("was.id") == F.col("now.id"), "full_outer")
+    old, fresh = (lambda c: F.col(f"was.{c}")), (lambda c: F.col(f"now.{c}"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    first, absent = old("__held").isNull(), fresh("__here").isNull()
+    ranks = yes(fresh("priority") <= old("origin_priority"))
+    changed = ~fresh("content_hash").eqNullSafe(old("content_hash"))
+    district = F.when(~first & old("place").eqNullSafe(fresh("place")) & (fresh("district") == UNSURE), old("district")).otherwise(fresh("district"))
+    bare = ~first & yes(fresh("event_type") == "Event") & yes(old("event_type_state").isin("source", "ai"))
+    kind, state = (F.when(bare, old(c)).otherwise(fresh(c)) for c in ("event_type", "event_type_state"))
+    off = yes(fresh("gated")) & (yes(fresh("status") == "cancelled") | (yes(old("status") == "cancelled") & ~yes(fresh("reinstated"))))
+    status = F.when(off, "cancelled").when(yes(old("hold")), "needs_review").otherwise(fresh("status"))
+    takes = first | (~absent & changed & ranks)
+    typed = ~takes & ~absent & ranks & yes(state == "source")
+    made = {**{c: fresh(c) for c in known}, "district": district, "event_type": kind, "event_type_state": state, "status": status}
+    out = {c: F.when(takes, v).otherwise(old(c)) for c, v in made.items()}
+    out["event_type"] = F.when(takes | typed, kind).otherwise(old("event_type"))
+    out["event_type_state"] = F.when(takes | typed, state).otherwise(old("event_type_state"))
+    out |= {
+        "hold": yes(old("hold")), "origin_priority": F.when(takes, fresh("priority")).otherwise(old("origin_priority")), "content_hash": F.when(absent, old("content_hash")).otherwise(fresh("content_hash")),
+        "first_seen": F.coalesce(old("first_seen"), now), "last_seen": F.when(absent, old("last_seen")).otherwise(now), "ai_state": F.when(takes, F.when(yes(old("hold")), "review").otherwise("pending")).otherwise(old("ai_state")),
+        "outcome": F.when(first, "inserted").when(absent, "absent").when(takes, "replaced").when(typed, "typed").otherwise("seen"),
+    }
+    return rows.select(F.coalesce("was.id", "now.id").alias("id"), *(v.alias(c) for c, v in out.items()))
+
+
+def folded(line: Column) -> Column:
+    """A line of a calendar in lines of at most 75 bytes, each but the first begun by a blank; no character is split."""
+    return F.regexp_replace(line, F.when(line.rlike(r"[^\x00-\x7F]"), r"(.{18})(?=.)").otherwise(r"(.{74})(?=.)"), F.lit("$1\r\n "))
+
+
+def calendar_lines(rows: DataFrame, name: str) -> DataFrame:
+    """(part, id, text): a calendar of (id, title, summary, place, url, cost_text, start, end, all_day, status, planning_eligible, last_seen, sources), to be written in order of part and id.
+
+    Only scheduled activities that may be planned and have a start are in it.  Days end exclusively, by default after one day; a
+    clock's end is given only if it is known.  An address that is none is left out.  ``last_seen`` is a time in UTC, ``sources`` an
+    array of struct(name, url); the times are local.  Texts are escaped and lines folded.  An empty table is an empty calendar.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"([\\;,])", r"\\$1"), r"\r?\n", r"\\n")
+    day = lambda c: F.concat(F.lit(";VALUE=DATE:"), F.date_format(c, "yyyyMMdd"))
+    clock = lambda c: F.concat(F.lit(";TZID=Asia/Shanghai:"), F.date_format(c, "yyyyMMdd'T'HHmmss"))
+    stamp = F.date_format("last_seen", "yyyyMMdd'T'HHmmss'Z'")
+    whole = F.coalesce("all_day", F.lit(False))
+    end = F.when(whole, day(F.coalesce(F.col("end").cast("date"), F.date_add(F.col("start").cast("date"), 1)))).otherwise(clock(F.col("end")))
+    told = F.array_join(F.transform(F.coalesce("sources", F.array().cast("array<struct<name string,url string>>")), lambda s: F.concat_ws(": ", s["name"], s["url"])), "\n")
+    about = F.btrim(F.concat(F.coalesce("summary", F.lit("")), F.lit("\n\n费用："), F.coalesce("cost_text", F.lit("费用未注明")), F.lit("\n以主办方最新说明为准。\n"), told), F.lit(" \n\r\t"))
+    tagged = lambda tag, value: F.concat(F.lit(tag), value)
+    address = F.when(X.canon_url(F.col("url")) != "", F.trim("url"))
+    lines = [
+        F.lit("BEGIN:VEVENT"), tagged("UID:", F.concat(F.col("id").cast("string"), F.lit("@fairground"))), tagged("DTSTAMP:", stamp), tagged("LAST-MODIFIED:", stamp), tagged("DTSTART", F.when(whole, day(F.col("start"))).otherwise(clock(F.col("start")))), tagged("DTEND", end),
+        tagged("SUMMARY:", plain(F.col("title"))), tagged("LOCATION:", plain(F.col("place"))), tagged("DESCRIPTION:", plain(about)), tagged("URL:", address), F.lit("STATUS:CONFIRMED"), F.lit("END:VEVENT"),
+    ]
+    kept = rows.where("start is not null and planning_eligible and status = 'scheduled'")
+    events = kept.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("id"), F.array_join(F.transform(F.array_compact(F.array(*lines)), folded), "\r\n").alias("text"))
+    head = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//fairground//activities//ZH-CN", f"X-WR-CALNAME:{name}", "X-WR-TIMEZONE:Asia/Shanghai"]
+    ends = rows.sparkSession.createDataFrame([(0, None, "\r\n".join(head)), (2, None, "END:VCALENDAR")], events.schema)
+    return ends.union(events)

@@ -37,7 +37,8 @@ def announcements(pages: DataFrame, name: str, known_as: str, place: str) -> Dat
         bare = F.regexp_replace(before, rf"[（(]\Q{known_as}\E[）)]$", "")
         title = F.when(bare != before, F.regexp_extract(bare, rf"第[零一二三四五六七八九十百]+届\Q{name}\E$", 0))
         days, rest = F.substring_index(after, HELD_AT, 1), F.substring(after, F.instr(after, HELD_AT) + 2, len(place) + 2)
-        span = F.when(days.rlike(r"^20\d{2}年\d{1,2}月\d{1,2}\D\d{1,2}$"), G.explicit_range(F.concat(days, F.lit("日"))))
+        numbers = F.regexp_extract_all(F.regexp_extract(days, r"^20\d{2}年\d{1,2}月\d{1,2}[-—–~至]\d{1,2}$", 0), F.lit(r"\d+"), F.lit(0))
+        span = X.let(X.let(numbers, lambda n: F.struct(*(G.day(*(F.get(n, F.lit(k)) for k in (0, 1, day))).alias(name) for name, day in (("start", 2), ("last", 3))))), lambda d: F.when(d["last"] >= d["start"], F.struct(d["start"].alias("start"), F.date_add(d["last"], 1).alias("end"))))
         return F.when((title != "") & (rest == place + "举办"), F.struct(title.alias("title"), F.substring(days, 1, 4).alias("year"), span.alias("span"), F.concat(title, F.right(before, F.lit(len(known_as) + 2)), F.lit(HELD_FROM), days, F.lit(HELD_AT), rest).alias("evidence")))
 
     found = F.filter(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, k: read(p, F.get(parts, k + 1))), lambda r: r["span"].isNotNull())

@@ -121,3 +121,55 @@ def test_developer_rows(spark):
         (1, "PyDay", "https://e.example.com/1", D(2026, 9, 14), D(2026, 9, 15), "CourseInstance", "Hall", "hybrid", "AI", [], "Sep 14"),
         (3, "PyDay", "https://e.example.com/1", D(2026, 9, 14), D(2026, 9, 16), "ConferenceEvent", "线上", "online", "Python", ["软件开发"], "Sep 14"),
     ]
+
+
+def test_what_was_known_sticks(spark):
+    rng = random.Random(5)
+    names = ["title", "start", "end", "place", "district", "event_type", "event_type_state", "status"]
+    pick = lambda: {"title": rng.choice("ab"), "start": None, "end": None, "place": rng.choice(["p", "q", None]), "district": rng.choice(["待确认", "南山", "福田"]), "event_type": rng.choice(["Event", "MusicEvent"]), "event_type_state": rng.choice(["source", "ai", "pending"]), "status": rng.choice(["scheduled", "cancelled", "needs_review"]), "content_hash": rng.choice("xyz")}
+    stored = [{"id": k, **pick(), "hold": rng.choice([True, False, None]), "origin_priority": rng.randrange(4), "first_seen": T(2026, 1, 1), "last_seen": T(2026, 1, 2), "ai_state": "done"} for k in range(300)]
+    new = [{"id": k, **pick(), "priority": rng.randrange(4), "gated": rng.choice([True, False, None]), "reinstated": rng.choice([True, False, None])} for k in range(100, 400)]
+    kind = "id int, title string, start timestamp_ntz, end timestamp_ntz, place string, district string, event_type string, event_type_state string, status string, content_hash string"
+    now, want, held = T(2026, 9, 14), {}, {r["id"]: r for r in stored}
+    for k in range(400):
+        old, e = held.get(k), dict(new[k - 100]) if k >= 100 else None
+        if e is None:
+            want[k] = {**old, "hold": bool(old["hold"]), "outcome": "absent"}
+            continue
+        if old:
+            if old["place"] == e["place"] and e["district"] == "待确认":
+                e["district"] = old["district"]
+            if e["event_type"] == "Event" and old["event_type_state"] in ("source", "ai"):
+                e["event_type"], e["event_type_state"] = old["event_type"], old["event_type_state"]
+            if e["gated"] and old["status"] == "cancelled" and not e["reinstated"]:
+                e["status"] = "cancelled"
+            if old["hold"]:
+                e["status"] = "cancelled" if e["gated"] and e["status"] == "cancelled" else "needs_review"
+        ranks = bool(old) and e["priority"] <= old["origin_priority"]
+        if not old or (ranks and e["content_hash"] != old["content_hash"]):
+            row = {n: e[n] for n in names} | {"hold": bool(old and old["hold"]), "origin_priority": e["priority"], "first_seen": old["first_seen"] if old else now, "ai_state": "review" if old and old["hold"] else "pending", "outcome": "replaced" if old else "inserted"}
+        else:
+            row = {**old, "hold": bool(old["hold"]), "outcome": "seen"}
+            if ranks and e["event_type_state"] == "source":
+                row |= {"event_type": e["event_type"], "event_type_state": "source", "outcome": "typed"}
+        want[k] = row | {"id": k, "last_seen": now, "content_hash": e["content_hash"]}
+    frames = [spark.createDataFrame([tuple(r.values()) for r in rows], f"{kind}, {more}") for rows, more in ((stored, "hold boolean, origin_priority int, first_seen timestamp_ntz, last_seen timestamp_ntz, ai_state string"), (new, "priority int, gated boolean, reinstated boolean"))]
+    got = {r.id: r.asDict() for r in I.ingested(frames[0], frames[1].union(frames[1]), F.lit(now)).collect()}
+    assert got == want and {r["outcome"] for r in got.values()} == {"inserted", "replaced", "typed", "seen", "absent"}
+
+
+def test_calendars(spark):
+    day = (T(2026, 9, 14), None, True)
+    rows = [
+        (1, "A, B; C\\", "s\nt", "厅" * 30, "https://e/1", None, *day, "scheduled", True, T(2026, 9, 1, 8), [("n", "https://n/")]), (2, "x" * 200, None, None, "no address", "免费", T(2026, 9, 14, 9), None, False, "scheduled", True, T(2026, 9, 1), None),
+        (3, "T", "", "", "", "", T(2026, 9, 14, 9), T(2026, 9, 14, 10), False, "scheduled", True, T(2026, 9, 1), []), (4, "held", "", "", "", "", *day, "scheduled", False, T(2026, 9, 1), []), (5, "off", "", "", "", "", *day, "cancelled", True, T(2026, 9, 1), []), (6, "undated", "", "", "", "", None, None, True, "scheduled", True, T(2026, 9, 1), []),
+    ]
+    frame = spark.createDataFrame(rows, "id int, title string, summary string, place string, url string, cost_text string, start timestamp_ntz, end timestamp_ntz, all_day boolean, status string, planning_eligible boolean, last_seen timestamp_ntz, sources array<struct<name string,url string>>")
+    texts = [r.text for r in I.calendar_lines(frame, "all").orderBy("part", "id").collect()]
+    whole = "\r\n".join(texts)
+    assert all(len(line.encode()) <= 75 for line in whole.split("\r\n")) and len(texts) == 5 and "\n" not in whole.replace("\r\n", "")
+    events = [dict(line.split(":", 1) for line in t.replace("\r\n ", "").split("\r\n")) for t in texts[1:4]]
+    assert events[0] == {"BEGIN": "VEVENT", "UID": "1@fairground", "DTSTAMP": "20260901T080000Z", "LAST-MODIFIED": "20260901T080000Z", "DTSTART;VALUE=DATE": "20260914", "DTEND;VALUE=DATE": "20260915", "SUMMARY": "A\\, B\\; C\\\\", "LOCATION": "厅" * 30, "DESCRIPTION": "s\\nt\\n\\n费用：费用未注明\\n以主办方最新说明为准。\\nn: https://n/", "URL": "https://e/1", "STATUS": "CONFIRMED", "END": "VEVENT"}
+    assert events[1]["SUMMARY"] == "x" * 200 and "URL" not in events[1] and not any(k.startswith("DTEND") for k in events[1]) and events[2]["DTEND;TZID=Asia/Shanghai"] == "20260914T100000"
+    assert [e["DESCRIPTION"] for e in events[1:]] == ["费用：免费\\n以主办方最新说明为准。", "费用：\\n以主办方最新说明为准。"]
+    assert [r.text[:9] for r in I.calendar_lines(frame.where("false"), "all").orderBy("part").collect()] == ["BEGIN:VCA", "END:VCALE"]
