@@ -342,7 +342,8 @@ def resolve_guards(spark, sf):
 select sha256(source_id || alias || proof) as binding_id, source_id, alias, canonical, proof from b where source_id % 5 <> 0""")
 def append_bindings(spark, sf):
     """Evidence for the address asked for and the final one, if it isn't there yet."""
-    rows = V.table(spark, sf, "part").join(V.table(spark, sf, "supplier"), F.expr("p_partkey % 100 = s_suppkey % 100")).selectExpr("s_nationkey as source_id", "concat(if(p_partkey % 3 = 0, 'f', 'r'), p_partkey % 300) as requested", "concat('f', p_partkey % 300) as final", "concat('proof ', p_partkey % 7) as proof")
+    asked = V.table(spark, sf, "part").selectExpr("p_partkey % 100 as k", "concat(if(p_partkey % 3 = 0, 'f', 'r'), p_partkey % 300) as requested", "concat('f', p_partkey % 300) as final", "concat('proof ', p_partkey % 7) as proof").distinct()
+    rows = asked.join(V.table(spark, sf, "supplier").selectExpr("s_suppkey % 100 as k", "s_nationkey as source_id").distinct(), "k").drop("k")
     none = rows.limit(0).selectExpr("'' as binding_id")
     known = M.bindings(rows.where("source_id % 5 = 0"), none)
     return M.bindings(rows, known)

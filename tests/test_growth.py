@@ -21,6 +21,19 @@ def copied(spark, tmp_path, n: int, names=STEP) -> str:
     return str(tmp_path / f"{n}")
 
 
+def test_bindings_meet_once(spark, tmp_path, monkeypatch):
+    met, plain = [], merges.bindings
+
+    def counted(rows, known):
+        met.append(rows.count())
+        return plain(rows, known)
+
+    monkeypatch.setattr(merges, "bindings", counted)
+    found = [{tuple(r) for r in queries.QUERIES["append_bindings"](spark, sf).collect()} for sf in (SF, copied(spark, tmp_path, 4))]
+    assert found[0] == found[1] and len(found[0]) > 20
+    assert met[:2] == met[2:]
+
+
 def test_aliases_of_one_class_are_decided_once(spark, tmp_path, monkeypatch):
     hits, plain = [], aliases.class_hits
 
