@@ -57,3 +57,20 @@ def test_an_alias_of_several_addresses(spark):
     got = aliases.reconcile(acts, links, asked, owned, spark.createDataFrame([], "id int"))
     assert {tuple(r) for r in got.collect()} == {("p", 1, 2, "merged"), ("p", 2, 2, "kept"), ("q", 1, 3, "merged"), ("q", 2, 3, "merged"), ("q", 3, 3, "kept")}
     assert {(r.id, r.title) for r in aliases.override(acts, links, asked).select("id", "title").collect()} == {(1, "Alias q"), (2, "Alias q"), (3, "Alias r")}
+
+
+def test_only_rows_of_one_district_meet(spark):
+    """Rows of a date are compared within their districts; those of unknown ones with all."""
+    from fairground.operators import evidence
+
+    rows = spark.range(3000).selectExpr("id", "timestamp_ntz '2026-01-01 10:00:00' as start_at", "true as all_day", "concat('Evening concert of the orchestra ', lpad(conv(id * 7919 % 3000, 10, 36), 3, '0')) as title", "if(id % 500 = 7, null, concat('d', id % 20)) as district")
+    pairs = evidence.duplicate_pairs(rows)
+    tested = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "district" in [c for line in tested.splitlines() if "Join Inner" in line for c in line.replace("#", " ").replace("(", " ").split()]
+    data = rows.collect()
+    from fairground.functions.text import common
+
+    norm = {r.id: "".join(c for c in r.title.lower() if c.isalnum()) for r in data}
+    some = [r for r in data if r.id < 400]
+    want = {(x.id, y.id) for x in some for y in some if x.id < y.id and (x.district is None or y.district is None or x.district == y.district) and 200 * common(norm[x.id], norm[y.id]) >= 93 * (len(norm[x.id]) + len(norm[y.id]))}
+    assert {(r.a, r.b) for r in pairs.where("a < 400 and b < 400").collect()} == want and any(7 in p for p in want)
