@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,6 +161,21 @@ class Where:
         return here is not None and here.startswith(self.begins) and self.value in (None, here)
 
 
+#: Bytes of html that are read before their records leave the worker; one page may have more.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(sizes: list[int | None]) -> list[int]:
+    """Where the slices of a batch end: of pages that have ``SLICE_BYTES`` at most, or of one page."""
+    ends, held = [], 0
+    for n, size in enumerate(sizes):
+        if n and held + (size or 0) > SLICE_BYTES:
+            ends.append(n)
+            held = 0
+        held += size or 0
+    return [*ends, len(sizes)] if sizes else []
+
+
 def read_pages(pages: DataFrame, read: Callable[..., list[dict]], added: str, *arguments: str) -> DataFrame:
     """``pages`` but their html, with the columns ``added`` of each record that ``read`` makes of a page and the columns ``arguments``."""
     keep = [f for f in pages.schema.fields if f.name != "html"]
@@ -169,12 +185,15 @@ def read_pages(pages: DataFrame, read: Callable[..., list[dict]], added: str, *a
     def scan(batches):
         for rows in batches:
             value = lambda name: rows.column(rows.schema.get_field_index(name))
-            found = [read(Page(h), *a) for h, *a in zip(*(value(c).to_pylist() for c in ("html", *arguments)), strict=True)]
-            at = pa.array([k for k, records in enumerate(found) for _ in records], pa.int64())
-            made = pa.Table.from_pylist([r for records in found for r in records], schema).combine_chunks()
-            kept = [value(f.name).take(at) for f in keep]
-            columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in made.columns]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*(f.name for f in keep), *schema.names])
+            ends = _slices(pc.binary_length(value("html").cast(pa.large_string())).to_pylist())
+            for begin, end in zip([0, *ends], ends, strict=False):
+                part = lambda name: value(name).slice(begin, end - begin)  # noqa: B023, E731
+                found = [read(Page(h), *a) for h, *a in zip(*(part(c).to_pylist() for c in ("html", *arguments)), strict=True)]
+                at = pa.array([k for k, records in enumerate(found) for _ in records], pa.int64())
+                made = pa.Table.from_pylist([r for records in found for r in records], schema).combine_chunks()
+                kept = [part(f.name).take(at) for f in keep]
+                columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in made.columns]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*(f.name for f in keep), *schema.names])
 
     return pages.mapInArrow(scan, T.StructType([*keep, *more.fields]))
 

@@ -74,3 +74,14 @@ def test_only_rows_of_one_district_meet(spark):
     some = [r for r in data if r.id < 400]
     want = {(x.id, y.id) for x in some for y in some if x.id < y.id and (x.district is None or y.district is None or x.district == y.district) and 200 * common(norm[x.id], norm[y.id]) >= 93 * (len(norm[x.id]) + len(norm[y.id]))}
     assert {(r.a, r.b) for r in pairs.where("a < 400 and b < 400").collect()} == want and any(7 in p for p in want)
+
+
+def test_pages_leave_in_slices():
+    """However many pages a batch has, only so many bytes of them are held as records at a time."""
+    from fairground.sources import elements
+
+    sizes = [400_000] * 5 + [None, 3_000_000, 10, 0, 1_000_000]
+    ends = elements._slices(sizes)
+    parts = [sizes[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    assert sum(parts, []) == sizes and len(parts) == 5 and all(len(p) == 1 or sum(x or 0 for x in p) <= elements.SLICE_BYTES for p in parts)
+    assert elements._slices([]) == []
