@@ -71,7 +71,8 @@ def blocks(pages: DataFrame) -> DataFrame:
         value(r"场\s*馆").alias("venue"), value("开展时间").alias("when"), value("主/承办单位").alias("organizer"),
     )
     joined = F.aggregate("names", F.array().cast("array<string>"), lambda done, n: F.when((F.size(done) == 0) | n["line"].rlike("[\u3400-\u9fff]"), F.array_append(done, n["line"])).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" / "), n["line"])))))
-    rows = found.withColumn("range", G.explicit_range(F.col("when"), F.col("year"))).where("venue is not null and range is not null").select("*", F.explode(joined).alias("title")).where("length(title) > 1")
+    # Conditions in the explode, not in a filter, which would read each date twice.
+    rows = found.withColumn("range", G.explicit_range(F.col("when"), F.col("year"))).select("*", F.explode(F.when(F.col("venue").isNotNull() & F.col("range").isNotNull(), joined)).alias("title")).where("length(title) > 1")
     key = F.substring(F.sha2(F.concat_ws("|", "title", F.col("range.start").cast("string"), "venue"), 256), 1, 20)
     return rows.select("page_id", "block", "title", "venue", F.coalesce("organizer", F.lit("")).alias("organizer"), F.col("range.start").alias("start"), F.col("range.end").alias("end"), key.alias("record_id"))
 
