@@ -49,7 +49,7 @@ def explicit_ranges(spark, sf):
     when 2 then concat(date_format(day, 'yyyy.M.d'), if(trunc(day, 'MM') = trunc(last, 'MM'), date_format(last, '-d'), date_format(last, '~yyyy.M.d'))) when 3 then concat('即日起至', date_format(last, 'M月d日'))
     when 4 then date_format(day, 'yyyy - MM - dd') else date_format(day, 'M月d日') end""")
     r = G.explicit_range(G.without_spaces(wrote), F.expr("if(id % 6 = 1, year(day), null)"))
-    return _written(spark, sf).select("id", r.alias("r")).where("r is not null").select("id", _iso("r.start", "start"), _iso("r.end", "stop"))
+    return _written(spark, sf).select("id", F.explode(F.array_compact(F.array(r))).alias("r")).select("id", _iso("r.start", "start"), _iso("r.end", "stop"))
 
 
 @query(f"with {_W}, c as (select id, day, id % 24 * 60 + id % 60 as a, (id * 7 + 3) % 24 * 60 + 30 as b from w) select id, strftime(cast(day as timestamp) + to_minutes(cast(a as integer)), '%Y-%m-%d %H:%M') as start, strftime(cast(day as timestamp) + to_minutes(cast(b as integer)), '%Y-%m-%d %H:%M') as stop from c where b > a")

@@ -98,3 +98,10 @@ def test_a_date_is_read_once(spark):
     assert plan.count("regexp_extract(") == 7 and plan.count("regexp_replace(") == 3 and "as int" in plan
     got = {r.k: (str(r.r.start), str(r.r.end)) for r in rows.collect() if r.r}
     assert got == {0: ("2026-12-30", "2027-01-03"), 1: ("2026-12-31", "2027-02-01"), 2: ("2026-02-28", "2026-03-02"), 5: ("2026-05-03", "2026-05-06"), 8: ("2026-03-04", "2026-03-05")}
+
+
+def test_written_ranges_are_read_once_a_row(spark):
+    """Neither a filter nor a generator reads the dates of a row, or a body, a second time."""
+    for name, regexes in (("explicit_ranges", 7), ("month_blocks", 7)):
+        assert queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == regexes, name
+    assert queries.QUERIES["posts_feed"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
