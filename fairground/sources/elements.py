@@ -34,7 +34,33 @@ SILENT = {"script", "style", "template"}
 ALIKE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 
 
+BLOCKS = ("div", "section", "article", "td", "li", "blockquote")
+#: Tags without attributes, which need no more than their name, and elements whose content the parser reads by other rules.
+_BARE, _BARE_END = re.compile("<([a-z]+[1-6]?)>"), re.compile("</([a-z]+[1-6]?)>")
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
+
+
 class _Reader(HTMLParser):
+    """Most tags are bare: they are taken as they stand, all others as the parser reads them; places of lines aren't counted."""
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j
+
+    def parse_starttag(self, i: int) -> int:
+        bare = _BARE.match(self.rawdata, i)
+        if bare is None or (tag := bare.group(1)) in _RAW:
+            return super().parse_starttag(i)
+        self.lasttag = tag
+        self.handle_starttag(tag, ())
+        return bare.end()
+
+    def parse_endtag(self, i: int) -> int:
+        bare = _BARE_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if bare is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(bare.group(1))
+        return bare.end()
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
@@ -58,14 +84,14 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
-            if self._since("p") > max(map(self._since, ("div", "section", "article", "td", "li", "blockquote")), default=-1):
+            if self._places.get("p") and self._since("p") > max(map(self._since, BLOCKS)):
                 self._close(self._since("p"))
-            if tag in ALIKE and self._since(tag) > max(map(self._since, ALIKE[tag])):
+            if tag in ALIKE and self._places.get(tag) and self._since(tag) > max(map(self._since, ALIKE[tag])):
                 self._close(self._since(tag))
             self.texts.append("\n")
-        attributes = {k: v or "" for k, v in reversed(attrs)}
+        attributes = {k: v or "" for k, v in reversed(attrs)} if attrs else {}
         n = len(self.elements)
-        self.elements.append({"pre": n, "last": n, "parent": self._open[-1] if self._open else -1, "tag": tag, "classes": attributes.get("class", "").split(), "attributes": list(attributes.items()), "begin": len(self.texts), "end": len(self.texts)})
+        self.elements.append({"pre": n, "last": n, "parent": self._open[-1] if self._open else -1, "tag": tag, "classes": attributes.get("class", "").split() if attributes else [], "attributes": attributes, "begin": len(self.texts), "end": len(self.texts)})
         if tag not in VOID:
             self._places.setdefault(tag, []).append(len(self._open))
             self._open.append(n)
@@ -109,6 +135,10 @@ class Page:
         for step in path:
             step = step if isinstance(step, tuple) else (step,)
             found, k, reach = [], 0, -1
+            if len(above) == 1:  # all that follows it, up to its last, stands in it
+                one = step[0].of if len(step) == 1 else lambda e, s=step: any(w.of(e) for w in s)
+                above = [e for e in self.elements[above[0]["pre"] + 1 : above[0]["last"] + 1] if one(e)]
+                continue
             for e in self.elements[inside["pre"] + 1 : inside["last"] + 1]:
                 while k < len(above) and above[k]["pre"] < e["pre"]:
                     reach = max(reach, above[k]["last"])
@@ -137,7 +167,7 @@ class Page:
 
 
 def attribute(e: dict | None, *names: str) -> str:
-    known = dict(e["attributes"]) if e else {}
+    known = e["attributes"] if e else {}
     return next((known[n] for n in names if known.get(n)), "")
 
 
@@ -153,11 +183,11 @@ class Where:
     value: str | None = None
 
     def of(self, e: dict) -> bool:
-        if self.tag and e["tag"] != self.tag or self.cls and self.cls not in e["classes"] or self.id and attribute(e, "id") != self.id:
+        if self.tag and e["tag"] != self.tag or self.cls and self.cls not in e["classes"] or self.id and e["attributes"].get("id", "") != self.id:
             return False
         if not self.attr:
             return True
-        here = next((v for k, v in e["attributes"] if k == self.attr), None)
+        here = e["attributes"].get(self.attr)
         return here is not None and here.startswith(self.begins) and self.value in (None, here)
 
 
@@ -207,7 +237,7 @@ def element_rows(pages: DataFrame) -> DataFrame:
     def read(page: Page) -> list[dict]:
         after = [*page.elements[1:], None][: len(page.elements)]
         own = lambda e, n: "".join(page.texts[e["begin"] : min(e["end"], n["begin"]) if n else e["end"]])
-        return [{**{k: e[k] for k in ("pre", "last", "parent", "tag", "classes")}, "attributes": e["attributes"], "text": " ".join(own(e, n).split())} for e, n in zip(page.elements, after, strict=True)]
+        return [{**{k: e[k] for k in ("pre", "last", "parent", "tag", "classes")}, "attributes": list(e["attributes"].items()), "text": " ".join(own(e, n).split())} for e, n in zip(page.elements, after, strict=True)]
 
     return read_pages(pages, read, "pre int, last int, parent int, tag string, classes array<string>, attributes map<string,string>, text string")
 
@@ -354,6 +384,7 @@ BODIES = (Where(id="js_content"), Where(id="event_desc_page"), Where(cls="event-
 PAST = re.compile("往届活动和嘉宾|往期活动专题")
 NO_VALUE, NO_PICTURE = re.compile("https?:|扫码|分享"), re.compile("qr|二维码|公众号|logo|头像", re.I)
 MOST_PICTURES = 8
+_LABELLED = re.compile(rf"({'|'.join(LABELS)})\s*(?:[：:]|$)")
 _ANY_LABEL = re.compile(rf"(?:{'|'.join(LABELS)})(?:\s*[：:]|$)")
 
 
@@ -365,9 +396,10 @@ def labelled_values(lines: list[str]) -> dict[str, str]:
     """
     found: dict[str, str] = {}
     for n, line in enumerate(lines):
-        label = next((w for w in LABELS if re.match(rf"{w}\s*(?:[：:]|$)", line)), None)
-        if label is None:
+        labelled = _LABELLED.match(line)
+        if labelled is None:
             continue
+        label = labelled[1]
         value = line.removeprefix(label).strip().lstrip("：:").strip()
         if not value:
             after = [w for w in lines[n + 1 : n + 3] if w not in ("：", ":")]

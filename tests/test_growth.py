@@ -105,3 +105,23 @@ def test_written_ranges_are_read_once_a_row(spark):
     for name, regexes in (("explicit_ranges", 7), ("month_blocks", 7)):
         assert queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == regexes, name
     assert queries.QUERIES["posts_feed"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_bare_tags_skip_the_parsers_own_reading(monkeypatch):
+    """Tags without attributes are taken as they stand, with the elements and texts that the parser's own reading gives."""
+    import random
+    from html.parser import HTMLParser
+
+    from fairground.sources import elements
+
+    asked, plain = [], HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: asked.append(i) or plain(self, i))
+    page = elements.Page("<div><p>a<p>b</p><ul><li>c<li>d</ul></div>" * 20)
+    assert not asked and len(page.elements) == 120
+    bits = ["<p>", "</p>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<td>", "<table>", "<script>", "</script>", "<title>", "</title>", "<textarea>", "<br>", "<br/>", "<a href='x'>", "</a>", "<P>", "</ p>", "<p", "</p", "<", "&amp;", "a<b", "<!-- c -->", "<h1>", "</h1 >", "<plaintext>", "<noscript>", "<svg>", "<b class='q' class=z>", "x"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(2000)]
+    fast = [(p.texts, p.elements) for p in map(elements.Page, texts)]
+    for name in ("parse_starttag", "parse_endtag", "updatepos"):
+        monkeypatch.delattr(elements._Reader, name)
+    assert fast == [(p.texts, p.elements) for p in map(elements.Page, texts)]
