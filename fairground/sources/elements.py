@@ -244,11 +244,13 @@ def element_rows(pages: DataFrame) -> DataFrame:
 
 def absolute(href: Column, base: Column) -> Column:
     """An address as it is meant on a page at ``base``, in canonical form; empty if it is none."""
-    href = F.trim(F.coalesce(href, F.lit("")))
+    return X.let(F.trim(F.coalesce(href, F.lit(""))), lambda h: X.canon_url(_whole(h, base)))
+
+
+def _whole(href: Column, base: Column) -> Column:
     origin, folder = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
     whole = F.when(href.rlike("^(?i)https?://"), href).when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), "").when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
-    whole = whole.when(href.startswith("/"), F.concat(origin, href)).when((href == "") | href.startswith("#"), "").otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), href))
-    return X.canon_url(whole)
+    return whole.when(href.startswith("/"), F.concat(origin, href)).when((href == "") | href.startswith("#"), "").otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), href))
 
 
 # --- listings ------------------------------------------------------------------------------------------------
