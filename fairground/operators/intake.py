@@ -100,7 +100,8 @@ def resolved_districts(rows: DataFrame, geocodes: DataFrame, places: DataFrame)
     """
     elsewhere = F.lower(X.clean(F.col("place"))).rlike("|".join(p.lower() for p in G.FOREIGN_PLACES))
     asked = rows.select("id", F.when(elsewhere, "").otherwise(X.named_district(F.col("place"))).alias("direct"), G.place_query(F.col("place")).alias("query"))
-    queries = asked.where("direct = '' and query <> ''").select("query").distinct()
+    # In a generator: filters would be moved down to the places, each with the expressions of the query once more.
+    queries = asked.select(F.explode(F.array_compact(F.array(F.when((F.col("direct") == "") & (F.col("query") != ""), F.col("query"))))).alias("query")).distinct()
     coded = geocodes.select("query", G.district(F.col("district"), F.col("adcode")).alias("d")).where("d <> ''").groupBy("query").agg(F.min("d").alias("district"), F.max("d").alias("other")).where("district = other")
     by_code = queries.where(~G.mostly_latin(F.col("query"))).join(coded, "query").select("query", "district", F.lit("geocode").alias("method"))
     ranked = M.located(queries.join(by_code, "query", "left_anti"), places).select("query", "district", F.lit("poi").alias("method"))
