@@ -125,3 +125,13 @@ def test_bare_tags_skip_the_parsers_own_reading(monkeypatch):
     for name in ("parse_starttag", "parse_endtag", "updatepos"):
         monkeypatch.delattr(elements._Reader, name)
     assert fast == [(p.texts, p.elements) for p in map(elements.Page, texts)]
+
+
+def test_addresses_and_places_are_worked_out_once(spark):
+    """What a fold or a filter uses several times isn't written out for each use."""
+    from fairground import admissions  # noqa: F401
+
+    plan = lambda name: queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("gated_details").count("regexp_extract(") <= 7
+    assert plan("admitted_details").count("regexp_extract_all(") <= 14
+    assert plan("resolved_districts").count("regexp_replace(") <= 60
