@@ -13,8 +13,10 @@ passed over.  Scripts and styles have no text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,6 +40,9 @@ BLOCKS = ("div", "section", "article", "td", "li", "blockquote")
 #: Tags without attributes, which need no more than their name, and elements whose content the parser reads by other rules.
 _BARE, _BARE_END = re.compile("<([a-z]+[1-6]?)>"), re.compile("</([a-z]+[1-6]?)>")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
+#: The tags of a page that needs no parser: small letters, values in double quotes that hold no reference, nothing behind the name of an end.
+_PLAIN = re.compile('<(?:/([a-z]+[1-6]?)|([a-z]+[1-6]?)((?:[ \\t\\n]+[a-z][a-z0-9-]*="[^"<>&]*")*+)[ \\t\\n]*+(/?))>')
+_VALUE = re.compile('([a-z][a-z0-9-]*)="([^"]*)"')
 
 
 class _Reader(HTMLParser):
@@ -82,13 +87,21 @@ class _Reader(HTMLParser):
         places = self._places.get(tag)
         return places[-1] if places else -1
 
+    def _begin(self, tag: str) -> None:
+        """What the start of a block ends."""
+        if self._places.get("p") and self._since("p") > max(map(self._since, BLOCKS)):
+            self._close(self._since("p"))
+        if tag in ALIKE and self._places.get(tag) and self._since(tag) > max(map(self._since, ALIKE[tag])):
+            self._close(self._since(tag))
+        self.texts.append("\n")
+
+    def _end_at_once(self, tag: str) -> None:
+        if tag not in VOID and tag not in ("div", "p", "section", "article", "li", "ul"):  # a slash there means nothing
+            self._close(len(self._open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
-            if self._places.get("p") and self._since("p") > max(map(self._since, BLOCKS)):
-                self._close(self._since("p"))
-            if tag in ALIKE and self._places.get(tag) and self._since(tag) > max(map(self._since, ALIKE[tag])):
-                self._close(self._since(tag))
-            self.texts.append("\n")
+            self._begin(tag)
         attributes = {k: v or "" for k, v in reversed(attrs)} if attrs else {}
         n = len(self.elements)
         self.elements.append({"pre": n, "last": n, "parent": self._open[-1] if self._open else -1, "tag": tag, "classes": attributes.get("class", "").split() if attributes else [], "attributes": attributes, "begin": len(self.texts), "end": len(self.texts)})
@@ -99,8 +112,7 @@ class _Reader(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in ("div", "p", "section", "article", "li", "ul"):  # a slash there means nothing
-            self._close(len(self._open) - 1)
+        self._end_at_once(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self._since(tag) >= 0:
@@ -112,20 +124,88 @@ class _Reader(HTMLParser):
         elif self._open and self.elements[self._open[-1]]["tag"] == "script":
             self.elements[self._open[-1]].setdefault("script", []).append(data)
 
-    def done(self) -> None:
-        self.close()
+    def read(self, html: str) -> None:
+        """The whole page; one of texts and plain tags alone is cut in one pass, any other goes through the parser."""
+        parts = _PLAIN.split(html)
+        if len(parts) // 5 == html.count("<") and _RAW.isdisjoint(parts[2::5]):
+            self._plain(parts)
+        else:
+            self.feed(html)
+            self.close()
         self._close(0)
 
+    def _plain(self, parts: list[str | None]) -> None:
+        """What the parser makes of texts and plain tags: (text, end, start, attributes, slash) again and again, then a text."""
+        elements, texts, opened, places, known = self.elements, self.texts, self._open, self._places, {}
+        for text, end, start, attrs, slash in zip(parts[0::5], parts[1::5], parts[2::5], parts[3::5], parts[4::5], strict=False):
+            if text and not self._silent:
+                texts.append(unescape(text) if "&" in text else text)
+            if end:
+                if opened and (e := elements[opened[-1]])["tag"] == end and end not in SILENT:
+                    opened.pop()
+                    places[end].pop()
+                    if end not in INLINE:
+                        texts.append("\n")
+                    e["last"], e["end"] = len(elements) - 1, len(texts)
+                else:
+                    self.handle_endtag(end)
+                continue
+            if start not in INLINE:
+                if start in ALIKE or places.get("p"):
+                    self._begin(start)
+                else:
+                    texts.append("\n")
+            given = known.get(attrs)
+            if given is None:
+                attributes = dict(reversed(_VALUE.findall(attrs)))
+                given = known[attrs] = attributes, attributes.get("class", "").split()
+            n, at = len(elements), len(texts)
+            elements.append({"pre": n, "last": n, "parent": opened[-1] if opened else -1, "tag": start, "classes": given[1], "attributes": given[0], "begin": at, "end": at})
+            if start not in VOID:
+                if start in places:
+                    places[start].append(len(opened))
+                else:
+                    places[start] = [len(opened)]
+                opened.append(n)
+                if start in SILENT:
+                    self._silent += 1
+            if slash:
+                self._end_at_once(start)
+        if parts[-1] and not self._silent:
+            texts.append(unescape(parts[-1]))
+
 
 class Page:
     """A page's elements and texts, and selections in them."""
 
     def __init__(self, html: str | None):
         reader = _Reader()
-        reader.feed(html or "")
-        reader.done()
+        reader.read(html or "")
         self.elements, self.texts = reader.elements, reader.texts
         self.whole = {"pre": -1, "last": len(self.elements) - 1, "begin": 0, "end": len(self.texts)}
+        self._tags: dict[str, list[int]] | None = None
+        self._classes: dict[str, list[int]] = {}
+
+    def _at(self, inside: dict, w: Where) -> list[dict]:
+        """The elements in another that meet a condition, in page order, found by their class or tag."""
+        if self._tags is None:
+            self._tags = {}
+            for e in self.elements:
+                self._tags.setdefault(e["tag"], []).append(e["pre"])
+                for c in set(e["classes"]) if e["classes"] else ():
+                    self._classes.setdefault(c, []).append(e["pre"])
+        at = self._classes.get(w.cls, ()) if w.cls else self._tags.get(w.tag, ()) if w.tag else range(len(self.elements))
+        if not at:
+            return []
+        mine = at[bisect_right(at, inside["pre"]) : bisect_right(at, inside["last"])]
+        return [e for n in mine if w.of(e := self.elements[n])] if mine else []
+
+    def _met(self, inside: dict, step: Where | tuple[Where, ...]) -> list[dict]:
+        """The same of any of some conditions."""
+        if not isinstance(step, tuple):
+            return self._at(inside, step)
+        found = {e["pre"]: e for w in step for e in self._at(inside, w)}
+        return [found[n] for n in sorted(found)]
 
     def every(self, inside: dict | None, *path: Where | tuple[Where, ...]) -> list[dict]:
         """The elements that a path leads to, in page order: each step is met in one of the step before, in one pass."""
@@ -133,23 +213,23 @@ class Page:
             return []
         above = [inside]
         for step in path:
-            step = step if isinstance(step, tuple) else (step,)
-            found, k, reach = [], 0, -1
+            met = self._met(above[0] if len(above) == 1 else inside, step)
             if len(above) == 1:  # all that follows it, up to its last, stands in it
-                one = step[0].of if len(step) == 1 else lambda e, s=step: any(w.of(e) for w in s)
-                above = [e for e in self.elements[above[0]["pre"] + 1 : above[0]["last"] + 1] if one(e)]
+                above = met
                 continue
-            for e in self.elements[inside["pre"] + 1 : inside["last"] + 1]:
+            found, k, reach = [], 0, -1
+            for e in met:
                 while k < len(above) and above[k]["pre"] < e["pre"]:
                     reach = max(reach, above[k]["last"])
                     k += 1
-                if e["pre"] <= reach and any(w.of(e) for w in step):
+                if e["pre"] <= reach:
                     found.append(e)
             above = found
         return above
 
     def first(self, inside: dict | None, *path: Where | tuple[Where, ...]) -> dict | None:
-        return next(iter(self.every(inside, *path)), None)
+        found = self.every(inside, *path)
+        return found[0] if found else None
 
     def parent(self, e: dict | None) -> dict | None:
         return None if e is None else self.elements[e["parent"]] if e["parent"] >= 0 else self.whole
@@ -159,7 +239,7 @@ class Page:
 
     def text(self, e: dict | None) -> str:
         """White space collapsed; empty without an element."""
-        return " ".join(self.raw(e).split())
+        return "" if e is None else " ".join("".join(self.texts[e["begin"] : e["end"]]).split())
 
     def lines(self, e: dict | None) -> list[str]:
         """The lines in an element: blocks and what ``br`` parts, without empty ones."""

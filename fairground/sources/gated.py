@@ -49,22 +49,25 @@ def _has(c: Column, words: list[str]) -> Column:
 # --- inventories ---------------------------------------------------------------------------------------------
 
 
+_ROOT, _CARD = Where("ul", "section-list-item-ul"), Where("li", "section-special-item")
+_LINK, _BADGE = Where("a", "item-title", attr="href"), Where(cls="post-tag")
+_FIELDS = {"c_label": (Where(cls="event-status"), Where(cls="status")), "c_summary": Where(cls="item-intro"), "c_place": Where(cls="event-location"), "c_time": Where(cls="event-time"), "c_organizer": Where(cls="event-organizer")}
+
+
 def _inventory(page: Page) -> list[dict]:
-    roots = [u for u in page.every(page.whole, Where("ul", "section-list-item-ul")) if (up := page.parent(u)).get("tag") in ("div", "main") and "special-list" in up["classes"]]
+    roots = [u for u in page.every(page.whole, _ROOT) if (up := page.parent(u)).get("tag") in ("div", "main") and "special-list" in up["classes"]]
     if len(roots) != 1:
         return [{"problem": "structure"}]
     root = roots[0]
     publisher = page.parent(root)["tag"] == "div"
-    cards = [c for c in page.every(root, Where("li", "section-special-item")) if c["parent"] == root["pre"]]
+    cards = [c for c in page.every(root, _CARD) if c["parent"] == root["pre"]]
     if not cards:
         told = page.first(page.whole, Where(attr="data-fixture-empty-state", value="true"))
         return [{"problem": "empty"}] if publisher or told is None else []
-    of = lambda card, *path: page.text(page.first(card, *path))
     out = []
     for n, card in enumerate(cards):
-        link = page.first(card, Where("a", "item-title", attr="href"))
-        out.append({"pos": n, "publisher": publisher, "c_href": attribute(link, "href"), "c_title": page.text(link), "c_tags": " ".join(page.text(e) for e in page.every(card, Where(cls="post-tag"))), "c_label": of(card, (Where(cls="event-status"), Where(cls="status"))),
-                    "c_summary": of(card, Where(cls="item-intro")), "c_place": of(card, Where(cls="event-location")), "c_time": of(card, Where(cls="event-time")), "c_organizer": of(card, Where(cls="event-organizer"))})
+        link = page.first(card, _LINK)
+        out.append({"pos": n, "publisher": publisher, "c_href": attribute(link, "href"), "c_title": page.text(link), "c_tags": " ".join([page.text(e) for e in page.every(card, _BADGE)]), **{name: page.text(page.first(card, of)) for name, of in _FIELDS.items()}})
     return out
 
 

@@ -135,3 +135,27 @@ def test_addresses_and_places_are_worked_out_once(spark):
     assert plan("gated_details").count("regexp_extract(") <= 7
     assert plan("admitted_details").count("regexp_extract_all(") <= 14
     assert plan("resolved_districts").count("regexp_replace(") <= 60
+
+
+def test_plain_pages_skip_the_parser(monkeypatch):
+    """A page of texts and plain tags is cut in one pass; its elements, texts and selections are those of the parser's reading."""
+    import random
+
+    from fairground.sources import elements
+
+    fed, feed = [], elements._Reader.feed
+    monkeypatch.setattr(elements._Reader, "feed", lambda self, html: fed.append(html) or feed(self, html))
+    page = elements.Page('<ul class="a b"><li class="b" id="k">x &amp; y<br/><a href="/1?p=2">z</a><li>w</ul>')
+    assert not fed and page.text(page.first(page.whole, elements.Where(id="k"))) == "x & y z" and page.elements[3]["attributes"] == {"href": "/1?p=2"}
+    assert [e["pre"] for e in page.every(page.whole, (elements.Where("a"), elements.Where(cls="b")))] == [0, 1, 3]
+    for odd in ("<P>", "<p", "<a href='x'>", '<a href="?a&amp;b">', '<a b="c"d="e">', "<!-- -->", "<script>", "</p >", "<"):
+        elements.Page(f"<p>{odd}")
+    assert len(fed) == 9
+    bits = ["<p>", "</p>", "<div>", "</div>", "<li>", "</li>", "<ul>", "</ul>", "<td>", "<tr/>", "<table>", "<br />", "<template>", "</template>", '<a href="x" class="c d">', "</a>", '<li class="c"/>', '<b id="" data-n1="q">', "</b>", "&am", "x", " > ", "\n", "<b id=q>", "<title>"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(2000)]
+    fed.clear()
+    fast = [(p.texts, p.elements) for p in map(elements.Page, texts)]
+    assert len(fed) < 1600
+    monkeypatch.setattr(elements, "_PLAIN", elements.re.compile("()()()()(?!)"))
+    assert fast == [(p.texts, p.elements) for p in map(elements.Page, texts)] and fed[-1] == next(t for t in reversed(texts) if "<" in t)
