@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fairground.operators.evidence import settled
+
 ALIAS = ["source_id", "event_id", "alias"]
 OCCURRENCE = [*ALIAS, "occurrence"]
 #: Fixed values.
@@ -73,7 +75,15 @@ def placed(observations: DataFrame, unit: str = "day") -> DataFrame:
 
 def guard_life(observations: DataFrame, unit: str = "day") -> DataFrame:
     """(guard_id, source_id, event_id, alias, occurrence, reason, notices, revision, digest, state) of all guards; what one gathers is a sum."""
-    found = placed(observations, unit).groupBy(*GROUP).agg(F.count("*").alias("notices"), F.min("at")["observation_id"].alias("first"), F.sum(member_digest(F.col("observation_id"))).alias("sum"))
+    return _lives(_gathered(placed(observations, unit)))
+
+
+def _gathered(notices: DataFrame) -> DataFrame:
+    """A row a guard of the notices that ``placed`` gives: how many it has, the first of them, and their digest."""
+    return notices.groupBy(*GROUP).agg(F.count("*").alias("notices"), F.min("at")["observation_id"].alias("first"), F.sum(member_digest(F.col("at.observation_id"))).alias("sum"))
+
+
+def _lives(found: DataFrame) -> DataFrame:
     active = F.col("generation") == F.col("resolutions")
     return found.select(
         guard_id(F.col("first")).alias("guard_id"),
@@ -89,7 +99,18 @@ def guard_life(observations: DataFrame, unit: str = "day") -> DataFrame:
 def guard_members(observations: DataFrame, unit: str = "day") -> DataFrame:
     """(guard_id, observation_id): which guard each notice is of."""
     rows = placed(observations, unit).select(*GROUP, "at")
-    first = rows.groupBy(*GROUP).agg(F.min("at")["observation_id"].alias("first")).select(*(F.col(c).alias(f"g_{c}") for c in GROUP), "first")
+    return _members(rows, rows.groupBy(*GROUP).agg(F.min("at")["observation_id"].alias("first")))
+
+
+def guards_and_members(observations: DataFrame, unit: str = "day") -> tuple[DataFrame, DataFrame]:
+    """``guard_life`` and ``guard_members`` for what uses both, more than once: the notices are placed once, and both are kept."""
+    rows = settled(placed(observations, unit).select(*GROUP, "at"))
+    found = settled(_gathered(rows))
+    return _lives(found), settled(_members(rows, found))
+
+
+def _members(rows: DataFrame, found: DataFrame) -> DataFrame:
+    first = found.select(*(F.col(c).alias(f"g_{c}") for c in GROUP), "first")
     same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in GROUP]
     return rows.join(first, same).select(guard_id(F.col("first")).alias("guard_id"), F.col("at.observation_id").alias("observation_id"))
 

@@ -78,8 +78,7 @@ select resolution_id, case when failures = '' then 'applied' else 'refused' end
   concat_ws(',', case when not good_anchor then 'anchor' end, case when event_id % 5 = 0 then 'reason' end, case when not scope then 'scope' end, case when state <> 'active' then 'snapshot' end) as failures from a)""")
 def reviewed_disassociation(spark, sf):
     """reviewers' decisions over the exact notices of a guard, by an anchor of another occurrence."""
-    rows = ledger(spark, sf)
-    life, members = G.guard_life(rows), G.guard_members(rows)
+    life, members = G.guards_and_members(ledger(spark, sf))
     named = life.where("event_id % 2 = 0 and occurrence <> ''")
     seen = members.where("observation_id is not null").groupBy("guard_id").agg(F.collect_set("observation_id").alias("observations"))
     shown = named.join(seen, "guard_id").select(F.col("guard_id").alias("resolution_id"), "guard_id", *G.OCCURRENCE, "revision", "digest", F.expr("if(event_id % 3 = 0, array_append(observations, -1L), observations)").alias("observations"))

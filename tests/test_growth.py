@@ -159,3 +159,17 @@ def test_plain_pages_skip_the_parser(monkeypatch):
     assert len(fed) < 1600
     monkeypatch.setattr(elements, "_PLAIN", elements.re.compile("()()()()(?!)"))
     assert fast == [(p.texts, p.elements) for p in map(elements.Page, texts)] and fed[-1] == next(t for t in reversed(texts) if "<" in t)
+
+
+def test_notices_are_placed_once_for_all_that_a_review_asks(spark, monkeypatch):
+    """The guards and their members, which a review uses several times, come from one reading of the log."""
+    from fairground import upkeep
+    from fairground.operators import guards
+
+    met, plain = [], guards.placed
+    monkeypatch.setattr(guards, "placed", lambda *a: met.append(a) or plain(*a))
+    rows = upkeep.reviewed_disassociation(spark, SF)
+    assert len(met) == 1 and "Relation" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    life, members = guards.guards_and_members(upkeep.ledger(spark, SF))
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert as_rows(life) == as_rows(guards.guard_life(upkeep.ledger(spark, SF))) and as_rows(members) == as_rows(guards.guard_members(upkeep.ledger(spark, SF)))
