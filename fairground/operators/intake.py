@@ -23,10 +23,11 @@ def approved_images(details: DataFrame, manifest: DataFrame) -> DataFrame:
     name; repeated ids are one; a null picture or list has none.
     """
     known = manifest.where(F.col("url").startswith("https://") & F.col("asset").rlike(ASSET)).groupBy("url").agg(F.max("asset").alias("asset"))
-    asked = details.select("id", F.explode(F.array_distinct("images")).alias("url")).where("url is not null").distinct()
-    found = asked.join(known, "url").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("url", "asset")))).alias("found"))
-    none = F.create_map().cast("map<string,string>")
-    return details.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("found", none).alias("images"))
+    # A pair that comes more often is one in the set, so that pairs needn't be told apart before; ids come along with no pair instead of in a join.
+    asked = details.where("id is not null").select("id", F.explode(F.array_distinct("images")).alias("url")).where(F.col("url").startswith("https://"))
+    pairs = asked.join(known, "url").select("id", F.struct("url", "asset").alias("pair"))
+    every = details.select("id", F.lit(None).cast(pairs.schema["pair"].dataType).alias("pair"))
+    return every.union(pairs).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_set("pair"))).alias("images"))
 
 
 def resumed(pages: DataFrame, sources: DataFrame, cursors: DataFrame, most: int) -> DataFrame:

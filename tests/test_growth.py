@@ -173,3 +173,15 @@ def test_notices_are_placed_once_for_all_that_a_review_asks(spark, monkeypatch):
     life, members = guards.guards_and_members(upkeep.ledger(spark, SF))
     as_rows = lambda df: sorted(map(tuple, df.collect()))
     assert as_rows(life) == as_rows(guards.guard_life(upkeep.ledger(spark, SF))) and as_rows(members) == as_rows(guards.guard_members(upkeep.ledger(spark, SF)))
+
+
+def test_pictures_are_gathered_in_one_grouping(spark):
+    """Pairs of ids and pictures are told apart where they are gathered, and ids come along without a join of their own."""
+    from fairground.operators import intake
+
+    details = spark.createDataFrame([(1, ["https://i/1"]), (1, ["https://i/1", "https://i/2"]), (None, ["https://i/1"]), (2, [])], "id long, images array<string>")
+    manifest = spark.createDataFrame([(f"https://i/{k}", f"{k}" * 64 + ".png") for k in (1, 2)], "url string, asset string")
+    rows = intake.approved_images(details, manifest)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 2
+    assert {r.id: sorted(r.images) for r in rows.collect()} == {1: ["https://i/1", "https://i/2"], 2: [], None: []}
