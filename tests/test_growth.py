@@ -185,3 +185,45 @@ def test_pictures_are_gathered_in_one_grouping(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 2
     assert {r.id: sorted(r.images) for r in rows.collect()} == {1: ["https://i/1", "https://i/2"], 2: [], None: []}
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Rows that are alike are one kind: their pairs are the same as by a loop over all rows, and copies add nothing that is compared."""
+    from fairground.functions.text import common
+    from fairground.operators import evidence
+
+    monkeypatch.setattr(evidence, "SLICE", 3)
+    titles = ["Evening concert of the city orchestra", "Evening concert of the city orchestras", "Evening concert at the city orchestra", "Talk"]
+    days = ["2026-01-01 10:00:00", "2026-01-02 10:00:00", None]
+    first = [(titles[k % 4], days[k // 4 % 3], ["A", "B", None][k // 12 % 3]) for k in range(36)]
+
+    def frame(n):
+        rows = [(k + 36 * c, *row) for c in range(n) for k, row in enumerate(first)]
+        return rows, spark.createDataFrame(rows, "id long, title string, at string, district string").selectExpr("id", "title", "cast(at as timestamp_ntz) as start_at", "true as all_day", "district")
+
+    compared = []
+    for n in (1, 8):
+        rows, df = frame(n)
+        slices, near = evidence.duplicate_kinds(df)
+        compared.append({(r.a, r.b) for r in near.collect()})
+        norm = [t.lower().replace(" ", "") for t in titles]
+        alike = {(s, t) for s in range(4) for t in range(4) if s == t or 200 * common(norm[s], norm[t]) >= 93 * len(norm[s] + norm[t])}
+        want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2] and x[2] == y[2] and (titles.index(x[1]), titles.index(y[1])) in alike and None in (x[3], y[3], None if x[3] == y[3] else 0)}
+        got = [tuple(r) for r in evidence.duplicate_pairs(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and (n == 1 or len(want) > 3000)
+        held = slices.collect()
+        assert max(len(r.ids) for r in held) <= 3 and sorted(i for r in held for i in r.ids) == [r[0] for r in rows]
+    assert compared[0] == compared[1] and len(compared[0]) > 10
+
+
+def test_ratios_of_many_pairs():
+    """Worked out together, texts of any length have the common subsequences that they have one by one."""
+    import random
+
+    from fairground.functions.text import common, commons
+
+    rng = random.Random(3)
+    of = lambda n: "".join(rng.choice("abcd中\0") for _ in range(n))
+    a = [of(rng.choice([0, 1, 8, 9, 33, 63, 64, 65, 128, 129])) for _ in range(3000)]
+    b = [of(rng.choice([0, 1, 8, 30, 64, 65, 128, 129])) if rng.random() < 0.5 else "".join(c if rng.random() < 0.9 else "b" for c in t) for t in a]
+    assert commons(a, b).tolist() == [common(x, y) for x, y in zip(a, b, strict=True)] and commons([], []).tolist() == []
