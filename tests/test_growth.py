@@ -48,6 +48,24 @@ def test_aliases_of_one_class_are_decided_once(spark, tmp_path, monkeypatch):
     assert len(more) == 4 * len(once) and sorted(more) == sorted((a + 6_300 * k, i, w, o) for a, i, w, o in once for k in range(4))
 
 
+def test_slices_of_aliases_meet_slices_of_activities(spark, monkeypatch):
+    """Tables are read once for what a class is decided by, and its rows come out of arrays of limited size, whatever that size is."""
+    acts = spark.range(200).selectExpr("id", "timestamp_ntz '2026-01-01 10:00:00' + make_dt_interval(cast(id % 3 as int)) as start_at", "id % 7 as origin_priority")
+    links = spark.range(200).selectExpr("id as event_id", "id % 4 as url")
+    asked = spark.range(90).selectExpr("concat('a', id) as alias_id", "id % 2 as url", "date_add(date '2026-01-01', cast(id % 2 as int)) as day")
+    owned, guarded = spark.createDataFrame([(13, True), (25, None), (4, False)], "id long, favorite boolean"), spark.createDataFrame([(12,)], "id long")
+    hits = {r.alias_id: [i for i in range(200) if i % 4 == r.url and i % 3 == r.day.day - 1] for r in asked.collect()}
+    winner = {a: min(ids, key=lambda i: (i != 13, i % 7, i % 3, i)) for a, ids in hits.items()}
+    want = sorted((a, i, winner[a], "deferred" if 12 in ids else "kept" if i == winner[a] else "merged") for a, ids in hits.items() for i in ids)
+    for most in ((504, 128), (7, 4), (1, 1)):
+        monkeypatch.setattr(aliases, "ALIASES", most[0])
+        monkeypatch.setattr(aliases, "ACTIVITIES", most[1])
+        assert sorted(map(tuple, aliases.reconcile(acts, links, asked, owned, guarded).collect())) == want and len(want) > 1000
+        assert max(len(r.alias_ids) for r in aliases.alias_classes(asked).collect()) == min(most[0], 45)
+    plan = queries.QUERIES["alias_reconcile"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "o_orderkey" in line for line in plan.splitlines()) == 1
+
+
 def test_an_alias_of_several_addresses(spark):
     """Hits by several addresses or days count once; aliases without any hit nothing."""
     acts = spark.sql("select * from values (1, timestamp_ntz '2026-01-01 10:00:00', 5, 'a'), (2, timestamp_ntz '2026-01-01 12:00:00', 3, 'b'), (3, timestamp_ntz '2026-01-02 12:00:00', 1, 'c') as t(id, start_at, origin_priority, title)")
